@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, quality, simhash
+from . import decontaminate, line_dedup, quality, sentencepieces, simhash, token_counts
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
         "op3_line_dedup": op3_line_dedup,
+        "op4_sentencepieces": op4_sentencepieces,
+        "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
     }
 

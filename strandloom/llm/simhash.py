@@ -202,7 +202,7 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> D
     plain = keyed.filter("deep = 0").select("turn", F.xxhash64("turn", "band").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("err"), F.lit(width).alias("bit"), "v")
     tables = {d: _masks(d, budget) for d in range(1, 13)}
     masks = F.element_at(F.create_map(*[x for d, m in tables.items() for x in (F.lit(d), F.array(*[F.lit(i) for i in m]))]), F.col("deep"))
-    prefix = F.shiftrightunsigned("v", F.lit(64 - width) - F.col("deep")).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), F.col("deep")) - 1).cast("int")
+    prefix = F.expr(f"cast(shiftrightunsigned(v, {64 - width} - deep) & (shiftleft(1L, deep) - 1) AS int)")
     split = (
         keyed.filter("deep > 0")
         .withColumn("p", prefix)
