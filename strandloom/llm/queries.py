@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, quality, sentencepieces, simhash, token_counts
+from . import decontaminate, html_text, language_id, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(table(spark, sf_dir, "documents"))
 
@@ -34,14 +42,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
         "op3_line_dedup": op3_line_dedup,
         "op4_sentencepieces": op4_sentencepieces,
+        "op5_language_id": op5_language_id,
+        "op6_html_text": op6_html_text,
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
+        "op9_secrets": op9_secrets,
+        "op10_url_filter": op10_url_filter,
     }
 
 
@@ -50,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontaminate.SQL,
         "op3_line_dedup": line_dedup.SQL,
         "op8_quality": quality.SQL,
+        "op10_url_filter": url_filter.SQL,
     }
