@@ -109,9 +109,19 @@ def digest(docs: DataFrame) -> DataFrame:
     return judged(docs, "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, boilerplate lines of their host removed from text and n_chars counted anew."""
-    out = judged(docs, *docs.columns).filter("kept").withColumn("text", without_positions(F.col("text"), F.col("__removed"))).select(*docs.columns)
+def stage(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The documents that are kept, boilerplate lines of their host removed from text and n_chars counted anew.
+
+    Verdicts belong to (host, text). They are written before the join: a filter on them would otherwise be pushed into
+    the counting expressions and repeat them, and many copies of one text can be split over tasks.
+    """
+    key = text_key(F.col("text"))
+    keys = {"__h": _host(host), "__k1": key["k1"], "__k2": key["k2"]}
+    keyed = docs.select(*docs.columns, *[c.alias(n) for n, c in keys.items()])
+    verdicts = judged(docs.select(host, "text"), *[c.alias(n.replace("__", "v_")) for n, c in keys.items()], host=host)
+    verdicts = written(verdicts.select("v_h", "v_k1", "v_k2", "kept", "__removed").distinct(), "verdicts")
+    on = (F.col("__h") == F.col("v_h")) & (F.col("__k1") == F.col("v_k1")) & (F.col("__k2") == F.col("v_k2"))
+    out = keyed.join(verdicts.filter("kept"), on).withColumn("text", without_positions(F.col("text"), F.col("__removed"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
