@@ -15,13 +15,16 @@ import re
 
 MARK = "▁"
 #: Words that are remembered for each worker; beyond it the memory is emptied, which costs time only.
-MEMO = 600_000
+MEMO = 400_000
+
+
+_BYTES = re.compile("[\udc80-\udcff]")
 
 
 class Follower(dict):
     """follower[a][b]: whether b may stand right after a; worked out at its first use, emptied when it holds too much."""
 
-    MOST = 2_000_000
+    MOST = 500_000
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.held = pieces, 0
@@ -57,12 +60,13 @@ class Pieces:
         if not proto.trainer_spec.byte_fallback:
             raise ValueError("a model with byte fallback is needed")
         self.prefix = MARK if norm.add_dummy_prefix else ""
-        self.names = [p.piece for p in proto.pieces]
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE}
-        self.byte_of = {i: b for b, i in self.bytes_.items()}
-        self.silent = {i for i, p in enumerate(proto.pieces) if p.type == kind.CONTROL}
+        #: What an id decodes to; a byte beyond ASCII as a lone surrogate, until it is put together with its neighbours.
+        self.show = ["" if p.type == kind.CONTROL else p.piece for p in proto.pieces]
+        for b, i in self.bytes_.items():
+            self.show[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
         if any(p.type == kind.USER_DEFINED for p in proto.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces may hold space marks at their start only, and none may be user defined")
         self.longest = max(map(len, self.ids), default=1)
@@ -107,20 +111,11 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The library's decoding: bytes are put together, marks become spaces, the first one is dropped."""
-        out, raw = [], bytearray()
-        byte_of, names, silent = self.byte_of, self.names, self.silent
-        for i in ids:
-            if (b := byte_of.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in silent:
-                out.append(names[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        show = self.show
+        text = "".join([show[i] for i in ids])
+        if _BYTES.search(text):
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        text = text.replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     def breaks(self, text: str, i: int) -> bool:
@@ -128,6 +123,94 @@ class Pieces:
         return i == 0 or (text[i] == MARK and text[i - 1] != MARK) or text[i] not in self.chars or text[i - 1] not in self.chars
 
 
+#: The start state: no characters, and one place where a piece may begin.
+START = ("", ((0, "", 0),))
+#: Compiled transitions that are kept for each worker.
+MOST = 500_000
+
+
+class Transducer:
+    """The vocabulary compiled into a deterministic transducer over characters, as far as texts have needed it.
+
+    A state is what the future can depend on: the last characters as far back as a piece may still be under way, and for each
+    place where one may have begun the last token before it and how many tokens fewer the encoding has there. A
+    transition carries the tokens that a further character adds (it may be negative, when tokens merge) and the
+    length of the last token of the encoding up to it.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._empty()
+
+    def _empty(self) -> None:
+        self.states = {START: 0}
+        self.keys = [START]
+        self.moves: list[dict[str, tuple[int, int, int]]] = [{}]
+        self.size = 0
+
+    def _compiled(self, state: int, c: str) -> tuple[int, int, int]:
+        """The transition from a state over a character: the next state, the tokens it adds, the last token's length."""
+        p = self.pieces
+        tail, starts = self.keys[state]
+        if tail and p.breaks(tail[-1] + c, 1):
+            tail, starts = START
+        tail, size = tail + c, len(tail)
+        for n, before, count in starts:
+            piece = tail[size - n :]
+            if (n == 0 or piece in p.ids) and p.follower[before][piece]:
+                break
+        else:
+            raise AssertionError("every prefix has an encoding")
+        adds = count + p.width(piece)
+        live = [(n + 1, before, count - adds) for n, before, count in starts if tail[size - n :] in p.stems]
+        key = (tail[size + 1 - live[0][0] :] if live else c, (*live, (0, piece, 0))) if c in p.chars else START
+        to = self.states.setdefault(key, len(self.keys))
+        if to == len(self.keys):
+            self.keys.append(key)
+            self.moves.append({})
+        self.size += 1
+        move = self.moves[state][c] = (to, adds, len(piece))
+        return move
+
+    def run(self, text: str) -> int:
+        """Tokens of marked text, from the start state."""
+        if self.size >= MOST:
+            self._empty()
+        state = total = 0
+        moves = self.moves
+        for c in text:
+            move = moves[state].get(c)
+            if move is None:
+                move = self._compiled(state, c)
+            state = move[0]
+            total += move[1]
+        return total
+
+    def ids(self, text: str) -> tuple[int, ...]:
+        """Token ids of marked text: the last tokens are noted on the way and read backwards."""
+        if self.size >= MOST:
+            self._empty()
+        state, moves, sizes = 0, self.moves, []
+        for c in text:
+            move = moves[state].get(c)
+            if move is None:
+                move = self._compiled(state, c)
+            state = move[0]
+            sizes.append(move[2])
+        out: list[int] = []
+        end, known = len(text), self.pieces.ids
+        while end:
+            piece = text[end - sizes[end - 1] : end]
+            i = known.get(piece)
+            if i is None:
+                out += reversed(self.pieces.token_ids(piece))
+            else:
+                out.append(i)
+            end -= len(piece)
+        out.reverse()
+        return tuple(out)
+
+
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
 

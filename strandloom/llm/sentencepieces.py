@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_key, with_workers
-from .pieces import Memo, Pieces, words_of
+from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 
 #: Texts of more characters than GIANT are cut into chunks of CHUNK characters.
 GIANT, CHUNK = 60_000, 20_000
@@ -51,7 +51,8 @@ def model_bytes(path: str | None = None) -> bytes:
 class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
-        self.memo = Memo(self._word)
+        # With a single outer state each position has one live node: then the lattice is walked by its compiled form.
+        self.memo = Memo(Transducer(self.pieces).ids)
 
     def nodes_at(self, text: str, cut: int) -> list[Node]:
         """The states at a cut: pieces and lone characters that start before it and end at it or later."""
@@ -112,24 +113,6 @@ class Codec:
             stack += [(p, (node, tail)) for p in back.get(node, ())]
         raise ValueError("no path")
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The ids of a word. With a single outer state each position has one live node, the encoding of what lies before it."""
-        ids, follows, longest = self.pieces.ids, self.pieces.follower, self.pieces.longest_at
-        size = len(word)
-        last = [""] * (size + 1)
-        for end in range(1, size + 1):
-            for start in range(max(0, end - longest.get(word[end - 1], 1)), end):
-                piece = word[start:end]
-                if (piece in ids or end - start == 1) and follows[last[start]][piece]:
-                    last[end] = piece
-                    break
-        out: list[int] = []
-        while size:
-            piece = last[size]
-            out += reversed(self.pieces.token_ids(piece))
-            size -= len(piece)
-        return tuple(reversed(out))
-
     def encode(self, text: str | None) -> np.ndarray:
         get = self.memo.__getitem__
         return np.fromiter(chain.from_iterable(map(get, words_of(self.pieces, text or ""))), np.int32)
@@ -142,8 +125,6 @@ class Codec:
 
     def _inside(self, text: str) -> list[int]:
         """The ids between two sure borders of marked text."""
-        from .pieces import _WORD
-
         get = self.memo.__getitem__
         return list(chain.from_iterable(get("\x01" + w) for w in _WORD.findall(text)))
 
@@ -318,8 +299,7 @@ def decoded(df: DataFrame, model: str | None = None, at: str = "decoded") -> Dat
     def run(batches):
         decode = codec(sent.value).pieces.decode
         for b in batches:
-            ids = b.column("ids")
-            out = [None if x is None else decode(x) for x in ids.to_pylist()]
+            out = [None if x is None else decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, at])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(at, T.StringType())]))

@@ -24,66 +24,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_key, with_workers
-from .pieces import _WORD, Memo, Pieces, words_of
+from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 from .sentencepieces import model_bytes
 
 GIANT, CHUNK = 60_000, 20_000
 LIMIT = 4096
-#: Compiled transitions that are kept for each worker.
-MOST = 500_000
-#: The start state: no characters, and one place where a piece may begin.
-START = ("", ((0, "", 0),))
 
 
-class Transducer:
+class Counter:
+    """Counts tokens: a transducer, a memo of words, and the state maps of chunks."""
+
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
+        self.run = Transducer(self.pieces).run
         self.memo = Memo(self.run)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.states = {START: 0}
-        self.keys = [START]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
-        self.size = 0
-
-    def _compiled(self, state: int, c: str) -> tuple[int, int]:
-        """The transition from a state over a character: the next state and the tokens it adds."""
-        p = self.pieces
-        tail, starts = self.keys[state]
-        if tail and p.breaks(tail[-1] + c, 1):
-            tail, starts = START
-        tail, size = tail + c, len(tail)
-        for n, before, count in starts:
-            piece = tail[size - n :]
-            if (n == 0 or piece in p.ids) and p.follower[before][piece]:
-                break
-        else:
-            raise AssertionError("every prefix has an encoding")
-        adds = count + p.width(piece)
-        live = [(n + 1, before, count - adds) for n, before, count in starts if tail[size - n :] in p.stems]
-        key = (tail[size + 1 - live[0][0] :] if live else c, (*live, (0, piece, 0))) if c in p.chars else START
-        to = self.states.setdefault(key, len(self.keys))
-        if to == len(self.keys):
-            self.keys.append(key)
-            self.moves.append({})
-        self.size += 1
-        move = self.moves[state][c] = (to, adds)
-        return move
-
-    def run(self, text: str) -> int:
-        """Tokens of marked text, from the start state."""
-        if self.size >= MOST:
-            self._empty()
-        state = total = 0
-        moves = self.moves
-        for c in text:
-            move = moves[state].get(c)
-            if move is None:
-                move = self._compiled(state, c)
-            state = move[0]
-            total += move[1]
-        return total
 
     def count(self, text: str | None) -> int:
         return sum(map(self.memo.__getitem__, words_of(self.pieces, text))) if text else 0
@@ -117,13 +71,13 @@ class Transducer:
         return maps[0]
 
 
-_MACHINES: dict[int, Transducer] = {}
+_MACHINES: dict[int, Counter] = {}
 
 
-def machine(model: bytes) -> Transducer:
+def machine(model: bytes) -> Counter:
     key = hash(model)
     if key not in _MACHINES:
-        _MACHINES[key] = Transducer(model)
+        _MACHINES[key] = Counter(model)
     return _MACHINES[key]
 
 
