@@ -61,3 +61,9 @@ def text_key(col):
         F.xxhash64(col).alias("k1"),
         F.xxhash64(F.lit(0x5DEECE66D), col, F.length(col)).alias("k2"),
     )
+
+
+def sliced(batch, rows: int = 256):
+    """An Arrow batch in slices, so that what Python holds of it at once is small."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)

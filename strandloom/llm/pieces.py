@@ -15,7 +15,7 @@ import re
 
 MARK = "▁"
 #: Words that are remembered for each worker; beyond it the memory is emptied, which costs time only.
-MEMO = 400_000
+MEMO = 300_000
 
 
 _BYTES = re.compile("[\udc80-\udcff]")
@@ -126,7 +126,7 @@ class Pieces:
 #: The start state: no characters, and one place where a piece may begin.
 START = ("", ((0, "", 0),))
 #: Compiled transitions that are kept for each worker.
-MOST = 500_000
+MOST = 300_000
 
 
 class Transducer:

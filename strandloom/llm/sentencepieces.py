@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_key, with_workers
+from .common import sliced, text_key, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 
 #: Texts of more characters than GIANT are cut into chunks of CHUNK characters.
@@ -268,8 +268,8 @@ def giant_ids(docs: DataFrame, sent, giant: int, chunk: int) -> DataFrame:
     return whole.select("k1", "k2", F.flatten("x.ids").alias("ids"))
 
 
-def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns `keep`, all by default) with ids array<int>."""
+def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None, back: str | None = None) -> DataFrame:
+    """docs (its columns `keep`, all by default) with ids array<int>, and with what they decode to as column `back` if named."""
     spark = docs.sparkSession
     with_workers(spark)
     keep = docs.columns if keep is None else keep
@@ -277,17 +277,22 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
 
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(back, T.StringType())] * bool(back)
+
     def run(batches):
         c = codec(sent.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.select(keep).columns, _lists([c.encode(t) for t in b.column("text").to_pylist()])], [*keep, "ids"])
+        for whole in batches:
+            for b in sliced(whole):
+                ids = [c.encode(t) for t in b.column("text").to_pylist()]
+                more = [pa.array([c.pieces.decode(x.tolist()) for x in ids], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*b.select(keep).columns, _lists(ids), *more], [*keep, *(f.name for f in new)])
 
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    short = docs.filter(~long_).mapInArrow(run, schema)
+    short = docs.filter(~long_).mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), *new]))
     key = text_key(F.col("text"))
     long = docs.filter(long_).select(*keep, key["k1"].alias("__k1"), key["k2"].alias("__k2"))
     ids = giant_ids(docs.select("text"), sent, giant, chunk)
-    return short.unionByName(long.join(ids, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*keep, "ids"))
+    found = long.join(ids, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*keep, "ids")
+    return short.unionByName(decoded(found, model, back) if back else found)
 
 
 def decoded(df: DataFrame, model: str | None = None, at: str = "decoded") -> DataFrame:
@@ -298,7 +303,7 @@ def decoded(df: DataFrame, model: str | None = None, at: str = "decoded") -> Dat
 
     def run(batches):
         decode = codec(sent.value).pieces.decode
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole)):
             out = [None if x is None else decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, at])
 
@@ -307,7 +312,7 @@ def decoded(df: DataFrame, model: str | None = None, at: str = "decoded") -> Dat
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text again."""
-    out = decoded(encoded(docs.select("doc_id", "text")))
+    out = encoded(docs.select("doc_id", "text"), back="decoded")
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
