@@ -12,10 +12,11 @@ Both are checked when a model is loaded (the second) and by the tests against th
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 MARK = "▁"
-#: Words that are remembered for each worker; beyond it the memory is emptied, which costs time only.
-MEMO = 300_000
+#: Words that are remembered for each worker; beyond it the older half goes, which costs time only.
+MEMO = 400_000
 
 
 _BYTES = re.compile("[\udc80-\udcff]")
@@ -126,7 +127,7 @@ class Pieces:
 #: The start state: no characters, and one place where a piece may begin.
 START = ("", ((0, "", 0),))
 #: Compiled transitions that are kept for each worker.
-MOST = 300_000
+MOST = 500_000
 
 
 class Transducer:
@@ -239,6 +240,7 @@ class Memo(dict):
 
     def __missing__(self, key):
         if len(self) >= MEMO:
-            self.clear()
+            for old in list(islice(self, MEMO // 2)):
+                del self[old]
         value = self[key] = self.work(word_text(key))
         return value
