@@ -277,7 +277,7 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
 
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(back, T.StringType())] * bool(back)
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(back, T.StringType())] if back else [])]
 
     def run(batches):
         c = codec(sent.value)
