@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
 from ..functions.morton import pair_key
+from ..session import guarded
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df with its lineage cut: written to the shared folder of the session and read back."""
-    spark = df.sparkSession
+    spark = guarded(df.sparkSession)
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         import tempfile

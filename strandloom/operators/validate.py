@@ -27,9 +27,10 @@ def steps(lines: DataFrame, contigs: DataFrame, mates: DataFrame) -> DataFrame:
 def positions(steps_: DataFrame) -> DataFrame:
     """(line_id, idx, node, pos): running sums of contig lengths and distances."""
     upto = _line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = steps_.select("line_id", (F.col("idx") + 1).alias("idx"), F.col("next").alias("node"), F.sum("d").over(upto).alias("pos"))
-    first = steps_.filter("idx = 0").select("line_id", "idx", "node", F.lit(0).cast("long").alias("pos"))
-    return first.unionByName(later)
+    begin = F.struct(F.lit(0).cast("long").alias("idx"), F.col("node"), F.lit(0).cast("long").alias("pos"))
+    end = F.struct((F.col("idx") + 1).alias("idx"), F.col("next").alias("node"), F.col("upto").alias("pos"))
+    both = F.explode(F.when(F.col("idx") == 0, F.array(begin, end)).otherwise(F.array(end))).alias("p")
+    return steps_.withColumn("upto", F.sum("d").over(upto)).select("line_id", both).select("line_id", "p.*")
 
 
 def line_sizes(pos: DataFrame) -> DataFrame:

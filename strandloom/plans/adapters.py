@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import sequence_of
+from ..session import guarded
 
 GAP = 500
 READ = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    guarded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
