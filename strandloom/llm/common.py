@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def guarded(spark: SparkSession) -> SparkSession:
+    """Turns off the partitioning that Spark 4.1 claims for unions of alike children: under adaptive execution such a union
+    may be zipped with a side of another partition count, which fails or loses matches."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def with_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package when the session was started from another folder."""
+    guarded(spark)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if REPO_ROOT not in have.split(os.pathsep):
@@ -44,7 +54,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: later uses don't recompute it, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark = guarded(df.sparkSession)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -63,6 +73,18 @@ def text_key(col):
     )
 
 
+@contextmanager
+def no_cycles():
+    """Without the collector of reference cycles: memos of many tuples have none, and looking for them takes a tenth of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def sliced(batch, rows: int = 256):
     """An Arrow batch in slices, so that what Python holds of it at once is small."""
     for i in range(0, batch.num_rows, rows):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, text_key, with_workers
+from .common import no_cycles, sliced, text_key, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 
 #: Texts of more characters than GIANT are cut into chunks of CHUNK characters.
@@ -283,7 +283,8 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
         c = codec(sent.value)
         for whole in batches:
             for b in sliced(whole):
-                ids = [c.encode(t) for t in b.column("text").to_pylist()]
+                with no_cycles():
+                    ids = [c.encode(t) for t in b.column("text").to_pylist()]
                 more = [pa.array([c.pieces.decode(x.tolist()) for x in ids], pa.string())] if back else []
                 yield pa.RecordBatch.from_arrays([*b.select(keep).columns, _lists(ids), *more], [*keep, *(f.name for f in new)])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_key, with_workers
+from .common import no_cycles, text_key, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 from .sentencepieces import model_bytes
 
@@ -126,7 +126,8 @@ def counted(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     def run(batches):
         count = machine(sent.value).count
         for b in batches:
-            n = np.fromiter(map(count, b.column("text").to_pylist()), np.int64, b.num_rows)
+            with no_cycles():
+                n = np.fromiter(map(count, b.column("text").to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(n)], [*keep, "n_tokens"])
 
     short = docs.filter(~long_).mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))
