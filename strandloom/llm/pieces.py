@@ -3,8 +3,9 @@
 BPE merges the adjacent pair with the highest score, the leftmost first. Two facts turn this into a lattice:
 
 * a text's encoding is the one path of pieces in which every two neighbours, encoded alone, stay as they are;
-* no piece has a space mark after another character, and characters outside the vocabulary never merge, so a text
-  falls apart there into words that are encoded independently.
+* a piece holds only neighbouring characters that some piece holds, so a border is sure between any others (before a
+  space mark after another character, around a character outside the vocabulary, mostly before a full stop): a text falls apart
+  there into parts that are encoded independently.
 
 Both are checked when a model is loaded (the second) and by the tests against the library (both).
 """
@@ -71,6 +72,8 @@ class Pieces:
         if any(p.type == kind.USER_DEFINED for p in proto.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces may hold space marks at their start only, and none may be user defined")
         self.longest = max(map(len, self.ids), default=1)
+        #: Neighbours inside pieces: between any others there is a border.
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.chars = {c for p in self.ids if len(p) == 1 for c in p}
         #: The longest piece that ends with a character.
         self.longest_at: dict[str, int] = {}
@@ -121,7 +124,7 @@ class Pieces:
 
     def breaks(self, text: str, i: int) -> bool:
         """Whether marked text surely has a token border right before position i."""
-        return i == 0 or (text[i] == MARK and text[i - 1] != MARK) or text[i] not in self.chars or text[i - 1] not in self.chars
+        return i == 0 or text[i - 1 : i + 1] not in self.pairs
 
 
 #: The start state: no characters, and one place where a piece may begin.
@@ -233,14 +236,18 @@ def word_text(key: str) -> str:
 
 
 class Memo(dict):
-    """key -> value of a word, worked out at its first use; bounded."""
+    """key -> value of a word, worked out at its first use; bounded. A closing mark is taken off first where a border is sure."""
 
-    def __init__(self, work):
-        self.work = work
+    def __init__(self, work, breaks):
+        self.work, self.breaks = work, breaks
 
     def __missing__(self, key):
         if len(self) >= MEMO:
             for old in list(islice(self, MEMO // 2)):
                 del self[old]
-        value = self[key] = self.work(word_text(key))
+        if len(key) > 2 and key[-1] in ".,;:!?" and self.breaks(key, len(key) - 1):
+            value = self[key[:-1]] + self["\x01" + key[-1]]
+        else:
+            value = self.work(word_text(key))
+        self[key] = value
         return value

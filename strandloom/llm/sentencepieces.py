@@ -52,7 +52,7 @@ class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         # With a single outer state each position has one live node: then the lattice is walked by its compiled form.
-        self.memo = Memo(Transducer(self.pieces).ids)
+        self.memo = Memo(Transducer(self.pieces).ids, self.pieces.breaks)
 
     def nodes_at(self, text: str, cut: int) -> list[Node]:
         """The states at a cut: pieces and lone characters that start before it and end at it or later."""

@@ -37,7 +37,7 @@ class Counter:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         self.run = Transducer(self.pieces).run
-        self.memo = Memo(self.run)
+        self.memo = Memo(self.run, self.pieces.breaks)
 
     def count(self, text: str | None) -> int:
         return sum(map(self.memo.__getitem__, words_of(self.pieces, text))) if text else 0
