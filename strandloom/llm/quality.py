@@ -120,8 +120,9 @@ def stage(docs: DataFrame, host: str = "source") -> DataFrame:
     keyed = docs.select(*docs.columns, *[c.alias(n) for n, c in keys.items()])
     verdicts = judged(docs.select(host, "text"), *[c.alias(n.replace("__", "v_")) for n, c in keys.items()], host=host)
     verdicts = written(verdicts.select("v_h", "v_k1", "v_k2", "kept", "__removed").distinct(), "verdicts")
-    on = (F.col("__h") == F.col("v_h")) & (F.col("__k1") == F.col("v_k1")) & (F.col("__k2") == F.col("v_k2"))
-    out = keyed.join(verdicts.filter("kept"), on).withColumn("text", without_positions(F.col("text"), F.col("__removed"))).select(*docs.columns)
+    kept = verdicts.filter("kept").select(F.col("v_h").alias("__vh"), F.col("v_k1").alias("__v1"), F.col("v_k2").alias("__v2"), F.col("__removed").alias("__vr"))
+    on = (F.col("__h") == F.col("__vh")) & (F.col("__k1") == F.col("__v1")) & (F.col("__k2") == F.col("__v2"))
+    out = keyed.join(kept, on).withColumn("text", without_positions(F.col("text"), F.col("__vr"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

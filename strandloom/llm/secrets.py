@@ -144,8 +144,8 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     key = text_key(F.col("text"))
     marked = docs.withColumns({"__k1": key["k1"], "__k2": key["k2"]})
-    secrets = scanned(marked, None, "__k1", "__k2").filter("is_secret").groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.collect_set("candidate").alias("__s"))
-    joined = marked.join(secrets, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    secrets = scanned(marked, None, "__k1", "__k2").filter("is_secret").groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.collect_set("candidate").alias("__s")).withColumnsRenamed({"k1": "__g1", "k2": "__g2"})
+    joined = marked.join(secrets, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")), "left")
     # Longest first, so that a secret within another one doesn't cut it.
     ordered = F.array_sort(F.col("__s"), lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.size("__s") > 0, F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit("[SECRET]")))).otherwise(F.col("text"))

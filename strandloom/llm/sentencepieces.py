@@ -292,7 +292,8 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     key = text_key(F.col("text"))
     long = docs.filter(long_).select(*keep, key["k1"].alias("__k1"), key["k2"].alias("__k2"))
     ids = giant_ids(docs.select("text"), sent, giant, chunk)
-    found = long.join(ids, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*keep, "ids")
+    ids = ids.select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2"), F.col("ids").alias("__ids"))
+    found = long.join(ids, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))).select(*keep, F.col("__ids").alias("ids"))
     return short.unionByName(decoded(found, model, back) if back else found)
 
 

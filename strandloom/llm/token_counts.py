@@ -133,7 +133,8 @@ def counted(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     short = docs.filter(~long_).mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))
     long = docs.filter(long_).select(*keep, key["k1"].alias("__k1"), key["k2"].alias("__k2"))
     n = _giant_counts(docs.select("text"), sent, giant, chunk)
-    return short.unionByName(long.join(n, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select(*keep, "n_tokens"))
+    n = n.select(F.col("k1").alias("__g1"), F.col("k2").alias("__g2"), F.col("n_tokens").alias("__n"))
+    return short.unionByName(long.join(n, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))).select(*keep, F.col("__n").alias("n_tokens")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

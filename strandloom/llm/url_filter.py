@@ -56,9 +56,10 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", at: str =
     keyed = asked.select("u", "t", F.explode(keys_of(F.col("u"))).alias("k")).select("u", "t", "k.kind", "k.value")
     listed = intervals(entries).groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to"))).alias("spans"))
     hit = keyed.join(listed, ["kind", "value"]).filter(F.exists("spans", lambda s: (s["valid_from"] <= F.col("t")) & (F.col("t") < s["valid_to"])))
-    verdict = hit.groupBy("u", "t").agg(F.count("*").alias("n_rules"), F.min(F.concat_ws(":", "kind", "value")).alias("rule"))
-    out = captures.join(verdict, (F.col(url) == F.col("u")) & (F.col(at) == F.col("t")), "left")
-    return out.select(*[F.col(c) for c in captures.columns], F.col("n_rules").isNotNull().alias("blocked"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "rule")
+    verdict = hit.groupBy(F.col("u").alias("__u"), F.col("t").alias("__t")).agg(F.count("*").alias("__n"), F.min(F.concat_ws(":", "kind", "value")).alias("__rule"))
+    out = captures.join(verdict, (F.col(url) == F.col("__u")) & (F.col(at) == F.col("__t")), "left")
+    new = {"blocked": F.col("__n").isNotNull(), "n_rules": F.coalesce("__n", F.lit(0)), "rule": F.col("__rule")}
+    return out.select(*[F.col(c) for c in captures.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def kept(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
