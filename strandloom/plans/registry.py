@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
     "k17": "SELECT id, pos, substring(seq, CAST(pos + 1 AS INT), 17) AS kmer, (length(seq) - 16)//5 AS nw FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - 17)) AS pos FROM seqs)",
     "c17": "SELECT id, pos, pos//5 AS win, nw, translate(kmer, 'ACTG', '0123') AS f, translate(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACTG', '0123') AS r FROM k17",
     "mins": "SELECT id, win, arg_min(least(f, r), least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS code, arg_min(pos, least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS pos, arg_min(f <= r, least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS fwd FROM c17 WHERE win < nw GROUP BY id, win",
-    "anch": """SELECT q.id AS qid, t.id AS tid, q.pos AS qpos, t.pos AS tpos, q.fwd <> t.fwd AS rev FROM mins q JOIN mins t ON q.code = t.code AND q.id % 2 = 0 AND t.id % 2 = 1
+    "anch": """SELECT q.id AS qid, t.id AS tid, q.pos AS qpos, (t.win + 1)*5 AS tpos, q.fwd <> t.fwd AS rev FROM mins q JOIN mins t ON q.code = t.code AND q.id % 2 = 0 AND t.id % 2 = 1
         WHERE q.code IN (SELECT code FROM mins WHERE id % 2 = 1 GROUP BY code HAVING count(*) <= 20)""",
     "hits_": "SELECT l_orderkey % 500 AS eid, l_linenumber % 2 AS side, l_partkey % 500 AS start, l_partkey % 500 + 50 + l_suppkey % 50 AS stop FROM lineitem",
 }
@@ -624,7 +624,7 @@ def canonical_kmers(s, d):
     return S.canonical_rows(_short(s, d), 5).groupBy("code", "fwd").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, win, code, pos, fwd FROM mins")
+@query("SELECT id, win, code, pos, fwd, (win + 1)*5 AS stop FROM mins")
 def minimizers(s, d):
     return S.minimizers(A.sequences(s, d))
 
