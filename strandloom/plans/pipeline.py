@@ -16,6 +16,7 @@ from ..operators import grouped as K
 from ..operators import links as L
 from ..operators import repeats as R
 from ..operators import validate as V
+from ..operators.polish import sequence_polish
 from ..session import guarded
 from ..sources import readers, writers
 
@@ -155,6 +156,17 @@ def polished_gaps(s: Scaffolds, gaps: DataFrame, config: ScaffoldConfig = DEFAUL
     return out.withColumns({"gap_seq": F.coalesce("__seq", "gap_seq"), "overlap": F.when(F.col("__seq").isNotNull(), F.length("__seq")).otherwise(F.col("overlap"))}).drop("id", "__seq")
 
 
+def minimizer_polished(s: Scaffolds, gaps: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
+    """gaps with gap_seq corrected by contigs that no mate edge of the validated graph touches."""
+    used = s.validated.select(F.explode(F.array(F.shiftright("c1", 1), F.shiftright("c2", 1))).alias("ctgid"))
+    free = s.contigs.join(used, "ctgid", "left_anti").select(F.col("ctgid").alias("id"), "seq")
+    keyed = gaps.withColumn("id", pair_key(F.col("c1"), F.col("c2")))
+    edges = keyed.filter(F.col("overlap") >= config.polish_overlap).select("id", F.col("gap_seq").alias("seq"), F.col("avg_cns").alias("depth"))
+    done = sequence_polish(free, edges, config).filter("n_replaced > 0").select("id", F.col("seq").alias("__seq"))
+    out = keyed.join(done, "id", "left")
+    return out.withColumns({"gap_seq": F.coalesce("__seq", "gap_seq"), "overlap": F.when(F.col("__seq").isNotNull(), F.length("__seq")).otherwise(F.col("overlap"))}).drop("id", "__seq")
+
+
 def parts(s: Scaffolds, gaps: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
     """(line_id, idx, kind, seq, overlap) of every scaffold, single contigs of `singleton` bases or more among them."""
     g = gaps.select(F.col("c1").alias("u"), F.col("c2").alias("v"), "gap_seq", "overlap")
@@ -187,6 +199,7 @@ def run(spark: SparkSession, contigs: str, longreads: str, samlist: str, prefix:
     gaps = G.settled(K.gap_fill(gap_members(s, reads, config), contig_ends(s, config), config), "gaps")
     writers.write_table(gaps.drop("gap_seq"), f"{prefix}.gaps", " ")
     gaps = G.settled(polished_gaps(s, gaps, config), "polished")
+    gaps = G.settled(minimizer_polished(s, gaps, config), "polished")
     p = G.settled(parts(s, gaps, config), "parts")
     seqs = writers.scaffold_sequences(p)
     writers.write_fasta(seqs.select(F.concat(F.lit("WSC"), "line_id").alias("name"), "seq"), f"{prefix}.fa", config.fasta_width)

@@ -15,6 +15,7 @@ from ..operators import bundles as B
 from ..operators import graph as G
 from ..operators import grouped as K
 from ..operators import links as L
+from ..operators import polish as P
 from ..operators import repeats as R
 from ..operators import sequences as S
 from ..operators import validate as V
@@ -856,3 +857,10 @@ def lis_length(s, d):
 @query()
 def greedy_cover_hits(s, d):
     return K.greedy_cover(anchor_chains(s, d), 50)
+
+
+@query()
+def sequence_polish(s, d):
+    """Even sequences polish the odd ones that share minimizers with them."""
+    q = A.sequences(s, d)
+    return P.sequence_polish(q.filter("id % 2 = 0"), q.filter("id % 2 = 1").withColumn("depth", F.lit(1)), replace(CONFIG, f=20, chain_span=50, contig_fraction=0.2))

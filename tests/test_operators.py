@@ -99,3 +99,19 @@ def test_greedy_matching_equals_the_kernel(spark):
     edges = [(u, v, rng.randint(1, 9)) for u in range(25) for v in range(u + 1, 25) if rng.random() < 0.2]
     got = rows(grouped.greedy_matching(spark.createDataFrame(edges, "source long, target long, bw long")))
     assert got == sorted(edges[i] for i in greedy_matching(edges))
+
+
+def test_sequence_polish(spark):
+    import random
+
+    from strandloom.operators.polish import sequence_polish
+
+    rng = random.Random(9)
+    true = "".join(rng.choice("ACGT") for _ in range(1500))
+    gap = true[:700] + ("A" if true[700] != "A" else "C") + true[701:]
+    edges = spark.createDataFrame([(1, gap, 1), (3, "".join(rng.choice("ACGT") for _ in range(400)), 1)], "id long, seq string, depth int")
+    for piece in (true[200:1300], true[200:1300][::-1].translate(str.maketrans("ACGT", "TGCA"))):
+        contigs = spark.createDataFrame([(0, piece)], "id long, seq string")
+        got = {r.id: r for r in sequence_polish(contigs, edges).collect()}
+        assert got[3].n_replaced == 0 and got[1].n_replaced == 1
+        assert sum(a != b for a, b in zip(got[1].seq, true)) == 0
