@@ -65,7 +65,11 @@ def base_counts(docs: DataFrame, *keep) -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 4, at).alias("__at"),
     )
-    return found.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.size("__at") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
+    repeats = F.when(F.size("__at") > 0, covered).otherwise(F.lit(0)).cast("long")
+    # Filters aren't pushed through an explode of its own columns: one on a count would otherwise be rewritten into the
+    # expressions above, each of which it would repeat.
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
+    return found.select(*names, F.explode(F.array(counts)).alias("__c")).select(*names, "__c.*")
 
 
 def base_failed():
