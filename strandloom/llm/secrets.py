@@ -61,7 +61,8 @@ def with_coverage(rows: DataFrame, words: DataFrame) -> DataFrame:
     """rows with coverage: the share of a candidate's characters in runs of letters that are dictionary words."""
     runs = rows.select("candidate").distinct().select("candidate", F.explode(_runs(F.col("candidate"))).alias("word"))
     covered = runs.join(F.broadcast(words), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("__covered"))
-    covered = covered.withColumnRenamed("candidate", "__candidate")
+    # Written: the join then reads two plain shuffles, and a candidate that is everywhere can be split over tasks.
+    covered = written(covered.withColumnRenamed("candidate", "__candidate"), "coverage")
     out = rows.join(covered, F.col("candidate") == F.col("__candidate"), "left")
     return out.withColumn("coverage", F.coalesce("__covered", F.lit(0)) / F.length("candidate")).drop("__candidate", "__covered")
 
