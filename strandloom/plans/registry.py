@@ -675,7 +675,7 @@ def read_gap_seq(s, d):
 def hit_distance(s, d):
     a, b = F.col("l_orderkey") % 500, F.col("l_partkey") % 500
     x = A.table(s, d, "lineitem").select(a.alias("s_stop"), b.alias("t_start"))
-    return x.withColumn("dist", scoring.hit_distance(F.col("s_stop") - 100, F.col("s_stop"), F.col("t_start"), F.col("t_start") + 100)).groupBy("s_stop", "t_start", "dist").agg(F.count("*").alias("n"))
+    return x.withColumn("dist", scoring.hit_distance(F.col("s_stop"), F.col("t_start"))).groupBy("s_stop", "t_start", "dist").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT eid, err, s_start, t_start FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY err, s_start, t_start) AS k FROM (
@@ -691,7 +691,7 @@ def best_hit_pair(s, d):
     h = h.withColumn("i", F.row_number().over(Window.partitionBy("eid", "side").orderBy("start", "stop"))).filter("i <= 6")
     a = h.filter("side = 0").select("eid", F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
     b = h.filter("side = 1").select("eid", F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
-    dist = scoring.hit_distance(F.col("s_start"), F.col("s_stop"), F.col("t_start"), F.col("t_stop"))
+    dist = scoring.hit_distance(F.col("s_stop"), F.col("t_start"))
     best = a.join(b, "eid").groupBy("eid").agg(F.min(F.struct(F.abs(dist - 300).alias("err"), "s_start", "t_start")).alias("x"))
     return best.select("eid", "x.*")
 
