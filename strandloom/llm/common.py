@@ -20,6 +20,9 @@ REPO_ROOT = str(Path(__file__).resolve().parents[2])
 WS_CLASS = r"[\x20\x09-\x0D]"
 NON_WS_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,8 +36,9 @@ def guarded(spark: SparkSession) -> SparkSession:
 
 
 def with_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the session was started from another folder."""
-    guarded(spark)
+    """Settings for Python stages: small Arrow batches, since rows are whole texts and are held on both sides, and workers that can
+    import this package when the session was started from another folder."""
+    guarded(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if REPO_ROOT not in have.split(os.pathsep):
