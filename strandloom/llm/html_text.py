@@ -61,7 +61,7 @@ _JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|"
     r"subscri\w*|signup|popups?|modal|overlay|sidebar\w*|sidenav|navbar|navigation|nav|menus?|submenu|breadcrumbs?|footer|masthead|"
     r"comments?|commentlist|disqus|replies|respond|reactions|share|sharing|social|related|recommend\w*|widgets?|login|"
-    r"search|pagination|pager|toolbar|skip|copyright|outbrain|taboola)(?:$|[\s_-])"
+    r"search|pagination|pager|toolbar|skip|copyright|outbrain|taboola|alerts?|disclaimer|discussion|responses|feedback|toc)(?:$|[\s_-])"
 )
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
