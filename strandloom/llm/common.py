@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -77,6 +78,25 @@ def text_key(col):
     )
 
 
+_KEPT: dict = {}
+_TIMER: list[threading.Timer] = []
+
+
+def while_busy(key, make, seconds: float = 5.0):
+    """make()'s value, kept in this worker for its next tasks; dropped when nobody has asked for that long.
+
+    Workers are reused by later stages, which need the memory of a large memo for themselves.
+    """
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    for t in _TIMER:
+        t.cancel()
+    _TIMER[:] = [threading.Timer(seconds, _KEPT.clear)]
+    _TIMER[0].daemon = True
+    _TIMER[0].start()
+    return _KEPT[key]
+
+
 @contextmanager
 def no_cycles():
     """Without the collector of reference cycles: memos of many tuples have none, and looking for them takes a tenth of the time."""

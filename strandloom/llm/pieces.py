@@ -13,11 +13,12 @@ Both are checked when a model is loaded (the second) and by the tests against th
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from itertools import islice
 
 MARK = "▁"
 #: Words that are remembered for each worker; beyond it the older half goes, which costs time only.
-MEMO = 400_000
+MEMO = 300_000
 
 
 _BYTES = re.compile("[\udc80-\udcff]")
@@ -26,7 +27,7 @@ _BYTES = re.compile("[\udc80-\udcff]")
 class Follower(dict):
     """follower[a][b]: whether b may stand right after a; worked out at its first use, emptied when it holds too much."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.held = pieces, 0
@@ -130,7 +131,7 @@ class Pieces:
 #: The start state: no characters, and one place where a piece may begin.
 START = ("", ((0, "", 0),))
 #: Compiled transitions that are kept for each worker.
-MOST = 500_000
+MOST = 250_000
 
 
 class Transducer:
@@ -149,7 +150,8 @@ class Transducer:
     def _empty(self) -> None:
         self.states = {START: 0}
         self.keys = [START]
-        self.moves: list[dict[str, tuple[int, int, int]]] = [{}]
+        #: By character, then by state: most states have one way on, and a table for each would hold more than it does.
+        self.moves: dict[str, dict[int, tuple[int, int, int]]] = defaultdict(dict)
         self.size = 0
 
     def _compiled(self, state: int, c: str) -> tuple[int, int, int]:
@@ -171,9 +173,8 @@ class Transducer:
         to = self.states.setdefault(key, len(self.keys))
         if to == len(self.keys):
             self.keys.append(key)
-            self.moves.append({})
         self.size += 1
-        move = self.moves[state][c] = (to, adds, len(piece))
+        move = self.moves[c][state] = (to, adds, len(piece))
         return move
 
     def run(self, text: str) -> int:
@@ -183,7 +184,7 @@ class Transducer:
         state = total = 0
         moves = self.moves
         for c in text:
-            move = moves[state].get(c)
+            move = moves[c].get(state)
             if move is None:
                 move = self._compiled(state, c)
             state = move[0]
@@ -196,7 +197,7 @@ class Transducer:
             self._empty()
         state, moves, sizes = 0, self.moves, []
         for c in text:
-            move = moves[state].get(c)
+            move = moves[c].get(state)
             if move is None:
                 move = self._compiled(state, c)
             state = move[0]

@@ -20,7 +20,7 @@ character U+2581, which decodes to a space as in the library; repeated rows and
 
 from __future__ import annotations
 
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_cycles, sliced, text_key, with_workers
+from .common import no_cycles, sliced, text_key, while_busy, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 
 #: Texts of more characters than GIANT are cut into chunks of CHUNK characters.
@@ -52,7 +52,10 @@ class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         # With a single outer state each position has one live node: then the lattice is walked by its compiled form.
-        self.memo = Memo(Transducer(self.pieces).ids, self.pieces.breaks)
+        # A word's ids are kept as bytes of 16 or 32 bits each: small, and put together by one join.
+        self.kind = "H" if len(self.pieces.show) <= 1 << 16 else "I"
+        ids = Transducer(self.pieces).ids
+        self.memo = Memo(lambda w: array(self.kind, ids(w)).tobytes(), self.pieces.breaks)
 
     def nodes_at(self, text: str, cut: int) -> list[Node]:
         """The states at a cut: pieces and lone characters that start before it and end at it or later."""
@@ -115,7 +118,7 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.memo.__getitem__
-        return np.fromiter(chain.from_iterable(map(get, words_of(self.pieces, text or ""))), np.int32)
+        return np.frombuffer(b"".join(map(get, words_of(self.pieces, text or ""))), self.kind).astype(np.int32)
 
     def _borders(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
         """First and last sure border in (lo, hi)."""
@@ -126,7 +129,7 @@ class Codec:
     def _inside(self, text: str) -> list[int]:
         """The ids between two sure borders of marked text."""
         get = self.memo.__getitem__
-        return list(chain.from_iterable(get("\x01" + w) for w in _WORD.findall(text)))
+        return np.frombuffer(b"".join(get("\x01" + w) for w in _WORD.findall(text)), self.kind).tolist()
 
     def transfer(self, text: str, lo: int, hi: int, first: bool, last: bool) -> tuple[list, list, np.ndarray]:
         """States at lo, states at hi and the matrix of tokens that start in [lo, hi). text: the chunk with its surroundings."""
@@ -187,15 +190,9 @@ def cuts_of(size: int, chunk: int, longest: int) -> list[int]:
     return [*cuts, size]
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(model: bytes) -> Codec:
     """One codec for each worker and model, so that the memo outlives a task."""
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    return while_busy(("codec", hash(model)), lambda: Codec(model))
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -282,6 +279,7 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     def run(batches):
         c = codec(sent.value)
         for whole in batches:
+            codec(sent.value)  # still busy
             for b in sliced(whole):
                 with no_cycles():
                     ids = [c.encode(t) for t in b.column("text").to_pylist()]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_cycles, text_key, with_workers
+from .common import no_cycles, text_key, while_busy, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 from .sentencepieces import model_bytes
 
@@ -71,14 +71,9 @@ class Counter:
         return maps[0]
 
 
-_MACHINES: dict[int, Counter] = {}
-
-
 def machine(model: bytes) -> Counter:
-    key = hash(model)
-    if key not in _MACHINES:
-        _MACHINES[key] = Counter(model)
-    return _MACHINES[key]
+    """One counter for each worker and model, so that the memo outlives a task."""
+    return while_busy(("counter", hash(model)), lambda: Counter(model))
 
 
 def _giant_counts(docs: DataFrame, sent, giant: int, chunk: int) -> DataFrame:
