@@ -15,7 +15,7 @@ from ..kernels import align, gaps, graphs, paths
 from .graph import connected_components, settled
 
 #: Components with more nodes are matched greedily (half the best weight at least).
-MOST_NODES = 2000
+MOST_NODES = 256
 
 
 def _with_component(edges: DataFrame) -> DataFrame:
