@@ -18,7 +18,7 @@ from itertools import islice
 
 MARK = "▁"
 #: Words that are remembered for each worker; beyond it the older half goes, which costs time only.
-MEMO = 300_000
+MEMO = 450_000
 
 
 _BYTES = re.compile("[\udc80-\udcff]")
@@ -27,7 +27,7 @@ _BYTES = re.compile("[\udc80-\udcff]")
 class Follower(dict):
     """follower[a][b]: whether b may stand right after a; worked out at its first use, emptied when it holds too much."""
 
-    MOST = 300_000
+    MOST = 400_000
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.held = pieces, 0
@@ -131,7 +131,7 @@ class Pieces:
 #: The start state: no characters, and one place where a piece may begin.
 START = ("", ((0, "", 0),))
 #: Compiled transitions that are kept for each worker.
-MOST = 250_000
+MOST = 400_000
 
 
 class Transducer:
