@@ -1,0 +1,60 @@
+"""Near copies among texts, in DataFrame functions only: word shingles with a Jaccard index of 0.8 or more.
+
+MinHash bands name candidates: in each bucket of a band a text meets the bucket's first and last text, in one of a few
+orders of all texts, so a bucket of n texts makes 2 n pairs at most, without a task that holds it. Every pair is then
+checked by the shingles themselves (as hashes). A pair at 0.8 shares a bucket with a chance of 1 - 3e-5.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import NON_WS_CLASS, ascii_lower, text_key, written
+from .components import components
+
+WIDTH = 5
+BANDS, ROWS, ORDERS = 20, 4, 4
+
+
+def text_id(text):
+    """text_key() as one string."""
+    key = text_key(text)
+    return F.concat(F.hex(key["k1"]), F.lit("-"), F.hex(key["k2"]))
+
+
+def with_shingles(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """texts(id, text) -> (id, x): distinct hashes of the shingles; fewer words make one shingle, texts without words are left out."""
+    w = F.col("w")
+    split = texts.select("id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"{NON_WS_CLASS}+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))
+    return split.select("id", F.array_distinct(grams).alias("x"))
+
+
+def bucketed(texts: DataFrame) -> DataFrame:
+    """texts(id, text) -> (id, band, v) for each band of ROWS least hashes."""
+    least = with_shingles(texts).select("id", F.explode("x").alias("h")).groupBy("id").agg(*[F.min(F.xxhash64(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)])
+    keys = F.array(*[F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return least.select("id", F.posexplode(keys).alias("band", "v"))
+
+
+def near_pairs(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """texts(id, text), distinct -> (a, b) near copies of one another, a below b; with wanted(id), only from buckets that hold one of these."""
+    rows = written(bucketed(texts), "buckets")
+    if wanted is not None:
+        rows = rows.join(rows.join(wanted, "id", "left_semi").select("band", "v").distinct(), ["band", "v"], "left_semi")
+    place = F.struct(F.xxhash64("id", F.col("band") % ORDERS).alias("o"), "id")
+    ends = rows.groupBy("band", "v").agg(F.count("*").alias("n"), F.array(F.min(place)["id"], F.max(place)["id"]).alias("ends")).filter("n > 1")
+    met = rows.join(ends, ["band", "v"]).select("id", F.explode("ends").alias("o")).filter("id <> o")
+    pairs = written(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "pairs")
+    held = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    grams = written(with_shingles(texts.join(held, "id", "left_semi")), "shingles")
+    both = pairs.join(grams.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(grams.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    # i / (m + n - i) >= 0.8 in whole numbers.
+    return both.filter(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b")
+
+
+def groups(texts: DataFrame) -> DataFrame:
+    """texts(id, text), distinct -> (id, copy_of): the least id of the text's near copies, itself included."""
+    comp = components(near_pairs(texts))
+    return texts.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("copy_of"))

@@ -1,9 +1,9 @@
 """Quality rules in DataFrame functions only: base counts of a text, and lines that too many documents of a host share.
 
 Cross-document line frequency: lines are hashed in normalised form, the distinct documents (distinct texts: an exact
-copy is no further document) with a line are counted per host, and a line of at most `max_line_words` words found in
-more than max(`min_docs`, `share` of the host's rows) documents is boilerplate there. Longer lines are passages, whose
-repetition is a matter of the dedup operators. A document whose words lie mostly in boilerplate lines is depleted:
+copy is no further document) with a line are counted per host, and a line found in more than max(`min_docs`, `share` of
+the host's rows) documents is boilerplate there. Lines of over `max_line_words` words are passages, which near copies of
+a document share as well: of these only one counts, so that copies stay whole until near-dedup picks one. A document whose words lie mostly in boilerplate lines is depleted:
 less than `least_left` percent of its words would stay. It is rejected, as is one that fails the base rule.
 
 Defined results: a null text has no words, lines or symbols and fails the base rule; a null host counts as the host
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import copies
 from .common import NON_WS_CLASS, text_key, written
 from .lines import lines_of, without_positions
 
@@ -82,12 +83,27 @@ def _host(host: str):
 
 def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(host, h1, h2) of the lines above the host's limit."""
-    short = F.size(F.split("norm", " ")) <= MAX_LINE_WORDS
-    lines = lines_of(docs.select("text", _host(host).alias("__host")), "__host").filter(short)
+    texts = docs.select("text", _host(host).alias("__host"))
+    is_long = (F.size(F.split("norm", " ")) > MAX_LINE_WORDS).alias("long")
+    lines = lines_of(texts, "__host").select("__host", "h1", "h2", "k1", "k2", is_long)
     # Map side first: a line that is everywhere shuffles once for each task and text, and then as a count.
-    counts = lines.select("__host", "h1", "h2", "k1", "k2").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
+    counts = lines.distinct().groupBy("__host", "h1", "h2", "long").count().filter(F.col("count") > MIN_DOCS)
     hosts = docs.groupBy(_host(host).alias("__host")).agg(F.count("*").alias("__rows"))
-    return counts.join(hosts, "__host").filter(F.col("count") > SHARE * F.col("__rows")).select("__host", "h1", "h2")
+    counts = written(counts.join(hosts, "__host"), "line-counts")
+    above = F.col("count") > SHARE * F.col("__rows")
+    short = counts.filter(~F.col("long") & above).select("__host", "h1", "h2")
+    passages = counts.filter("long")
+    if passages.isEmpty():
+        return short
+    # A passage is in the near copies of its text as well: of these, one counts, in the line's documents and in the host's.
+    held = lines_of(texts, "__host", "text").join(passages, ["__host", "h1", "h2"], "left_semi").select("__host", "h1", "h2", copies.text_id(F.col("text")).alias("id"), "text")
+    held = written(held.dropDuplicates(["__host", "h1", "h2", "id"]), "passages")
+    group = written(copies.groups(held.select("id", "text").dropDuplicates(["id"])), "copies")
+    held = held.drop("text").join(group, "id")
+    spare = held.groupBy("__host").agg((F.count_distinct("id") - F.count_distinct("copy_of")).alias("__spare"))
+    counts = held.select("__host", "h1", "h2", "copy_of").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
+    counts = counts.join(hosts.join(spare, "__host").select("__host", (F.col("__rows") - F.col("__spare")).alias("__rows")), "__host")
+    return short.unionByName(counts.filter(above).select("__host", "h1", "h2"))
 
 
 def lost_lines(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -1,0 +1,49 @@
+"""The corpus operators do the whole job: cases that a cut by length, share or unit would leave out."""
+
+import random
+
+from pyspark.sql import functions as F
+from strandloom.llm import copies, quality
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(11)
+
+
+def words(n):
+    return " ".join("".join(RNG.choice("abcdefghilmnorstu") for _ in range(RNG.randint(3, 8))) for _ in range(n))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], SCHEMA)
+
+
+def near_copy(paragraphs, k):
+    """The paragraphs with one word changed in one of them."""
+    out = [p.split(" ") for p in paragraphs]
+    out[k % len(out)][5 + k % 40] = f"edit{k}"
+    return "\n".join(" ".join(p) for p in out)
+
+
+def test_near_pairs_are_exact(spark):
+    base = [words(70) for _ in range(3)]
+    texts = [near_copy(base, k) for k in range(12)] + [words(100), "\n".join([base[0], words(60)])]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(t.lower().split() for t in texts)}
+    near = {(i, j) for i in grams for j in grams if i < j and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    assert {i for p in near for i in p} == set(range(12))
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    assert {tuple(sorted(map(int, r))) for r in copies.near_pairs(d).collect()} <= near
+    groups = dict(copies.groups(d).collect())
+    assert len({groups[str(i)] for i in range(12)}) == 1 and len(set(groups.values())) == 3
+    assert copies.groups(d.limit(0)).isEmpty()
+
+
+def test_long_lines_are_boilerplate_and_copies_stay(spark):
+    licence, family = words(60), [words(60) for _ in range(4)]
+    rows = [(i, licence + "\n" + words(90), "hot") for i in range(14)] + [(20 + i, licence + "\n" + words(20), "hot") for i in range(3)]
+    rows += [(100 + i, near_copy(family, i), "hot") for i in range(30)]
+    d = frame(spark, rows)
+    verdict = {r.doc_id: r.kept for r in quality.digest(d).collect()}
+    left = {r.doc_id: r.text for r in quality.stage(d).collect()}
+    assert all(verdict[i] and licence not in left[i] for i in range(14))
+    assert not any(verdict[20 + i] for i in range(3)) and not {20, 21, 22} & set(left)
+    assert all(verdict[i] and left[i] == t for i, t, _ in rows if i >= 100)
