@@ -2,7 +2,7 @@
 
 Cross-document line frequency: lines are hashed in normalised form, the distinct documents (distinct texts: an exact
 copy is no further document) with a line are counted per host, and a line found in more than max(`min_docs`, `share` of
-the host's rows) documents is boilerplate there. Lines of over `max_line_words` words are passages, which near copies of
+the host's) documents is boilerplate there. Lines of over `max_line_words` words are passages, which near copies of
 a document share as well: of these only one counts, so that copies stay whole until near-dedup picks one. A document whose words lie mostly in boilerplate lines is depleted:
 less than `least_left` percent of its words would stay. It is rejected, as is one that fails the base rule.
 
@@ -88,9 +88,11 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     lines = lines_of(texts, "__host").select("__host", "h1", "h2", "k1", "k2", is_long)
     # Map side first: a line that is everywhere shuffles once for each task and text, and then as a count.
     counts = lines.distinct().groupBy("__host", "h1", "h2", "long").count().filter(F.col("count") > MIN_DOCS)
-    hosts = docs.groupBy(_host(host).alias("__host")).agg(F.count("*").alias("__rows"))
+    # The host's size in the same unit as a line's documents: distinct texts.
+    key = text_key(F.col("text"))
+    hosts = texts.select("__host", key["k1"].alias("k1"), key["k2"].alias("k2")).distinct().groupBy("__host").agg(F.count("*").alias("__texts"))
     counts = written(counts.join(hosts, "__host"), "line-counts")
-    above = F.col("count") > SHARE * F.col("__rows")
+    above = F.col("count") > SHARE * F.col("__texts")
     short = counts.filter(~F.col("long") & above).select("__host", "h1", "h2")
     passages = counts.filter("long")
     if passages.isEmpty():
@@ -102,7 +104,7 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     held = held.drop("text").join(group, "id")
     spare = held.groupBy("__host").agg((F.count_distinct("id") - F.count_distinct("copy_of")).alias("__spare"))
     counts = held.select("__host", "h1", "h2", "copy_of").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
-    counts = counts.join(hosts.join(spare, "__host").select("__host", (F.col("__rows") - F.col("__spare")).alias("__rows")), "__host")
+    counts = counts.join(hosts.join(spare, "__host").select("__host", (F.col("__texts") - F.col("__spare")).alias("__texts")), "__host")
     return short.unionByName(counts.filter(above).select("__host", "h1", "h2"))
 
 

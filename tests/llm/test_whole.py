@@ -47,3 +47,10 @@ def test_long_lines_are_boilerplate_and_copies_stay(spark):
     assert all(verdict[i] and licence not in left[i] for i in range(14))
     assert not any(verdict[20 + i] for i in range(3)) and not {20, 21, 22} & set(left)
     assert all(verdict[i] and left[i] == t for i, t, _ in rows if i >= 100)
+
+
+def test_host_limit_counts_texts_on_both_sides(spark):
+    rows = [(i, copied, "hot") for copied in [words(60)] for i in range(4000)]
+    rows += [(5000 + i, "all the same footer\n" + words(60), "hot") for i in range(15)]
+    left = {r.doc_id: r.text for r in quality.stage(frame(spark, rows)).collect()}
+    assert len(left) == len(rows) and not any("footer" in left[5000 + i] for i in range(15)) and left[0] == rows[0][1]
