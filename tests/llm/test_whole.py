@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from strandloom.llm import copies, quality
+from strandloom.llm import copies, line_dedup, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(11)
@@ -54,3 +54,12 @@ def test_host_limit_counts_texts_on_both_sides(spark):
     rows += [(5000 + i, "all the same footer\n" + words(60), "hot") for i in range(15)]
     left = {r.doc_id: r.text for r in quality.stage(frame(spark, rows)).collect()}
     assert len(left) == len(rows) and not any("footer" in left[5000 + i] for i in range(15)) and left[0] == rows[0][1]
+
+
+def test_line_dedup_spares_copies_only(spark):
+    menu, copied, family = words(60), words(80), [words(60) for _ in range(4)]
+    rows = [(i, menu + "\n" + words(30), f"site{i}") for i in range(12)] + [(100 + i, copied, f"site{i}") for i in range(12)]
+    rows += [(200 + i, near_copy(family, i), f"site{i}") for i in range(20)]
+    left = {r.doc_id: r.text for r in line_dedup.stage(frame(spark, rows)).collect()}
+    assert all(menu not in left[i] and len(left[i].split()) == 30 for i in range(12))
+    assert all(left[i] == t for i, t, _ in rows if i >= 100)
