@@ -26,16 +26,19 @@ def text_id(text):
 def with_shingles(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """texts(id, text) -> (id, x): distinct hashes of the shingles; fewer words make one shingle, texts without words are left out."""
     w = F.col("w")
-    split = texts.select("id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"{NON_WS_CLASS}+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))
+    # Filters on shingles aren't pushed through the explode; in its place they would split the text for each shingle.
+    split = texts.select("id", F.explode(F.array(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"{NON_WS_CLASS}+"), F.lit(0)))).alias("w")).filter(F.size("w") > 0)
+    # Word by word, as slice() reads the whole array each time; words beyond the end are null, which the hash passes over.
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
     return split.select("id", F.array_distinct(grams).alias("x"))
 
 
 def bucketed(texts: DataFrame) -> DataFrame:
     """texts(id, text) -> (id, band, v) for each band of ROWS least hashes."""
-    least = with_shingles(texts).select("id", F.explode("x").alias("h")).groupBy("id").agg(*[F.min(F.xxhash64(F.lit(j), "h")).alias(f"m{j}") for j in range(BANDS * ROWS)])
-    keys = F.array(*[F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return least.select("id", F.posexplode(keys).alias("band", "v"))
+    # A row for each band, with few aggregates in a row.
+    rows = with_shingles(texts).select("id", F.explode("x").alias("h")).select("id", "h", F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
+    least = rows.groupBy("id", "band").agg(*[F.min(F.xxhash64(F.col("band") * ROWS + r, "h")).alias(f"m{r}") for r in range(ROWS)])
+    return least.select("id", "band", F.xxhash64(*[f"m{r}" for r in range(ROWS)]).alias("v"))
 
 
 def near_pairs(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
