@@ -9,8 +9,6 @@ IUPAC = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
 COMPLEMENT = "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 COLLAPSES_FROM = "MRWVHDSYBK"
 COLLAPSES_TO = "AAAAAACCCG"
-#: The k-mer code: A 0, C 1, T 2, G 3.
-CODE_BASES, CODES = "ACTG", "0123"
 
 
 def revcomp(seq):
@@ -23,21 +21,9 @@ def collapsed(seq):
     return F.regexp_replace(F.translate(F.upper(seq), COLLAPSES_FROM, COLLAPSES_TO), "[^ACGT]", "A")
 
 
-def coded(seq):
-    """Digits of the k-mer code; for one length, their order as strings is that of the numbers."""
-    return F.translate(seq, CODE_BASES, CODES)
-
-
-def kmers(seq, k: int):
-    """All k-mers with their positions, as an array of structs (pos, kmer)."""
-    at = F.sequence(F.lit(0), F.length(seq) - k)
-    return F.when(F.length(seq) >= k, F.transform(at, lambda i: F.struct(i.alias("pos"), F.substring(seq, i + 1, F.lit(k)).alias("kmer"))))
-
-
-def canonical(kmer):
-    """(code, forward): the smaller code of a k-mer and its reverse complement, as digits."""
-    f, r = coded(kmer), coded(revcomp(kmer))
-    return F.struct(F.least(f, r).alias("code"), (f <= r).alias("fwd"))
+def digits(code, k: int):
+    """A k-mer's numeric code as its k digits in base four."""
+    return F.lpad(F.conv(code.cast("string"), 10, 4), k, "0")
 
 
 def wrapped(seq, width: int = 60):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 
 def biconnected(edges: list[tuple[int, int]]) -> list[int]:
     """A component number for each edge, by a depth-first search without recursion (Hopcroft and Tarjan)."""
@@ -45,228 +47,257 @@ def biconnected(edges: list[tuple[int, int]]) -> list[int]:
     return label
 
 
-def max_weight_matching(edges: list[tuple[int, int, int]]) -> list[int]:
-    """Indices of a matching of maximum weight (positive integers) in any graph: Edmonds' blossoms with dual variables, O(n^3)."""
-    names = sorted({x for u, v, _ in edges for x in (u, v)})
-    at = {x: i + 1 for i, x in enumerate(names)}
-    n = len(names)
-    top = 2 * n + 1
-    best: dict[tuple[int, int], int] = {}
-    for i, (u, v, w) in enumerate(edges):
-        key = (min(at[u], at[v]), max(at[u], at[v]))
-        if w > 0 and u != v and (key not in best or w > edges[best[key]][2]):
-            best[key] = i
-    if not best:
-        return []
-    # g[u][v]: the edge that stands for a pair of (super)nodes, as (end in u, end in v, weight).
-    g = [[(u, v, 0) for v in range(top)] for u in range(top)]
-    for (u, v), i in best.items():
-        g[u][v], g[v][u] = (u, v, edges[i][2]), (v, u, edges[i][2])
-    wmax = max(edges[i][2] for i in best.values())
-    lab = [wmax if 1 <= u <= n else 0 for u in range(top)]
-    match, slack, st, pa, side, vis = [0] * top, [0] * top, list(range(top)), [0] * top, [-1] * top, [0] * top
-    part: list[list[int]] = [[] for _ in range(top)]
-    into = [[x if x == u else 0 for x in range(n + 1)] for u in range(top)]
-    for u in range(n + 1, top):
-        st[u] = 0
-    size, queue, tick = n, [], 0
+class _Matcher:
+    """A matching that grows by one vertex at a time and stays of maximum weight (Edmonds' weighted blossoms, primal-dual).
 
-    def delta(e):
-        return lab[e[0]] + lab[e[1]] - 2 * g[e[0]][e[1]][2]
+    Vertices have duals y >= 0, blossoms z >= 0; an edge inside the graph has y[u] + y[v] + (z of the blossoms around both) >= its weight, matched
+    edges and those inside blossoms exactly so, and a vertex without a mate has y = 0. A new vertex gets the least dual that keeps this; while
+    that is above 0 a tree of alternating paths is grown from it until the dual of some vertex in the tree reaches 0, which then stays
+    alone, or the tree meets a vertex that is alone. Only vertices and edges of the tree are looked at.
 
-    def update_slack(u, x):
-        if not slack[x] or delta(g[u][x]) < delta(g[slack[x]][x]):
-            slack[x] = u
+    During a search the duals of outer (S) blossoms fall and those of inner (T) ones rise by one common amount, `gone`. What is stored for them is
+    the amount at which the dual would be 0 (S: y + gone, z / 2 - gone; T: the other way round), so the point at which something happens is
+    fixed when it is found, and one heap holds all that is to come: a stale entry is known by its slack.
 
-    def set_slack(x):
-        slack[x] = 0
-        for u in range(1, n + 1):
-            if g[u][x][2] > 0 and st[u] != x and side[st[u]] == 0:
-                update_slack(u, x)
+    Weights are doubled, so all duals are whole numbers.
+    """
 
-    def push(x):
-        todo = [x]
-        while todo:
-            y = todo.pop()
-            if y <= n:
-                queue.append(y)
+    def __init__(self, n: int, edges: list[tuple[int, int, int]]):
+        self.near: list[dict[int, int]] = [{} for _ in range(n)]
+        for u, v, w in edges:
+            if 2 * w > self.near[u].get(v, 0):
+                self.near[u][v] = self.near[v][u] = 2 * w
+        self.mate, self.y, self.there = [-1] * n, [0] * n, [False] * n
+        # Blossoms: ids below n are vertices. kids[0] holds the base; links[i] is an edge from kids[i] to kids[i + 1].
+        self.n, self.up, self.base, self.z = n, [-1] * n, list(range(n)), [0] * n
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        self.links: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        self.top = list(range(n))
+        self.side: dict[int, int] = {}  # of the outermost blossoms in the tree: 1 is S, -1 is T
+        self.via: dict[int, tuple[int, int]] = {}  # the edge through which a T blossom was reached, from S
+        self.heap: list[tuple[int, int, int, int]] = []
+        self.gone = 0
+
+    def leaves(self, b: int) -> list[int]:
+        out, stack = [], [b]
+        while stack:
+            x = stack.pop()
+            if x < self.n:
+                out.append(x)
             else:
-                todo += reversed(part[y])
+                stack += self.kids[x]
+        return out
 
-    def set_st(x, b):
-        st[x] = b
-        if x > n:
-            for y in part[x]:
-                set_st(y, b)
+    def slack(self, u: int, v: int, gone: int) -> int:
+        s, t = self.side.get(self.top[u], 0), self.side.get(self.top[v], 0)
+        return self.y[u] + self.y[v] - self.near[u][v] - (s + t) * gone
 
-    def turn(b, xr):
-        pr = part[b].index(xr)
-        if pr % 2:
-            part[b][1:] = reversed(part[b][1:])
-            return len(part[b]) - pr
-        return pr
+    def put_side(self, b: int, side: int) -> None:
+        """Changes an outermost blossom's side; 0 is outside the tree. What follows from it goes to the heap."""
+        gone, old = self.gone, self.side.get(b, 0)
+        if old == side:
+            return
+        turn = (side - old) * gone
+        if side:
+            self.side[b] = side
+        else:
+            del self.side[b]
+        inside = self.leaves(b)
+        for v in inside:
+            self.y[v] += turn
+        if b >= self.n:
+            self.z[b] -= 2 * turn
+            if side < 0:
+                heappush(self.heap, (self.z[b] // 2, 3, b, 0))
+        for v in inside if side >= 0 else ():
+            if side:
+                heappush(self.heap, (self.y[v], 0, v, 0))
+            for u in self.near[v]:
+                if not self.there[u] or (c := self.top[u]) == b:
+                    continue
+                other = self.side.get(c, 0)
+                if side and other == 0:
+                    heappush(self.heap, (self.slack(v, u, gone) + gone, 1, v, u))
+                elif side and other > 0:
+                    heappush(self.heap, (self.slack(v, u, gone) // 2 + gone, 2, v, u))
+                elif not side and other > 0:
+                    heappush(self.heap, (self.slack(u, v, gone) + gone, 1, u, v))
 
-    def set_match(u, v):
-        match[u] = g[u][v][1]
-        if u > n:
-            e = g[u][v]
-            xr = into[u][e[0]]
-            pr = turn(u, xr)
-            for i in range(pr):
-                set_match(part[u][i], part[u][i ^ 1])
-            set_match(xr, v)
-            part[u] = part[u][pr:] + part[u][:pr]
+    def rebase(self, b: int, v: int) -> None:
+        """Matches inside b so that all but v have a mate in b."""
+        todo = [(b, v)]
+        while todo:
+            b, v = todo.pop()
+            if b < self.n:
+                continue
+            c = v
+            while self.up[c] != b:
+                c = self.up[c]
+            i = self.kids[b].index(c)
+            self.kids[b] = kids = self.kids[b][i:] + self.kids[b][:i]
+            self.links[b] = links = self.links[b][i:] + self.links[b][:i]
+            self.base[b] = v
+            todo.append((c, v))
+            for j in range(1, len(kids), 2):
+                p, q = links[j]
+                self.mate[p], self.mate[q] = q, p
+                todo += [(kids[j], p), (kids[j + 1], q)]
 
-    def augment(u, v):
+    def augment(self, v: int, partner: int) -> None:
+        """Gives S vertex v a new partner (-1: none), and those up the tree the partners that this frees."""
         while True:
-            nxt = st[match[u]]
-            set_match(u, v)
-            if not nxt:
+            b = self.top[v]
+            old = self.mate[self.base[b]]
+            self.rebase(b, v)
+            self.mate[v] = partner
+            if old < 0:
                 return
-            set_match(nxt, st[pa[nxt]])
-            u, v = st[pa[nxt]], nxt
+            t = self.top[old]
+            x, end = self.via[t]
+            self.rebase(t, end)
+            self.mate[end] = x
+            v, partner = x, end
 
-    def ancestor(u, v):
-        nonlocal tick
-        tick += 1
-        while u or v:
-            if u:
-                if vis[u] == tick:
-                    return u
-                vis[u] = tick
-                u = st[match[u]]
-                if u:
-                    u = st[pa[u]]
-            u, v = v, u
-        return 0
+    def way(self, v: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """The blossoms from v's to the root's, and the edge from each to the next."""
+        b = self.top[v]
+        blossoms, edges = [b], []
+        while (m := self.mate[self.base[b]]) >= 0:
+            t = self.top[m]
+            x, end = self.via[t]
+            edges += [(self.base[b], m), (end, x)]
+            b = self.top[x]
+            blossoms += [t, b]
+        return blossoms, edges
 
-    def shrink(u, top_, v):
-        nonlocal size
-        b = n + 1
-        while b <= size and st[b]:
-            b += 1
-        if b > size:
-            size += 1
-        lab[b], side[b] = 0, 0
-        match[b] = match[top_]
-        part[b] = [top_]
-        for start, back in ((u, True), (v, False)):
-            x = start
-            while x != top_:
-                y = st[match[x]]
-                part[b] += [x, y]
-                push(y)
-                x = st[pa[y]]
-            if back:
-                part[b][1:] = reversed(part[b][1:])
-        set_st(b, b)
-        for x in range(1, size + 1):
-            g[b][x] = (b, x, 0)
-            g[x][b] = (x, b, 0)
-        into[b] = [0] * (n + 1)
-        for xs in part[b]:
-            for x in range(1, size + 1):
-                if g[b][x][2] == 0 or delta(g[xs][x]) < delta(g[b][x]):
-                    g[b][x], g[x][b] = g[xs][x], g[x][xs]
-            for x in range(1, n + 1):
-                if into[xs][x]:
-                    into[b][x] = xs
-        set_slack(b)
+    def shrink(self, u: int, v: int) -> None:
+        """The odd cycle that edge u-v closes becomes an S blossom."""
+        (one, e1), (two, e2) = self.way(u), self.way(v)
+        i, j = len(one), len(two)
+        while i and j and one[i - 1] == two[j - 1]:
+            i, j = i - 1, j - 1
+        # one[i] and two[j] are the same blossom: where the ways meet.
+        kids = [one[i], *one[:i][::-1], *two[:j]]
+        links = [(q, p) for p, q in e1[:i][::-1]] + [(u, v)] + e2[:j]
+        b = len(self.up)
+        root = kids[0]
+        for k in kids:
+            if self.side[k] < 0:
+                self.put_side(k, 1)
+        for k in kids:
+            if k >= self.n:
+                self.z[k] += 2 * self.gone
+            del self.side[k]
+            self.via.pop(k, None)
+            self.up[k] = b
+        self.up.append(-1)
+        self.base.append(self.base[root])
+        self.kids.append(kids)
+        self.links.append(links)
+        self.z.append(-2 * self.gone)
+        self.side[b] = 1
+        for x in self.leaves(b):
+            self.top[x] = b
 
-    def expand(b):
-        for x in part[b]:
-            set_st(x, x)
-        xr = into[b][g[b][pa[b]][0]]
-        pr = turn(b, xr)
-        for i in range(0, pr, 2):
-            xs, xns = part[b][i], part[b][i + 1]
-            pa[xs] = g[xns][xs][0]
-            side[xs], side[xns] = 1, 0
-            slack[xs] = 0
-            set_slack(xns)
-            push(xns)
-        side[xr], pa[xr] = 1, pa[b]
-        for xs in part[b][pr + 1 :]:
-            side[xs] = -1
-            set_slack(xs)
-        st[b] = 0
+    def expand(self, b: int) -> None:
+        """A T blossom whose dual is 0 falls apart; the way through it stays in the tree."""
+        kids, links, edge = self.kids[b], self.links[b], self.via.pop(b)
+        del self.side[b]
+        c = edge[1]
+        while self.up[c] != b:
+            c = self.up[c]
+        i, m = kids.index(c), len(kids)
+        for k in kids:
+            self.up[k] = -1
+            # Their vertices still hold the T side's amounts.
+            self.side[k] = -1
+            if k >= self.n:
+                self.z[k] += 2 * self.gone
+            for x in self.leaves(k):
+                self.top[x] = k
+        order = [*range(i, m), 0] if i % 2 else list(range(i, -1, -1))
+        on_way = [kids[k] for k in order]
+        for at, k in enumerate(order):
+            if at % 2 == 0:
+                if at:
+                    p = order[at - 1]
+                    edge = links[p] if p < k or k == 0 and p == m - 1 else links[k][::-1]
+                self.via[kids[k]] = edge
+                if kids[k] >= self.n:
+                    heappush(self.heap, (self.z[kids[k]] // 2, 3, kids[k], 0))
+        for k in kids:
+            if k not in on_way:
+                self.put_side(k, 0)
+        for k in on_way[1::2]:
+            self.put_side(k, 1)
+        self.kids[b], self.links[b], self.z[b] = [], [], 0
 
-    def grown(e):
-        u, v = st[e[0]], st[e[1]]
-        if side[v] == -1:
-            pa[v], side[v] = e[0], 1
-            nu = st[match[v]]
-            slack[v] = slack[nu] = 0
-            side[nu] = 0
-            push(nu)
-        elif side[v] == 0:
-            a = ancestor(u, v)
-            if not a:
-                augment(u, v)
-                augment(v, u)
-                return True
-            shrink(u, a, v)
-        return False
+    def add(self, r: int) -> None:
+        self.there[r] = True
+        self.y[r] = max(0, max((w - self.y[u] for u, w in self.near[r].items() if self.there[u]), default=0))
+        if not self.y[r]:
+            return
+        self.gone, self.heap = 0, []
+        self.put_side(r, 1)
+        while not self._step():
+            pass
+        for b in list(self.side):
+            turn = self.side[b] * self.gone
+            for v in self.leaves(b):
+                self.y[v] -= turn
+            if b >= self.n:
+                self.z[b] += 2 * turn
+        self.side.clear()
+        self.via.clear()
 
-    def phase():
-        for x in range(1, size + 1):
-            side[x], slack[x] = -1, 0
-        queue.clear()
-        for x in range(1, size + 1):
-            if st[x] == x and not match[x]:
-                pa[x], side[x] = 0, 0
-                push(x)
-        if not queue:
+    def _step(self) -> bool:
+        """What happens next; whether it ends the search."""
+        at, kind, a, b = heappop(self.heap)
+        if kind == 0:
+            if self.side.get(self.top[a]) != 1 or self.y[a] != at:
+                return False
+            self.gone = at
+            self.augment(a, -1)
+            return True
+        if kind == 3:
+            if self.side.get(a) != -1 or self.up[a] >= 0 or self.z[a] != 2 * at:
+                return False
+            self.gone = at
+            self.expand(a)
             return False
-        while True:
-            k = 0
-            while k < len(queue):
-                u = queue[k]
-                k += 1
-                if side[st[u]] == 1:
-                    continue
-                for v in range(1, n + 1):
-                    if g[u][v][2] > 0 and st[u] != st[v]:
-                        if delta(g[u][v]) == 0:
-                            if grown(g[u][v]):
-                                return True
-                        else:
-                            update_slack(u, st[v])
-            queue.clear()
-            d = float("inf")
-            for b in range(n + 1, size + 1):
-                if st[b] == b and side[b] == 1:
-                    d = min(d, lab[b] // 2)
-            for x in range(1, size + 1):
-                if st[x] == x and slack[x]:
-                    if side[x] == -1:
-                        d = min(d, delta(g[slack[x]][x]))
-                    elif side[x] == 0:
-                        d = min(d, delta(g[slack[x]][x]) // 2)
-            for u in range(1, n + 1):
-                if side[st[u]] == 0:
-                    if lab[u] <= d:
-                        return False
-                    lab[u] -= d
-                elif side[st[u]] == 1:
-                    lab[u] += d
-            for b in range(n + 1, size + 1):
-                if st[b] == b:
-                    if side[b] == 0:
-                        lab[b] += 2 * d
-                    elif side[b] == 1:
-                        lab[b] -= 2 * d
-            for x in range(1, size + 1):
-                if st[x] == x and slack[x] and st[slack[x]] != x and delta(g[slack[x]][x]) == 0:
-                    if grown(g[slack[x]][x]):
-                        return True
-            for b in range(n + 1, size + 1):
-                if st[b] == b and side[b] == 1 and lab[b] == 0:
-                    expand(b)
+        s, t = self.side.get(self.top[a], 0), self.side.get(self.top[b], 0)
+        if s != 1 or t != kind - 1 or self.top[a] == self.top[b] or self.slack(a, b, at):
+            return False
+        self.gone = at
+        if kind == 2:
+            self.shrink(a, b)
+            return False
+        c = self.top[b]
+        m = self.mate[self.base[c]]
+        if m < 0:
+            self.augment(a, b)
+            self.rebase(c, b)
+            self.mate[b] = a
+            return True
+        self.via[c] = (a, b)
+        self.put_side(c, -1)
+        self.put_side(self.top[m], 1)
+        return False
+
 
-    while phase():
-        pass
-    return sorted(best[(u, match[u])] for u in range(1, n + 1) if match[u] > u)
+def max_weight_matching(edges: list[tuple[int, int, int]]) -> list[int]:
+    """Indices of a matching of maximum weight (positive integers) in any graph; n searches of O(m log m) heap steps in the worst case."""
+    names = sorted({x for u, v, _ in edges for x in (u, v)})
+    at = {x: i for i, x in enumerate(names)}
+    best: dict[tuple[int, int], int] = {}
+    for i, (u, v, w) in enumerate(edges):
+        key = (min(at[u], at[v]), max(at[u], at[v]))
+        if w > 0 and u != v and (key not in best or w > edges[best[key]][2]):
+            best[key] = i
+    g = _Matcher(len(names), [(*key, edges[i][2]) for key, i in best.items()])
+    for v in range(len(names)):
+        g.add(v)
+    return sorted(best[u, v] for u, v in enumerate(g.mate) if v > u)
 
 
 def greedy_matching(edges: list[tuple[int, int, int]]) -> list[int]:

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
 from ..functions.morton import pair_key
-from ..session import guarded
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df with its lineage cut: written to the shared folder of the session and read back."""
-    spark = guarded(df.sparkSession)
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        import tempfile
-
-        there = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    path = f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import dropped, settled
 
 
 def nodes(contigs: DataFrame, repeats: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
@@ -82,7 +66,7 @@ def connected_components(edges_: DataFrame, most_rounds: int = 50) -> DataFrame:
     Labels flow to neighbours and then jump along the labels' own labels, so a long path takes about log2 rounds.
     """
     arcs = settled(edges_.select("source", "target").unionByName(edges_.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "arcs")
-    label = settled(arcs.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    held = label = settled(arcs.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(most_rounds):
         near = arcs.join(label, arcs["target"] == label["node"]).groupBy("source").agg(F.min("component").alias("m"))
         low = label.join(near, label["node"] == near["source"], "left").select("node", "component", F.least("component", "m").alias("low"))
@@ -91,9 +75,11 @@ def connected_components(edges_: DataFrame, most_rounds: int = 50) -> DataFrame:
         best = low.join(told, "node", "left").select("node", "component", F.least("low", F.coalesce("t", "low")).alias("low"))
         jump = best.select(F.col("node").alias("n"), F.col("low").alias("far"))
         new = settled(best.join(jump, best["low"] == jump["n"], "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), "component"), "labels")
+        dropped(held)
+        held, label = new, new.select("node", F.col("new").alias("component"))
         if new.filter("new < component").isEmpty():
-            return new.select("node", F.col("new").alias("component"))
-        label = new.select("node", F.col("new").alias("component"))
+            dropped(arcs)
+            return label
     raise RuntimeError("components did not settle")
 
 
@@ -115,7 +101,8 @@ def lines(cover: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
         far = state.select(F.col("u").alias("fu"), F.col("v").alias("fv"), F.col("nu").alias("fnu"), F.col("nv").alias("fnv"), F.col("after").alias("fafter"), F.col("end").alias("fend"))
         j = state.join(far, (F.col("nu") == F.col("fu")) & (F.col("nv") == F.col("fv")), "left")
-        state = settled(j.select("u", "v", F.col("fnu").alias("nu"), F.col("fnv").alias("nv"), (F.col("after") + F.coalesce("fafter", F.lit(0))).alias("after"), F.coalesce("fend", "end").alias("end")), "arcs")
+        old, state = state, settled(j.select("u", "v", F.col("fnu").alias("nu"), F.col("fnv").alias("nv"), (F.col("after") + F.coalesce("fafter", F.lit(0))).alias("after"), F.coalesce("fend", "end").alias("end")), "arcs")
+        dropped(old)
     else:
         raise RuntimeError("a cover must not hold cycles")
     # The end behind an arc is the end that its reverse leads to.

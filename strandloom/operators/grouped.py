@@ -1,21 +1,27 @@
 """Graph and sequence kernels run for each group on executors.
 
 Groups are connected or biconnected components, edges or sequence pairs. A component goes to one task as a whole, which the
-kernels need; its size is reported, and matching falls back to a distributed greedy form beyond `MOST_NODES`.
+kernels need; what can be decided by the neighbourhood alone is taken off in DataFrames first.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
 from ..kernels import align, gaps, graphs, paths
-from .graph import connected_components, settled
+from .graph import connected_components, dropped, settled
 
-#: Components with more nodes are matched greedily (half the best weight at least).
-MOST_NODES = 256
+#: Heavy edges are taken off before the matching as long as a round takes at least this share of what is left.
+LEAST_SHARE = 0.05
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys over all shuffle partitions: kernels cost time by what they do, not by bytes, so small partitions aren't joined."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def _with_component(edges: DataFrame) -> DataFrame:
@@ -33,26 +39,51 @@ def biconnected_components(edges: DataFrame) -> DataFrame:
         rows["bcc"] = rows.groupby("label")["name"].transform("first")
         return rows[["source", "target", "bcc"]]
 
-    return _with_component(edges.select("source", "target")).groupBy("component").applyInPandas(run, "source long, target long, bcc string")
+    return spread(_with_component(edges.select("source", "target")), "component").groupBy("component").applyInPandas(run, "source long, target long, bcc string")
+
+
+def heavy_edges(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """candidates(source, target, bw) -> (edges that some matching of maximum weight holds, what is left without their neighbours).
+
+    An edge that weighs as much as the heaviest other edges at both its ends together can replace these in any matching. Only
+    the heaviest edge of both ends, ties by ends, is asked, so the edges of a round don't touch; their neighbours go. A hub is one row after the
+    map-side aggregation.
+    """
+    left, taken = settled(candidates.select("source", "target", "bw"), "candidates"), []
+    rank = F.struct("bw", "source", "target")
+    while True:
+        sides = left.select(F.explode(F.array("source", "target")).alias("n"), rank.alias("r"))
+        first = sides.groupBy("n").agg(F.max("r").alias("top"))
+        ends = settled(sides.join(first, "n").groupBy("n").agg(F.max("top").alias("top"), F.max(F.when(F.col("r") != F.col("top"), F.col("r.bw"))).alias("next")), "ends")
+        s, t = (ends.select(F.col("n").alias(c), F.col("top").alias(f"top_{c}"), F.coalesce("next", F.lit(0)).alias(f"next_{c}")) for c in ("source", "target"))
+        both = left.join(s, "source").join(t, "target").filter((rank == F.col("top_source")) & (rank == F.col("top_target")))
+        won = settled(both.filter("bw >= next_source + next_target").select("source", "target", "bw"), "heavy")
+        taken.append(won)
+        used = won.select(F.explode(F.array("source", "target")).alias("n"))
+        rest = settled(left.join(used, left["source"] == used["n"], "left_anti").join(used, F.col("target") == used["n"], "left_anti"), "candidates")
+        n, old = won.count(), left.count()
+        dropped(ends, left)
+        left = rest
+        if not n or n < LEAST_SHARE * old:
+            break
+    every = taken[0]
+    for t in taken[1:]:
+        every = every.unionByName(t)
+    return every, left
 
 
 def max_weight_cover(candidates: DataFrame) -> DataFrame:
-    """candidates(source, target, bw) -> the matched ones, with exact: whether their component was small enough for the exact solver."""
+    """candidates(source, target, bw) -> a matching of maximum weight: heavy edges by DataFrames, then each component that is left by the exact kernel."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "target"]).reset_index(drop=True)
         picked = graphs.max_weight_matching(list(zip(rows["source"].tolist(), rows["target"].tolist(), rows["bw"].tolist())))
         return rows.loc[picked, ["source", "target", "bw"]]
 
-    e = settled(_with_component(candidates.select("source", "target", "bw")), "candidates")
-    # A component has at least half as many nodes as ... edges + 1; counting distinct nodes is exact.
-    sizes = e.select("component", F.explode(F.array("source", "target")).alias("n")).distinct().groupBy("component").count()
-    big = sizes.filter(F.col("count") > MOST_NODES).select("component")
-    small = e.join(big, "component", "left_anti").groupBy("component").applyInPandas(run, "source long, target long, bw long").withColumn("exact", F.lit(True))
-    rest = e.join(big, "component", "left_semi")
-    if rest.isEmpty():
-        return small
-    return small.unionByName(greedy_matching(rest.select("source", "target", "bw")).withColumn("exact", F.lit(False)))
+    heavy, left = heavy_edges(candidates)
+    if left.isEmpty():
+        return heavy
+    return heavy.unionByName(spread(_with_component(left), "component").groupBy("component").applyInPandas(run, "source long, target long, bw long"))
 
 
 def greedy_matching(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -61,6 +92,7 @@ def greedy_matching(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if left.isEmpty():
             break
+        before = left
         rank = F.struct((-F.col("bw")).alias("w"), "source", "target")
         top = left.select(F.explode(F.array("source", "target")).alias("n"), rank.alias("r")).groupBy("n").agg(F.min("r").alias("r"))
         both = left.withColumn("r", rank).join(top.select(F.col("n").alias("source"), F.col("r").alias("rs")), "source").join(top.select(F.col("n").alias("target"), F.col("r").alias("rt")), "target")
@@ -68,16 +100,17 @@ def greedy_matching(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         taken = won if taken is None else taken.unionByName(won)
         used = won.select(F.explode(F.array("source", "target")).alias("n"))
         left = left.join(used, left["source"] == used["n"], "left_anti").join(used, F.col("target") == used["n"], "left_anti")
-        left = settled(left, "edges")
+        old, left = before, settled(left, "edges")
+        dropped(old)
     else:
         raise RuntimeError("greedy matching did not settle")
     return taken if taken is not None else edges.select("source", "target", "bw")
 
 
 def acyclic_cover(matched: DataFrame, contig_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mate edges that stay, circular edges): every cycle of contig and matched edges loses its lightest mate edge.
+    """(mate edges that stay, circular edges that went): every cycle of contig and matched edges loses its lightest mate edge.
 
-    A cover has degree two at most, so a component is a cycle if it has as many edges as nodes.
+    The line that is left of a cycle is circular: the ends of the edge that went are its two ends. A cover has degree two at most, so a component is a cycle if it has as many edges as nodes.
     """
     m = matched.select("source", "target", "bw", F.lit(False).alias("dummy"))
     every = m.unionByName(contig_edges.select("source", "target", F.lit(0).cast("long").alias("bw"), F.lit(True).alias("dummy")))
@@ -113,7 +146,7 @@ def transitive_reduction(edges: DataFrame, bcc: DataFrame, reads: DataFrame, blo
         return pd.DataFrame(out, columns=["source", "target", "kind", "plen", "pvar", "weight"])
 
     cols = [*key, "dummy", "bd", "bd_std", "bw", "bcc", "reads", "hits", "want", "block_source", "block_target"]
-    return e.select(*cols).groupBy("bcc").applyInPandas(run, "source long, target long, kind string, plen long, pvar long, weight long")
+    return spread(e.select(*cols), "bcc").groupBy("bcc").applyInPandas(run, "source long, target long, kind string, plen long, pvar long, weight long")
 
 
 def alternative_paths(edges: DataFrame, asked: DataFrame, forbidden: DataFrame, config: ScaffoldConfig = DEFAULT, most_iterations: int = 5_000_000) -> DataFrame:
@@ -139,7 +172,7 @@ def alternative_paths(edges: DataFrame, asked: DataFrame, forbidden: DataFrame,
                 out.append((x.source, x.target, nodes, *paths.measure(g, way)))
         return pd.DataFrame(out, columns=["source", "target", "path", "plen", "pvar"])
 
-    return e.unionByName(a).unionByName(f).groupBy("component").applyInPandas(run, "source long, target long, path array<long>, plen long, pvar long")
+    return spread(e.unionByName(a).unionByName(f), "component").groupBy("component").applyInPandas(run, "source long, target long, path array<long>, plen long, pvar long")
 
 
 def semi_global(pairs: DataFrame) -> DataFrame:
@@ -179,7 +212,7 @@ def gap_fill(members: DataFrame, ends: DataFrame, config: ScaffoldConfig = DEFAU
         got = gaps.joined(text, depth, e["left"], e["right"], int(e["bd"]), int(e["bd_std"]), lead, config.min_hit_identity, config.low_identity)
         return pd.DataFrame([{"c1": e["c1"], "c2": e["c2"], **got, "cns_len": len(text)}])
 
-    return members.groupBy("c1", "c2").cogroup(ends.groupBy("c1", "c2")).applyInPandas(run, GAP)
+    return spread(members, "c1", "c2").groupBy("c1", "c2").cogroup(spread(ends, "c1", "c2").groupBy("c1", "c2")).applyInPandas(run, GAP)
 
 
 def window_consensus(members: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
@@ -191,7 +224,7 @@ def window_consensus(members: DataFrame, config: ScaffoldConfig = DEFAULT) -> Da
         text, depth = gaps.gap_consensus(lead, others, config.tile, config.window_identity, config.min_window_query)
         return pd.DataFrame({"id": rows["id"].iloc[:1], "seq": [text], "mean_depth": [sum(depth) // max(1, len(depth))]})
 
-    return members.groupBy("id").applyInPandas(run, "id long, seq string, mean_depth long")
+    return spread(members, "id").groupBy("id").applyInPandas(run, "id long, seq string, mean_depth long")
 
 
 def graph_polish(rows: DataFrame) -> DataFrame:
@@ -205,21 +238,22 @@ def graph_polish(rows: DataFrame) -> DataFrame:
     return rows.withColumn("r", run("gap", "depth", "pieces")).select("id", "r.*")
 
 
-CHAIN = "qid long, tid long, rev boolean, ts int, te int, qs int, qe int, cnt int, mlen int, blen int"
+_CHAIN = "array<struct<ts:int,te:int,qs:int,qe:int,cnt:int,mlen:int,blen:int>>"
 
 
 def anchor_chains(anchors: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
-    """Collinear anchor chains of each pair and strand."""
+    """Collinear anchor chains of each pair and strand: (qid, tid, rev, ts, te, qs, qe, cnt, mlen, blen).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        q, t, rev = rows["qid"].iloc[0], rows["tid"].iloc[0], bool(rows["rev"].iloc[0])
-        got = align.chains(list(zip(rows["tpos"].tolist(), rows["qpos"].tolist())), rev, config.chain_gap, config.chain_anchors, config.chain_span)
-        return pd.DataFrame([(q, t, rev, *c) for c in got], columns=[x.split()[0] for x in CHAIN.split(", ")])
+    A pair's anchors, bounded by its sequences, are gathered by the JVM; the kernel gets many pairs in a batch. Pairs with too few anchors never reach it.
+    """
+
+    @F.pandas_udf(_CHAIN)
+    def run(rev: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([align.chains([(x["t"], x["q"]) for x in a], bool(r), config.chain_gap, config.chain_anchors, config.chain_span) for r, a in zip(rev, at)], dtype=object)
 
-    # Pairs with too few anchors for a chain never reach Python.
-    n = F.count("*").over(Window.partitionBy("qid", "tid", "rev"))
-    enough = anchors.withColumn("n", n).filter(F.col("n") >= config.chain_anchors).drop("n")
-    return enough.groupBy("qid", "tid", "rev").applyInPandas(run, CHAIN)
+    at = F.collect_list(F.struct(F.col("tpos").alias("t"), F.col("qpos").alias("q"))).alias("at")
+    pairs = anchors.groupBy("qid", "tid", "rev").agg(at).filter(F.size("at") >= config.chain_anchors)
+    return pairs.select("qid", "tid", "rev", F.explode(run("rev", "at")).alias("c")).select("qid", "tid", "rev", "c.*")
 
 
 def lis_lengths(rows: DataFrame) -> DataFrame:
@@ -239,4 +273,4 @@ def greedy_cover(hits: DataFrame, novelty: int = DEFAULT.novelty) -> DataFrame:
         rows = rows.sort_values(["ts", "te", "qid"]).reset_index(drop=True)
         return rows.loc[align.greedy_cover(list(zip(rows["ts"], rows["te"], rows["cnt"], rows["mlen"])), novelty)]
 
-    return hits.select("tid", "qid", "ts", "te", "cnt", "mlen").groupBy("tid").applyInPandas(run, "tid long, qid long, ts int, te int, cnt int, mlen int")
+    return spread(hits.select("tid", "qid", "ts", "te", "cnt", "mlen"), "tid").groupBy("tid").applyInPandas(run, "tid long, qid long, ts int, te int, cnt int, mlen int")

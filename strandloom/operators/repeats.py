@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
+from ..sources.readers import numbered
 
 
-def _head(df: DataFrame, share: float, *order) -> DataFrame:
-    """The first floor(share * n) rows in an order: a distributed top-k, no window over all rows."""
-    n = df.count()
-    return df.orderBy(*order).limit(int(share * n))
+def _ranked(df: DataFrame, *order) -> tuple[DataFrame, int]:
+    """(df with its rows' `rank` from 0 in an order, its number of rows): range partitions and their offsets, so no task holds a share of all rows."""
+    return numbered(df.orderBy(*order), "rank")
 
 
 def by_longest(contigs: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
     """repeat: coverage over rcn times the mean coverage of the longest tenth of the contigs with a coverage."""
-    known = contigs.filter("coverage IS NOT NULL")
-    mean = _head(known, 0.1, F.desc("length"), "ctgid").agg(F.avg("coverage").alias("mean"))
+    ranked, n = _ranked(contigs.filter("coverage IS NOT NULL").select("ctgid", "length", "coverage"), F.desc("length"), "ctgid")
+    mean = ranked.filter(F.col("rank") < int(0.1 * n)).agg(F.avg("coverage").alias("mean"))
     return contigs.crossJoin(F.broadcast(mean)).select("ctgid", F.coalesce(F.col("coverage") > F.col("mean") * config.rcn, F.lit(False)).alias("repeat"))  # one row is broadcast
 
 
@@ -30,9 +30,7 @@ def by_reads(contigs: DataFrame, counts: DataFrame, config: ScaffoldConfig = DEF
 
 def by_trimmed(contigs: DataFrame) -> DataFrame:
     """repeat: coverage over mean + 2.5 deviations + 0.5, both taken without the lowest and highest twentieth."""
-    known = contigs.filter("coverage IS NOT NULL")
-    low = _head(known, 0.05, "coverage", "ctgid").select("ctgid")
-    high = _head(known, 0.05, F.desc("coverage"), F.desc("ctgid")).select("ctgid")
-    mid = known.join(low.unionByName(high), "ctgid", "left_anti")
+    ranked, n = _ranked(contigs.filter("coverage IS NOT NULL").select("ctgid", "coverage"), "coverage", "ctgid")
+    mid = ranked.filter((F.col("rank") >= int(0.05 * n)) & (F.col("rank") < n - int(0.05 * n)))
     stats = mid.agg(F.avg("coverage").alias("mean"), F.greatest(F.stddev_samp("coverage"), F.lit(1.0)).alias("dev"))
     return contigs.crossJoin(F.broadcast(stats)).select("ctgid", F.coalesce(F.col("coverage") > F.col("mean") + 2.5 * F.col("dev") + 0.5, F.lit(False)).alias("repeat"))

@@ -69,12 +69,50 @@ def reduced_in_line(reduced: DataFrame, pos: DataFrame) -> DataFrame:
     return reduced.join(a, "source").join(b, ["line_id", "target"])
 
 
-def path_fragments(inline: DataFrame, lengths: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
-    """(line_id, source, target, pos, d) of the reduced edges that agree with their line; the observed distance counts."""
+def circles(steps_: DataFrame, cut: DataFrame) -> DataFrame:
+    """cut(source, target, bd): mate edges that closed a cycle -> (line_id, closing): the circular lines and the length of the edge that went."""
+    at = steps_.select("line_id", F.explode(F.array("node", "next")).alias("source")).distinct()
+    return cut.join(at, "source").groupBy("line_id").agg(F.max("bd").cast("long").alias("closing"))
+
+
+def circular_distance(inline: DataFrame, sizes: DataFrame, closed: DataFrame) -> DataFrame:
+    """inline(line_id, source, target, plen, pvar, ps, pt) of circular lines, with size and around: the distance over the line's ends."""
+    low, high = F.least("ps", "pt"), F.greatest("ps", "pt")
+    return inline.join(closed, "line_id").join(sizes, "line_id").withColumn("around", low + (F.col("size") - high) + F.col("closing")).drop("closing")
+
+
+def _agrees(distance, config: ScaffoldConfig):
+    return F.abs(F.col("plen") - distance) <= config.tolerance * F.greatest("pvar", "line_var")
+
+
+def path_fragments(inline: DataFrame, lengths: DataFrame, config: ScaffoldConfig = DEFAULT, sizes: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """(line_id, source, target, pos, d) of the reduced edges that agree with their line; the observed distance counts.
+
+    With the lines' sizes and the circular lines (circles()): an edge that disagrees, but agrees over the ends of a circular line, gives two
+    fragments, from the line's begin to its first node and from its second node to the line's end.
+    """
     x = inline.join(lengths.select("line_id", F.col("pvar").alias("line_var")), "line_id").filter(F.col("plen") >= config.mlp)
-    d = F.abs(F.col("ps") - F.col("pt"))
-    ok = F.abs(F.col("plen") - d) <= config.tolerance * F.greatest("pvar", "line_var")
-    return x.filter(ok & (F.least("ps", "pt") >= 0)).select("line_id", "source", "target", F.least("ps", "pt").alias("pos"), d.alias("d"))
+    low, high = F.least("ps", "pt"), F.greatest("ps", "pt")
+    straight = _agrees(high - low, config)
+    plain = x.filter(straight & (low >= 0)).select("line_id", "source", "target", low.alias("pos"), (high - low).alias("d"))
+    if closed is None:
+        return plain
+    over = circular_distance(x.filter(~straight), sizes, closed).filter(_agrees(F.col("around"), config))
+    zero = F.lit(0).cast("long")
+    two = F.array(F.struct(zero.alias("pos"), low.cast("long").alias("d")), F.struct(high.cast("long").alias("pos"), (F.col("size") - high).cast("long").alias("d")))
+    return plain.unionByName(over.select("line_id", "source", "target", F.explode(two).alias("f")).select("line_id", "source", "target", "f.*").filter("pos >= 0"))
+
+
+def physical_coverage(reduced: DataFrame, found: DataFrame, lengths: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
+    """One row: reduced edges of at least mlp (n_tried), those with fragments (n_added), their length, the length of the lines of at least mlp,
+    and the first by the second, the physical coverage."""
+    long_ = reduced.filter(F.col("plen") >= config.mlp)
+    added = long_.join(found.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    tried = long_.agg(F.count("*").alias("n_tried"))
+    got = added.agg(F.count("*").alias("n_added"), F.coalesce(F.sum("plen"), F.lit(0)).cast("long").alias("path_length"))
+    whole = lengths.filter(F.col("plen") >= config.mlp).agg(F.coalesce(F.sum("plen"), F.lit(0)).cast("long").alias("line_length"))
+    one = tried.crossJoin(F.broadcast(got)).crossJoin(F.broadcast(whole))  # one row each
+    return one.withColumn("coverage", F.round(F.col("path_length") / F.when(F.col("line_length") > 0, F.col("line_length")), 9))
 
 
 def depth(frags: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -101,11 +139,22 @@ def low_intervals(depths: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFr
     return part.groupBy("line_id", "part").agg(F.min("beg").alias("start"), (F.max("end") - 1).alias("stop")).select("line_id", "start", "stop")
 
 
+#: Bases of a bin by which intervals meet; an interval lies in one or two of them, or in as many as it is long.
+BIN = 65_536
+
+
 def suspicious_overlaps(low: DataFrame, frags: DataFrame) -> DataFrame:
-    """Suspicious edges with a low interval that starts or stops in them. Lines are equal first: Spark hashes the join by them."""
+    """Suspicious edges with a low interval that starts or stops in them.
+
+    The two ends of a low interval are points; a point meets the fragments over its bin, not all of its line. A stop counts where the start doesn't.
+    """
     f = frags.filter("kind = 'suspicious'").select("line_id", "u", "v", "pos", "d")
     end = F.col("pos") + F.col("d")
-    return low.join(f, "line_id").filter(F.col("start").between(F.col("pos"), end) | F.col("stop").between(F.col("pos"), end))
+    f = f.withColumn("bin", F.explode(F.sequence(F.expr(f"pos div {BIN}"), F.expr(f"(pos + d) div {BIN}"))))
+    both = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("first")), F.struct(F.col("stop").alias("at"), F.lit(False).alias("first")))
+    points = low.select("line_id", "start", "stop", F.explode(both).alias("p")).select("line_id", "start", "stop", "p.*").withColumn("bin", F.expr(f"at div {BIN}"))
+    met = points.join(f, ["line_id", "bin"]).filter(F.col("at").between(F.col("pos"), end) & (F.col("first") | ~F.col("start").between(F.col("pos"), end)))
+    return met.select("line_id", "start", "stop", "u", "v", "pos", "d")
 
 
 def validated(mates: DataFrame, overlaps: DataFrame, support: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:

@@ -66,10 +66,9 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sequences(spark: SparkSession, sf_dir: str, least: int = 100, most: int = 600) -> DataFrame:
-    """(id, seq) from documents: at least `least` bases, cut at `most`, which is this adapter's size of a sequence."""
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sequence_of(F.col("text")).alias("seq"))
-    return s.filter(F.length("seq") >= least).select("id", F.substring("seq", 1, most).alias("seq"))
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq): every document's whole text as a sequence; one without letters is empty."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sequence_of(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
 #: The same adapters as DuckDB views, for the oracle; each names the ones it builds on by using them.
@@ -89,6 +88,5 @@ VIEWS = {
         'ctg' || a AS name1, CASE WHEN a % 3 = 0 THEN la - q1 - 200 ELSE q1 END AS pos1, a % 3 <> 0 AS fwd1,
         'ctg' || b AS name2, CASE WHEN b % 3 = 0 THEN lb - q2 - 200 ELSE q2 END AS pos2, b % 3 = 0 AS fwd2
         FROM (SELECT *, la - (avg - true_dist - (q2 + 200)) AS q1 FROM pairs1) WHERE q1 BETWEEN 0 AND la - 200""",
-    "seqs": """SELECT id, substring(s, 1, 600) AS seq FROM (SELECT doc_id AS id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'),
-        'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents) WHERE length(s) >= 100""",
+    "seqs": """SELECT doc_id AS id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents""",
 }

@@ -90,14 +90,13 @@ VIEWS: dict[str, str] = {
     "sampairs": """SELECT a.idx // 2 AS pair_id, a.name AS name1, a.contig AS contig1, CAST(a.pos AS INT) AS pos1, CAST(a.len AS INT) AS len1, a.flag = 0 AS fwd1,
         b.name AS name2, b.contig AS contig2, CAST(b.pos AS INT) AS pos2, CAST(b.len AS INT) AS len2, b.flag = 0 AS fwd2
         FROM sam a JOIN sam b ON a.idx % 2 = 0 AND b.idx = a.idx + 1""",
-    "short": "SELECT id, substring(seq, 1, 120) AS seq FROM seqs",
-    "kmers5": "SELECT id, pos, substring(seq, CAST(pos + 1 AS INT), 5) AS kmer FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - 5)) AS pos FROM short)",
+    "kmers5": "SELECT id, pos, substring(seq, CAST(pos + 1 AS INT), 5) AS kmer FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - 5)) AS pos FROM seqs)",
     "canon": "SELECT id, pos, least(translate(kmer, 'ACTG', '0123'), translate(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACTG', '0123')) AS code, translate(kmer, 'ACTG', '0123') <= translate(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACTG', '0123') AS fwd FROM kmers5",
     "k17": "SELECT id, pos, substring(seq, CAST(pos + 1 AS INT), 17) AS kmer, (length(seq) - 16)//5 AS nw FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - 17)) AS pos FROM seqs)",
     "c17": "SELECT id, pos, pos//5 AS win, nw, translate(kmer, 'ACTG', '0123') AS f, translate(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACTG', '0123') AS r FROM k17",
     "mins": "SELECT id, win, arg_min(least(f, r), least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS code, arg_min(pos, least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS pos, arg_min(f <= r, least(f, r) || lpad(CAST(pos AS VARCHAR), 6, '0')) AS fwd FROM c17 WHERE win < nw GROUP BY id, win",
     "anch": """SELECT q.id AS qid, t.id AS tid, q.pos AS qpos, (t.win + 1)*5 AS tpos, q.fwd <> t.fwd AS rev FROM mins q JOIN mins t ON q.code = t.code AND q.id % 2 = 0 AND t.id % 2 = 1
-        WHERE q.code IN (SELECT code FROM mins WHERE id % 2 = 1 GROUP BY code HAVING count(*) <= 20)""",
+        WHERE q.code IN (SELECT code FROM mins WHERE id % 2 = 1 GROUP BY code HAVING count(*) <= 1000)""",
     "hits_": "SELECT l_orderkey % 500 AS eid, l_linenumber % 2 AS side, l_partkey % 500 AS start, l_partkey % 500 + 50 + l_suppkey % 50 AS stop FROM lineitem",
 }
 
@@ -572,11 +571,11 @@ def _parts(s, d):
     i = F.col("id")
     q = A.sequences(s, d).select(F.floor(i / 4).alias("line_id"), (i % 4 * 2).cast("int").alias("k"), i, "seq")
     ctg = q.select("line_id", F.col("k").alias("idx"), F.lit("CTG").alias("kind"), "seq", F.lit(0).alias("overlap"))
-    gap = q.filter(i % 4 < 3).select("line_id", (F.col("k") + 1).alias("idx"), F.when(i % 2 == 0, "GAPS").otherwise("GAPO").alias("kind"), F.when(i % 2 == 0, F.left("seq", F.lit(20))).alias("seq"), F.when(i % 2 == 0, 0).otherwise(-(i % 7)).cast("int").alias("overlap"))
+    gap = q.filter(i % 4 < 3).select("line_id", (F.col("k") + 1).alias("idx"), F.when(i % 2 == 0, "GAPS").otherwise("GAPO").alias("kind"), F.when(i % 2 == 0, F.left("seq", F.lit(20))).alias("seq"), F.when(i % 2 == 0, 0).otherwise(-F.least(i % 7, F.length("seq"))).cast("int").alias("overlap"))
     return ctg.unionByName(gap)
 
 
-VIEWS["outp"] = "SELECT id//4 AS line_id, id % 4 AS k, id, CASE WHEN id % 4 < 3 AND id % 2 = 1 THEN substring(seq, 1, length(seq) - id % 7) ELSE seq END || CASE WHEN id % 4 < 3 AND id % 2 = 0 THEN substring(seq, 1, 20) ELSE '' END AS s FROM seqs"
+VIEWS["outp"] = "SELECT id//4 AS line_id, id % 4 AS k, id, CASE WHEN id % 4 < 3 AND id % 2 = 1 THEN substring(seq, 1, length(seq) - least(id % 7, length(seq))) ELSE seq END || CASE WHEN id % 4 < 3 AND id % 2 = 0 THEN substring(seq, 1, 20) ELSE '' END AS s FROM seqs"
 
 
 @query("SELECT line_id, string_agg(s, '' ORDER BY k) AS seq FROM outp GROUP BY line_id")
@@ -585,7 +584,7 @@ def scaffold_seq(s, d):
 
 
 VIEWS["bedp"] = """SELECT id//4 AS line_id, id % 4 * 2 AS idx, 'CTG' AS kind, length(seq) AS n FROM seqs
-    UNION ALL SELECT id//4, id % 4 * 2 + 1, CASE WHEN id % 2 = 0 THEN 'GAPS' ELSE 'GAPO' END, CASE WHEN id % 2 = 0 THEN 20 ELSE -(id % 7) END FROM seqs WHERE id % 4 < 3"""
+    UNION ALL SELECT id//4, id % 4 * 2 + 1, CASE WHEN id % 2 = 0 THEN 'GAPS' ELSE 'GAPO' END, CASE WHEN id % 2 = 0 THEN least(20, length(seq)) ELSE -least(id % 7, length(seq)) END FROM seqs WHERE id % 4 < 3"""
 
 
 @query('SELECT line_id, CAST(idx AS INT) AS idx, kind, CAST(least(b, b + n) AS INT) AS beg, CAST(greatest(b, b + n) AS INT) AS "end" FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY line_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM bedp)')
@@ -611,18 +610,14 @@ def iupac_collapse(s, d):
     return A.table(s, d, "documents").select(F.col("doc_id").alias("id"), dna.collapsed(F.regexp_replace(F.lower("text"), "[^a-z]", "")).alias("seq"))
 
 
-def _short(s, d):
-    return A.sequences(s, d, most=120)
-
-
 @query("SELECT translate(kmer, 'ACTG', '0123') AS code, count(*) AS n FROM kmers5 GROUP BY kmer")
 def kmers(s, d):
-    return S.kmer_rows(_short(s, d), 5).groupBy("kmer").agg(F.count("*").alias("n")).select(dna.coded(F.col("kmer")).alias("code"), "n")
+    return S.kmer_rows(A.sequences(s, d), 5).groupBy("plain").agg(F.count("*").alias("n")).select(dna.digits(F.col("plain"), 5).alias("code"), "n")
 
 
 @query("SELECT code, fwd, count(*) AS n FROM canon GROUP BY code, fwd")
 def canonical_kmers(s, d):
-    return S.canonical_rows(_short(s, d), 5).groupBy("code", "fwd").agg(F.count("*").alias("n"))
+    return S.kmer_rows(A.sequences(s, d), 5).groupBy("code", "fwd").agg(F.count("*").alias("n")).withColumn("code", dna.digits(F.col("code"), 5))
 
 
 @query("SELECT id, win, code, pos, fwd, (win + 1)*5 AS stop FROM mins")
@@ -632,12 +627,13 @@ def minimizers(s, d):
 
 @query("SELECT times, count(*) AS n FROM (SELECT count(*) AS times FROM mins GROUP BY code) GROUP BY times HAVING times < least(100, (SELECT max(t) FROM (SELECT count(*) AS t FROM mins GROUP BY code)))")
 def minimizer_hist(s, d):
-    return S.histogram(S.minimizers(A.sequences(s, d)))
+    return S.histogram(S.minimizer_codes(A.sequences(s, d)))
 
 
-def _anchors(s, d, f=20):
-    m = G.settled(S.minimizers(A.sequences(s, d)), "minimizers")
-    return S.anchors(m.filter("id % 2 = 0"), m.filter("id % 2 = 1"), f)
+def _anchors(s, d):
+    """Even sequences against odd ones."""
+    m = G.settled(S.minimizer_codes(A.sequences(s, d)), "minimizers")
+    return S.anchors(m.filter("id % 2 = 0"), m.filter("id % 2 = 1"), CONFIG.f)
 
 
 @query("SELECT qid, tid, rev, count(*) AS n, CAST(sum(qpos) AS BIGINT) AS sq, CAST(sum(tpos) AS BIGINT) AS st FROM anch GROUP BY qid, tid, rev")
@@ -652,21 +648,21 @@ def chain_segments(s, d):
     return S.segments(_anchors(s, d), 100)
 
 
-@query("SELECT id, i AS tile, substring(seq, CAST(i*100 + 1 AS INT), 100) AS part FROM (SELECT id, seq, unnest(generate_series(0, (length(seq) - 1)//100)) AS i FROM seqs)")
+@query("SELECT id, i AS tile, substring(seq, CAST(i*100 + 1 AS INT), 100) AS part FROM (SELECT id, seq, unnest(generate_series(0, (length(seq) - 1)//100)) AS i FROM seqs WHERE seq <> '')")
 def seq_tiles(s, d):
     return S.tiles(A.sequences(s, d), 100)
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN translate(reverse(substring(seq, 1, 50)), 'ACGT', 'TGCA') ELSE substring(seq, length(seq) - 49, 50) END AS left_end, CASE WHEN id % 3 = 0 THEN translate(reverse(substring(seq, length(seq) - 49, 50)), 'ACGT', 'TGCA') ELSE substring(seq, 1, 50) END AS right_end FROM seqs")
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN translate(reverse(substring(seq, 1, 50)), 'ACGT', 'TGCA') ELSE right(seq, 50) END AS left_end, CASE WHEN id % 3 = 0 THEN translate(reverse(right(seq, 50)), 'ACGT', 'TGCA') ELSE substring(seq, 1, 50) END AS right_end FROM seqs")
 def contig_ends(s, d):
     q = F.col("seq")
     back, left, right = F.col("id") % 3 == 0, F.left(q, F.lit(50)), F.right(q, F.lit(50))
     return A.sequences(s, d).select("id", F.when(back, dna.revcomp(left)).otherwise(right).alias("left_end"), F.when(back, dna.revcomp(right)).otherwise(left).alias("right_end"))
 
 
-@query("SELECT c1, c2, read_id, CASE WHEN switched THEN translate(reverse(g), 'ACGT', 'TGCA') ELSE g END AS gap FROM (SELECT *, substring(seq, CAST(gap_start % 50 + 1 AS INT), 60) AS g FROM kept JOIN seqs ON id = read_id WHERE lib = 0)")
+@query("SELECT c1, c2, read_id, CASE WHEN switched THEN translate(reverse(g), 'ACGT', 'TGCA') ELSE g END AS gap FROM (SELECT *, substring(seq, CAST(gap_start % 50 + 1 AS INT), 60) AS g FROM kept JOIN seqs ON id = read_id)")
 def read_gap_seq(s, d):
-    k = _kept(s, d).filter("lib = 0").join(A.sequences(s, d), F.col("read_id") == F.col("id"))
+    k = _kept(s, d).join(A.sequences(s, d), F.col("read_id") == F.col("id"))
     g = F.substring(F.col("seq"), (F.col("gap_start") % 50 + 1).cast("int"), F.lit(60))
     return k.select("c1", "c2", "read_id", F.when(F.col("switched"), dna.revcomp(g)).otherwise(g).alias("gap"))
 
@@ -752,7 +748,7 @@ def matching_cover(s, d):
     cand = G.settled(G.matching_candidates(_endpoints(s, d), A.contigs(s, d)).select("source", "target", "bw"), "candidates")
     matched = G.settled(K.max_weight_cover(cand), "matched")
     kept, _ = K.acyclic_cover(matched, G.contig_edges(A.contigs(s, d)))
-    return kept.select("source", "target", "bw", "exact")
+    return kept.select("source", "target", "bw")
 
 
 @query()
@@ -784,11 +780,11 @@ def alternative_paths(s, d):
     _, e = _reduction(s, d)
     asked = e.filter("NOT dummy AND bd >= 2000").select("source", "target", "bd", "bd_std")
     forbidden = A.contigs(s, d).filter("ctgid % 25 >= 20").select(F.explode(F.array("header", "tail")).alias("node"))
-    return K.alternative_paths(e, asked, forbidden, CONFIG, 20_000)
+    return K.alternative_paths(e, asked, forbidden, CONFIG)
 
 
 def _sequence_pairs(s, d):
-    q = A.sequences(s, d, most=300)
+    q = A.sequences(s, d)
     a = q.select("id", F.substring("seq", 21, 60).alias("query"))
     b = q.select(F.col("id").alias("tid"), F.col("seq").alias("target"))
     return a.join(b, F.col("tid") == F.col("id") - F.col("id") % 2).select("id", "query", "target")
@@ -806,7 +802,7 @@ def aln_windows(s, d):
 
 def _members(s, d):
     """Noisy copies of a sequence: rank 0 is the lead, the others lack or change some bases."""
-    q = A.sequences(s, d, most=400).filter("id % 5 = 0")
+    q = A.sequences(s, d)
     r = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("rank")
     noisy = F.when(F.col("rank") == 0, F.col("seq")).when(F.col("rank") == 1, F.regexp_replace("seq", "ACGTA", "ACTA")).when(F.col("rank") == 2, F.regexp_replace("seq", "GGC", "GTC")).otherwise(F.regexp_replace("seq", "TTA", "TA"))
     return q.select("id", "seq", r).select("id", "rank", noisy.alias("seq"))
@@ -814,14 +810,14 @@ def _members(s, d):
 
 @query()
 def window_consensus(s, d):
-    return K.window_consensus(_members(s, d), replace(CONFIG, tile=100))
+    return K.window_consensus(_members(s, d), CONFIG)
 
 
 def _gaps(s, d):
     m = _members(s, d).select(F.col("id").alias("c1"), (F.col("id") + 1).alias("c2"), "rank", "seq")
-    q = A.sequences(s, d, most=400).filter("id % 5 = 0 AND length(seq) >= 150")
+    q = A.sequences(s, d)
     ends = q.select(F.col("id").alias("c1"), (F.col("id") + 1).alias("c2"), F.substring("seq", 1, 40).alias("left"), F.right("seq", F.lit(40)).alias("right"), (F.length("seq") - 79).alias("bd"), F.lit(10).alias("bd_std"))
-    return K.gap_fill(m, ends, replace(CONFIG, tile=100))
+    return K.gap_fill(m, ends, CONFIG)
 
 
 @query()
@@ -838,14 +834,14 @@ def gap_report(s, d):
 
 @query()
 def graph_polish(s, d):
-    q = A.sequences(s, d, most=400).filter("id % 5 = 0 AND length(seq) >= 200")
+    q = A.sequences(s, d)
     piece = F.regexp_replace(F.substring("seq", 51, 100), "ACG", "AGG")
     return K.graph_polish(q.select("id", F.col("seq").alias("gap"), F.lit(3).alias("depth"), F.array(piece).alias("pieces")))
 
 
 @query()
 def anchor_chains(s, d):
-    return K.anchor_chains(_anchors(s, d), replace(CONFIG, chain_span=50))
+    return K.anchor_chains(_anchors(s, d), CONFIG)
 
 
 @query()
@@ -856,11 +852,11 @@ def lis_length(s, d):
 
 @query()
 def greedy_cover_hits(s, d):
-    return K.greedy_cover(anchor_chains(s, d), 50)
+    return K.greedy_cover(anchor_chains(s, d), CONFIG.novelty)
 
 
 @query()
 def sequence_polish(s, d):
     """Even sequences polish the odd ones that share minimizers with them."""
     q = A.sequences(s, d)
-    return P.sequence_polish(q.filter("id % 2 = 0"), q.filter("id % 2 = 1").withColumn("depth", F.lit(1)), replace(CONFIG, f=20, chain_span=50, contig_fraction=0.2))
+    return P.sequence_polish(q.filter("id % 2 = 0"), q.filter("id % 2 = 1").withColumn("depth", F.lit(1)), CONFIG)

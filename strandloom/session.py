@@ -1,8 +1,14 @@
-"""Session settings that the plans rely on."""
+"""Session settings that the plans rely on, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def guarded(spark: SparkSession) -> SparkSession:
@@ -13,3 +19,37 @@ def guarded(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a local session (one machine, as in tests) gets a temporary folder; on a
+    cluster that is an error, since executors would each write to their own disk."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="strandloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df with its lineage cut: written to the shared folder of the session and read back. Later uses don't recompute it, and a lost
+    executor loses nothing."""
+    spark = guarded(df.sparkSession)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["settled_at"] = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes settled tables that nothing reads any more, such as those of a round that is over; other tables are left alone."""
+    for t in tables:
+        path = None if t is None else t.__dict__.pop("settled_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled
 
-def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
-    """df with dense numbers from 0 in its order: partition sizes become offsets; only one count for each partition reaches the driver."""
-    at = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    sizes = sorted((r["p"], r["n"]) for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+
+def numbered(df: DataFrame, name: str = "idx", fixed: bool = False) -> tuple[DataFrame, int]:
+    """(df with dense numbers from 0 in its order, its number of rows).
+
+    Partition sizes become offsets; one count for each partition reaches the driver. The counting job must see the very partitions that are
+    numbered, and adaptive execution cuts those anew for each plan: so the rows are written once with their partition and their place in
+    it. `fixed` spares that for plain file scans, whose partitions follow from the files alone.
+    """
+    at = df.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__m"))
+    at = at if fixed else settled(at, "numbered")
     offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    first = df.sparkSession.createDataFrame(offsets or [(0, 0)], "p long, first long")
-    return at.withColumn("p", part).join(F.broadcast(first), "p").select(*df.columns, (F.col("first") + F.col("__m").bitwiseAND((1 << 33) - 1)).alias(name))
+    for r in at.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():
+        offsets.append((r["__p"], total))
+        total += r["n"]
+    first = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__q int, __first long")  # a row for each partition
+    return at.join(F.broadcast(first), F.col("__p") == F.col("__q")).select(*df.columns, (F.col("__first") + F.col("__m")).alias(name)), total
+
+
+def dense_index(df: DataFrame, name: str = "idx", fixed: bool = False) -> DataFrame:
+    """df with dense numbers from 0 in its order."""
+    return numbered(df, name, fixed)[0]
 
 
 def fasta_record(record):
@@ -76,7 +87,7 @@ def sam_pairs(lines: DataFrame) -> DataFrame:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """The pairs of a SAM file."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.col("value").alias("line"))
-    return sam_pairs(dense_index(lines))
+    return sam_pairs(dense_index(lines, fixed=True))
 
 
 def library_line(line):
