@@ -83,6 +83,33 @@ def connected_components(edges_: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def alternating_paths(edges_: DataFrame, asked: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
+    """(source, target, path, plen, pvar): every simple path of contig and mate edges in turn, beside each asked edge, whose length agrees with its own.
+
+    edges_(source, target, dummy, bd, bd_std), asked(source, target, bd, bd_std). Paths grow by one edge a round, all at once; one that is too long
+    already grows no further, and none has more than `max_path_nodes` + 1 nodes. A round's paths are written, so a lost executor costs a round.
+    """
+    arc = lambda a, b: edges_.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("dummy").alias("kind"), F.col("bd").cast("long").alias("d"), F.col("bd_std").cast("long").alias("sd"))
+    arcs = settled(arc("source", "target").unionByName(arc("target", "source")), "arcs")
+    pvar = F.floor(F.sqrt("var")).cast("long")
+    near = F.abs(F.col("plen") - F.col("bd")) <= config.tolerance * F.greatest("bd_std", pvar)
+    zero = F.lit(0).cast("long")
+    front = settled(asked.select("source", "target", "bd", "bd_std", F.col("source").alias("last"), F.array("source").alias("path"), zero.alias("plen"), zero.alias("var"), F.lit(None).cast("boolean").alias("dummy")), "paths")
+    found = None
+    for _ in range(config.max_path_nodes):
+        step = front.join(arcs, F.col("last") == F.col("a")).filter(~F.array_contains("path", F.col("b")) & (F.col("dummy").isNull() | (F.col("dummy") != F.col("kind"))))
+        step = step.filter(~((F.size("path") == 1) & (F.col("b") == F.col("target")) & ~F.col("kind")))
+        grown = step.select("source", "target", "bd", "bd_std", F.col("b").alias("last"), F.array_append("path", F.col("b")).alias("path"), (F.col("plen") + F.col("d")).alias("plen"), (F.col("var") + F.col("sd") * F.col("sd")).alias("var"), F.col("kind").alias("dummy"))
+        there = F.col("last") == F.col("target")
+        new = settled(grown.filter(F.when(there, near & (F.size("path") >= 4)).otherwise((F.col("plen") <= F.col("bd")) | near)), "paths")
+        done = new.filter(there)
+        found = done if found is None else found.unionByName(done)
+        front = new.filter(~there)
+        if front.isEmpty():
+            break
+    return found.select("source", "target", "path", "plen", pvar.alias("pvar"))
+
+
 def lines(cover: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(line_id, idx, node): the nodes of every path of a cover with more than two nodes, from its smaller end.
 

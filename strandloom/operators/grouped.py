@@ -86,6 +86,13 @@ def max_weight_cover(candidates: DataFrame) -> DataFrame:
     return heavy.unionByName(spread(_with_component(left), "component").groupBy("component").applyInPandas(run, "source long, target long, bw long"))
 
 
+def matching_totals(candidates: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row: candidate and matched edges, their weights, and the matched share of the weight."""
+    of = lambda df, name: df.agg(F.count("*").alias(f"{name}_edges"), F.coalesce(F.sum("bw"), F.lit(0)).cast("long").alias(f"{name}_weight"))
+    one = of(candidates, "candidate").crossJoin(F.broadcast(of(matched, "matched")))  # one row each
+    return one.withColumn("share", F.round(F.col("matched_weight") / F.when(F.col("candidate_weight") > 0, F.col("candidate_weight")), 9))
+
+
 def greedy_matching(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Locally dominant edges, round by round: the result of taking edges by weight, ties by ends."""
     left, taken = settled(edges.select("source", "target", "bw"), "edges"), None
@@ -129,7 +136,10 @@ def transitive_reduction(edges: DataFrame, bcc: DataFrame, reads: DataFrame, blo
     blocked(node); wanted(source, target).
     """
     key = ["source", "target"]
-    r = reads.groupBy(*key).agg(F.collect_list("read_id").alias("reads"), F.collect_list("hits").alias("hits"))
+    # Only components with an edge that is asked for are searched, so only their reads are gathered.
+    asked = bcc.join(wanted.select(*key), key, "left_semi").select("bcc").distinct()
+    bcc = settled(bcc.join(asked, "bcc", "left_semi"), "bcc")
+    r = reads.join(bcc.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("read_id").alias("reads"), F.collect_list("hits").alias("hits"))
     stop = blocked.select("node", F.lit(True).alias("b"))
     e = edges.join(bcc, key).join(r, key, "left").join(wanted.select(*key, F.lit(True).alias("want")), key, "left")
     for k in key:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import sequence_of
-from ..session import guarded
+from ..session import dealt, guarded
 
 GAP = 500
 READ = 200
@@ -39,7 +39,7 @@ def libraries(spark: SparkSession) -> DataFrame:
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mate pair: lib, avg, std, read_id, gap_start, gap_end, and contig, position and strand of both mates."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n_ctg"))
-    l = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))  # n is one row  # noqa: E741
+    l = dealt(table(spark, sf_dir, "lineitem")).crossJoin(F.broadcast(n))  # n is one row  # noqa: E741
     c = F.col("n_ctg")
     o, st = F.col("l_linenumber") % 3, F.lit(1) + F.col("l_partkey") % 3
     p = l.select("*", o.alias("o"), st.alias("st")).filter(F.col("o") + F.col("st") <= 3)
@@ -68,7 +68,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq): every document's whole text as a sequence; one without letters is empty."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sequence_of(F.coalesce("text", F.lit(""))).alias("seq"))
+    return dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), sequence_of(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
 #: The same adapters as DuckDB views, for the oracle; each names the ones it builds on by using them.

@@ -17,7 +17,7 @@ from ..operators import links as L
 from ..operators import repeats as R
 from ..operators import validate as V
 from ..operators.polish import sequence_polish
-from ..session import guarded
+from ..session import dropped, guarded
 from ..sources import readers, writers
 
 
@@ -31,6 +31,9 @@ class Scaffolds:
     reduced: DataFrame
     cover: DataFrame
     steps: DataFrame
+    circular: DataFrame
+    physical: DataFrame
+    totals: DataFrame
     validated: DataFrame
     steps_validated: DataFrame
     agp: DataFrame
@@ -64,8 +67,9 @@ def scaffold(aln: DataFrame, contigs: DataFrame, config: ScaffoldConfig = DEFAUL
     contigs = G.settled(contigs, "contigs")
     aln = G.settled(aln, "alignments")
     ends = L.pair_ends(aln, contigs, config)
-    links = L.links_of(aln, contigs, config)
+    links = G.settled(L.links_of(aln, contigs, config), "links")
     kept = G.settled(B.kept_links(links, config), "links")
+    dropped(links)
     support = G.settled(B.edge_read_support(kept), "edge-reads")
     found = G.settled(B.bundles(kept, config), "bundles")
     if by_coverage:
@@ -93,9 +97,10 @@ def scaffold(aln: DataFrame, contigs: DataFrame, config: ScaffoldConfig = DEFAUL
     live = G.settled(live, "live")
 
     # Matching cover without cycles.
-    candidates = G.matching_candidates(live, contigs, config).select("source", "target", "bw")
-    matched = G.settled(K.max_weight_cover(G.settled(candidates, "candidates")), "matched")
-    acyclic, _ = K.acyclic_cover(matched, G.contig_edges(contigs))
+    candidates = G.settled(G.matching_candidates(live, contigs, config).select("source", "target", "bw"), "candidates")
+    matched = G.settled(K.max_weight_cover(candidates), "matched")
+    acyclic, cut = K.acyclic_cover(matched, G.contig_edges(contigs))
+    cut = cut.join(live.select("source", "target", "bd"), ["source", "target"])
     cover = G.settled(acyclic.join(live.select("source", "target", "bd", "bd_std"), ["source", "target"]).select(F.col("source").alias("c1"), F.col("target").alias("c2"), "bd", "bd_std", "bw"), "cover")
 
     def stepped(mates):
@@ -105,12 +110,14 @@ def scaffold(aln: DataFrame, contigs: DataFrame, config: ScaffoldConfig = DEFAUL
     steps = stepped(cover)
     pos = V.positions(steps)
     frags = G.settled(V.fragments(steps, pos, B.long_links(kept, config.mlp)), "fragments")
-    paths = V.path_fragments(V.reduced_in_line(reduced, pos), V.path_length(steps), config)
+    closed = G.settled(V.circles(steps, cut), "circular")
+    paths = G.settled(V.path_fragments(V.reduced_in_line(reduced, pos), V.path_length(steps), config, V.line_sizes(pos), closed), "path-fragments")
     covering = frags.filter("kind <> 'suspicious'").select("line_id", "pos", "d").unionByName(paths.select("line_id", "pos", "d"))
     low = V.low_intervals(V.depth(covering, V.line_sizes(pos)), config)
     checked = G.settled(V.validated(cover, V.suspicious_overlaps(low, frags), support, config), "validated")
     again = stepped(checked)
-    return Scaffolds(contigs, kept, live, reduced, cover, steps, checked, again, V.agp(steps, contigs, config), V.agp(again, contigs, config))
+    physical, totals = V.physical_coverage(reduced, paths, V.path_length(steps), config), K.matching_totals(candidates, matched)
+    return Scaffolds(contigs, kept, live, reduced, cover, steps, closed, physical, totals, checked, again, V.agp(steps, contigs, config), V.agp(again, contigs, config))
 
 
 def gap_members(s: Scaffolds, reads: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
@@ -197,7 +204,7 @@ def run(spark: SparkSession, contigs: str, longreads: str, samlist: str, prefix:
     needed = s.links.join(s.validated.select("c1", "c2"), ["c1", "c2"], "left_semi").select("read_id")
     reads = readers.read_long_reads(spark, longreads, needed)
     gaps = G.settled(K.gap_fill(gap_members(s, reads, config), contig_ends(s, config), config), "gaps")
-    writers.write_table(gaps.drop("gap_seq"), f"{prefix}.gaps", " ")
+    writers.write_table(writers.gap_log(gaps, s.validated), f"{prefix}.gaps", " ")
     gaps = G.settled(polished_gaps(s, gaps, config), "polished")
     gaps = G.settled(minimizer_polished(s, gaps, config), "polished")
     p = G.settled(parts(s, gaps, config), "parts")

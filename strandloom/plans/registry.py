@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,15 @@ VIEWS: dict[str, str] = {
     "inline_": "SELECT a.line_id, source, target, plen, pvar, a.pos AS ps, b.pos AS pt FROM reduced JOIN pos a ON a.node = source JOIN pos b ON b.node = target AND a.line_id = b.line_id",
     "pfrags": """SELECT line_id, source, target, least(ps, pt) AS pos, abs(ps - pt) AS d FROM inline_ JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
         WHERE plen >= 5000 AND abs(plen - abs(ps - pt)) <= 4*greatest(pvar, lv) AND least(ps, pt) >= 0""",
+    "closed_": "SELECT line_id, size, 100 + line_id % 700 AS closing FROM sizes WHERE line_id % 100 = 0",
+    "around_": """SELECT * FROM reduced UNION ALL SELECT a.node, b.node, 8000 + a.line_id*37 % 9000, 900 FROM pos a JOIN pos b ON a.line_id = b.line_id AND a.idx = 47 AND b.idx = 2""",
+    "cinline": """SELECT a.line_id, source, target, plen, pvar, least(a.pos, b.pos) AS low, greatest(a.pos, b.pos) AS high
+        FROM around_ JOIN pos a ON a.node = source JOIN pos b ON b.node = target AND a.line_id = b.line_id""",
+    "over_": "SELECT * FROM cinline JOIN closed_ USING (line_id)",
+    "cfrags": """SELECT line_id, source, target, low AS pos, high - low AS d FROM cinline JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
+            WHERE plen >= 5000 AND abs(plen - (high - low)) <= 4*greatest(pvar, lv) AND low >= 0
+        UNION ALL SELECT line_id, source, target, unnest([0, high]), unnest([low, size - high]) FROM over_ JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
+            WHERE plen >= 5000 AND abs(plen - (high - low)) > 4*greatest(pvar, lv) AND abs(plen - (low + size - high + closing)) <= 4*greatest(pvar, lv) AND high >= 0""",
     "covering": "SELECT line_id, pos, d FROM frags WHERE kind <> 'suspicious' UNION ALL SELECT line_id, pos, d FROM pfrags",
     "turns": """SELECT line_id, at0, sum(w) AS w FROM (
         SELECT line_id, unnest([pos, pos + d]) AS at0, unnest([1, -1]) AS w FROM covering JOIN sizes USING (line_id) WHERE pos >= 0 AND d >= 0 AND pos + d <= size
@@ -137,7 +147,8 @@ def _ends(s, d):
 
 
 def _kept(s, d):
-    return B.kept_links(_links(s, d))
+    """The links are read twice, for their windows and by these."""
+    return B.kept_links(G.settled(_links(s, d), "links"))
 
 
 def _bundles(s, d):
@@ -157,40 +168,99 @@ def _endpoints(s, d):
     return G.endpoints(_edges(s, d), _nodes(s, d))
 
 
-def _cover(s, d):
+def _neighbours(bundles):
     """The adapter's neighbours, cut after each 25th contig: lines that SQL can state, too."""
     a, b = F.shiftright("c1", 1), F.shiftright("c2", 1)
-    return _bundles(s, d).filter((F.abs(a - b) == 1) & (F.least(a, b) % 25 != 24))
+    return bundles.filter((F.abs(a - b) == 1) & (F.least(a, b) % 25 != 24))
 
 
-def _cover_edges(s, d, cover=None):
-    cover = _cover(s, d) if cover is None else cover
-    return A.contigs(s, d).select(F.col("header").alias("source"), F.col("tail").alias("target")).unionByName(cover.select(F.col("c1").alias("source"), F.col("c2").alias("target")))
+def _cover_edges(contigs, cover):
+    return contigs.select(F.col("header").alias("source"), F.col("tail").alias("target")).unionByName(cover.select(F.col("c1").alias("source"), F.col("c2").alias("target")))
 
 
-def _lines(s, d):
-    """(steps, cover), the cover and the lines written once."""
-    cover = G.settled(_cover(s, d), "cover")
-    lines = G.settled(G.lines(_cover_edges(s, d, cover)), "lines")
-    return V.steps(lines, A.contigs(s, d), cover), cover
+class _Case:
+    """Tables that several branches of one query read, each written once."""
 
+    def __init__(self, s, d):
+        self.s, self.d = s, d
 
-def _fragments(s, d, steps):
-    return V.fragments(steps, V.positions(steps), B.long_links(_kept(s, d), CONFIG.mlp))
+    @cached_property
+    def contigs(self):
+        return A.contigs(self.s, self.d)
 
+    @cached_property
+    def kept(self):
+        return G.settled(_kept(self.s, self.d), "links")
 
-def _reduced(s, d):
-    return _bundles(s, d).filter("bd >= 2000 AND c1 % 5 <> 0").select(F.col("c1").alias("source"), F.col("c2").alias("target"), F.col("bd").alias("plen"), F.col("bd_std").alias("pvar"))
+    @cached_property
+    def support(self):
+        return G.settled(B.edge_read_support(self.kept), "edge-reads")
 
+    @cached_property
+    def bundles(self):
+        return G.settled(B.bundles(self.kept), "bundles")
 
-def _path_fragments(s, d, steps):
-    return V.path_fragments(V.reduced_in_line(_reduced(s, d), V.positions(steps)), V.path_length(steps), CONFIG)
+    @cached_property
+    def edges(self):
+        return G.edges(self.contigs, self.bundles)
 
+    @cached_property
+    def nodes(self):
+        return G.nodes(self.contigs, R.by_longest(self.contigs))
 
-def _depth(s, d, steps):
-    frags = _fragments(s, d, steps)
-    every = frags.filter("kind <> 'suspicious'").select("line_id", "pos", "d").unionByName(_path_fragments(s, d, steps).select("line_id", "pos", "d"))
-    return V.depth(every, V.line_sizes(V.positions(steps))), frags
+    @cached_property
+    def endpoints(self):
+        return G.settled(G.endpoints(self.edges, self.nodes), "endpoints")
+
+    @cached_property
+    def cover(self):
+        return _neighbours(self.bundles)
+
+    @cached_property
+    def steps(self):
+        lines = G.settled(G.lines(_cover_edges(self.contigs, self.cover)), "lines")
+        return G.settled(V.steps(lines, self.contigs, self.cover), "steps")
+
+    @cached_property
+    def pos(self):
+        return G.settled(V.positions(self.steps), "positions")
+
+    @cached_property
+    def sizes(self):
+        return V.line_sizes(self.pos)
+
+    @cached_property
+    def closed(self):
+        """Every second line counts as circular."""
+        return self.sizes.filter("line_id % 100 = 0").select("line_id", (100 + F.col("line_id") % 700).alias("closing"))
+
+    @cached_property
+    def reduced(self):
+        return self.bundles.filter("bd >= 2000 AND c1 % 5 <> 0").select(F.col("c1").alias("source"), F.col("c2").alias("target"), F.col("bd").alias("plen"), F.col("bd_std").alias("pvar"))
+
+    @cached_property
+    def around(self):
+        """Reduced edges from near a line's end to near its begin, beside the others."""
+        ends = self.pos.join(self.sizes, "line_id").groupBy("line_id").agg(F.max(F.when(F.col("idx") == 47, F.col("node"))).alias("source"), F.max(F.when(F.col("idx") == 2, F.col("node"))).alias("target"))
+        made = ends.filter("source IS NOT NULL").select("source", "target", (8000 + F.col("line_id") * 37 % 9000).alias("plen"), F.lit(900).cast("long").alias("pvar"))
+        return self.reduced.unionByName(made)
+
+    @cached_property
+    def fragments(self):
+        return G.settled(V.fragments(self.steps, self.pos, B.long_links(self.kept, CONFIG.mlp)), "fragments")
+
+    @cached_property
+    def path_fragments(self):
+        return V.path_fragments(V.reduced_in_line(self.reduced, self.pos), V.path_length(self.steps), CONFIG)
+
+    @cached_property
+    def circular_fragments(self):
+        return V.path_fragments(V.reduced_in_line(self.around, self.pos), V.path_length(self.steps), CONFIG, self.sizes, self.closed)
+
+    @cached_property
+    def depth(self):
+        every = self.fragments.filter("kind <> 'suspicious'").select("line_id", "pos", "d").unionByName(self.path_fragments.select("line_id", "pos", "d"))
+        return V.depth(every, self.sizes)
 
 
 # ---- scans ----------------------------------------------------------------------------------------------------------
@@ -406,7 +476,7 @@ def node_degree(s, d):
 
 @query("""SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def connected_components(s, d):
-    return G.connected_components(_cover_edges(s, d))
+    return G.connected_components(_cover_edges(A.contigs(s, d), _neighbours(_bundles(s, d))))
 
 
 SQL["connected_components"] = with_views("SELECT 1 FROM cover_edges").replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\n", 1)[0] + """,
@@ -427,10 +497,7 @@ def _both(b):
     return b.select(F.col("c1").alias("x"), F.col("c2").alias("y")).unionByName(b.select(F.col("c2").alias("x"), F.col("c1").alias("y")))
 
 
-@query("SELECT u, v, x, y FROM p4")
-def paths_k(s, d):
-    """Alternating four-node paths beside an edge: mate edge, contig, mate edge."""
-    b = G.settled(_bundles(s, d), "bundles")
+def _paths4(b):
     one = _both(b).select(F.col("x").alias("u"), F.col("y").alias("x"))
     two = _both(b).select(F.col("x").alias("y"), F.col("y").alias("v"))
     near = b.select(F.col("c1").alias("u"), F.col("c2").alias("v"))
@@ -439,6 +506,44 @@ def paths_k(s, d):
     return p.filter((inner != F.shiftright("u", 1)) & (inner != F.shiftright("v", 1))).select("u", "v", "x", "y")
 
 
+@query("SELECT u, v, x, y FROM p4")
+def paths_k(s, d):
+    """Alternating four-node paths beside an edge: mate edge, contig, mate edge."""
+    return _paths4(_Case(s, d).bundles)
+
+
+def _sized(c):
+    """Edges with the contig's length as the distance of contig edges."""
+    length = c.contigs.select(F.col("header").alias("source"), F.col("length").cast("long").alias("len"))
+    e = c.endpoints.join(length, "source", "left").select("source", "target", "dummy", F.when(F.col("dummy"), F.col("len")).otherwise(F.col("bd")).alias("bd"), "bd_std", "bw")
+    return G.settled(e, "edges")
+
+
+VIEWS["arcs_"] = """SELECT header AS a, tail AS b, true AS dummy, CAST(length AS BIGINT) AS d, 0 AS sd FROM contigs UNION ALL SELECT tail, header, true, length, 0 FROM contigs
+    UNION ALL SELECT c1, c2, false, bd, bd_std FROM bundles UNION ALL SELECT c2, c1, false, bd, bd_std FROM bundles"""
+VIEWS["asked_"] = "SELECT c1 AS u, c2 AS v, bd, bd_std FROM bundles WHERE bd >= 2000"
+
+
+@query()
+def paths_within(s, d):
+    """All simple alternating paths beside an edge whose length agrees with it, whatever their number of nodes."""
+    c = _Case(s, d)
+    asked = c.bundles.filter("bd >= 2000").select(F.col("c1").alias("source"), F.col("c2").alias("target"), "bd", "bd_std")
+    p = G.alternating_paths(_sized(c), asked, CONFIG)
+    return p.select(F.col("source").alias("u"), F.col("target").alias("v"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "plen", "pvar")
+
+
+SQL["paths_within"] = with_views("SELECT 1 FROM arcs_ JOIN asked_ ON true").replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\n", 1)[0] + """,
+    walk(u, v, bd, sd0, last, path, plen, var, dummy) AS (
+        SELECT u, v, bd, bd_std, u, [u], CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BOOLEAN) FROM asked_
+        UNION ALL
+        SELECT u, v, bd, sd0, b, list_append(path, b), plen + d, var + sd*sd, arcs_.dummy FROM walk JOIN arcs_ ON a = last
+        WHERE last <> v AND (walk.dummy IS NULL OR walk.dummy <> arcs_.dummy) AND NOT list_contains(path, b) AND len(path) <= 80
+        AND NOT (plen > bd AND abs(plen - bd) > 4*greatest(sd0, CAST(floor(sqrt(var)) AS BIGINT))) AND NOT (len(path) = 1 AND b = v AND NOT arcs_.dummy))
+    SELECT u, v, array_to_string(path, '-') AS path, plen, CAST(floor(sqrt(var)) AS BIGINT) AS pvar FROM walk
+    WHERE last = v AND len(path) >= 4 AND abs(plen - bd) <= 4*greatest(sd0, CAST(floor(sqrt(var)) AS BIGINT))"""
+
+
 @query("""SELECT p.u, p.v, p.x, p.y, count(r.read_id) AS needed,
     CASE WHEN count(r.read_id) = count(a.read_id) AND count(r.read_id) = count(b.read_id) THEN CASE WHEN count(r.read_id) = count(c.read_id) THEN 3 ELSE 2 END WHEN count(r.read_id) = count(c.read_id) THEN 1 ELSE 0 END AS score
     FROM p4 p LEFT JOIN esupport r ON r.c1 = p.u AND r.c2 = p.v AND r.hits > 2
@@ -447,18 +552,20 @@ def paths_k(s, d):
     LEFT JOIN csupport c ON c.ctgid = p.x//2 AND c.read_id = r.read_id GROUP BY p.u, p.v, p.x, p.y""")
 def path_support(s, d):
     """Relational division: 3 if every needed read is on every edge and contig of the path, 2 edges only, 1 contigs only."""
-    es = G.settled(edge_read_support(s, d), "esupport")
-    r = es.filter(F.col("hits") > CONFIG.read_hits).select(F.col("c1").alias("u"), F.col("c2").alias("v"), "read_id")
-    p = paths_k(s, d).join(r, ["u", "v"], "left")
-
-    def on_edge(df, m, n, name):
-        e = es.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("read_id").alias("er"), F.lit(1).alias(name))
-        return df.join(e, (F.least(m, n) == F.col("e1")) & (F.greatest(m, n) == F.col("e2")) & (F.col("read_id") == F.col("er")), "left").drop("e1", "e2", "er")
-
-    p = on_edge(on_edge(p, "u", "x", "a"), "y", "v", "b")
-    c = contig_read_support(s, d).select(F.col("ctgid").alias("cc"), F.col("read_id").alias("cr"), F.lit(1).alias("c"))
-    p = p.join(c, (F.shiftright("x", 1) == F.col("cc")) & (F.col("read_id") == F.col("cr")), "left")
-    n = p.groupBy("u", "v", "x", "y").agg(F.count("read_id").alias("needed"), F.count("a").alias("a"), F.count("b").alias("b"), F.count("c").alias("c"))
+    c = _Case(s, d)
+    # Edges and contigs are elements of a path alike: one list of what each read supports, one join.
+    on_edge = c.support.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "read_id")
+    on_contig = contig_read_support(s, d).select(F.col("ctgid").alias("k1"), F.lit(-1).cast("long").alias("k2"), "read_id")
+    held = on_edge.unionByName(on_contig).withColumn("held", F.lit(1))
+    r = c.support.filter(F.col("hits") > CONFIG.read_hits).select(F.col("c1").alias("u"), F.col("c2").alias("v"), "read_id")
+    part = lambda kind, k1, k2: F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2"))
+    parts = F.array(
+        part("a", F.least("u", "x"), F.greatest("u", "x")), part("b", F.least("y", "v"), F.greatest("y", "v")), part("c", F.shiftright("x", 1), F.lit(-1).cast("long")),
+    )
+    p = _paths4(c.bundles).join(r, ["u", "v"], "left").select("u", "v", "x", "y", "read_id", F.explode(parts).alias("e")).select("u", "v", "x", "y", "read_id", "e.*")
+    got = p.join(held, ["k1", "k2", "read_id"], "left")
+    count = lambda kind, col: F.count(F.when(F.col("kind") == kind, F.col(col)))
+    n = got.groupBy("u", "v", "x", "y").agg(count("a", "read_id").alias("needed"), *[count(k, "held").alias(k) for k in "abc"])
     edges, contigs = (F.col("a") == F.col("needed")) & (F.col("b") == F.col("needed")), F.col("c") == F.col("needed")
     return n.select("u", "v", "x", "y", "needed", F.when(edges & contigs, 3).when(edges, 2).when(contigs, 1).otherwise(0).alias("score"))
 
@@ -477,33 +584,34 @@ def triangles(s, d):
 
 @query("SELECT * FROM lines")
 def scaffold_lines(s, d):
-    return G.lines(_cover_edges(s, d))
+    return G.lines(_cover_edges(A.contigs(s, d), _neighbours(_bundles(s, d))))
 
 
 @query("SELECT line_id, idx, node, CAST(pos AS BIGINT) AS pos FROM pos")
 def line_positions(s, d):
-    return V.positions(_lines(s, d)[0])
+    return _Case(s, d).pos
 
 
 @query("SELECT line_id, idx, node, next, is_contig, plus FROM steps")
 def line_orientation(s, d):
-    return _lines(s, d)[0].select("line_id", "idx", "node", "next", "is_contig", "plus")
+    return _Case(s, d).steps.select("line_id", "idx", "node", "next", "is_contig", "plus")
 
 
 @query("SELECT source, target, CAST(abs(ps - pt) AS BIGINT) AS dist FROM inline_")
 def line_distance(s, d):
-    i = V.reduced_in_line(_reduced(s, d), V.positions(_lines(s, d)[0]))
-    return i.select("source", "target", F.abs(F.col("ps") - F.col("pt")).alias("dist"))
+    c = _Case(s, d)
+    return V.reduced_in_line(c.reduced, c.pos).select("source", "target", F.abs(F.col("ps") - F.col("pt")).alias("dist"))
 
 
 @query("SELECT line_id, source, target, plen, pvar, CAST(ps AS BIGINT) AS ps, CAST(pt AS BIGINT) AS pt FROM inline_")
 def reduced_in_line(s, d):
-    return V.reduced_in_line(_reduced(s, d), V.positions(_lines(s, d)[0])).select("line_id", "source", "target", "plen", "pvar", "ps", "pt")
+    c = _Case(s, d)
+    return V.reduced_in_line(c.reduced, c.pos).select("line_id", "source", "target", "plen", "pvar", "ps", "pt")
 
 
 @query("SELECT line_id, CAST(plen AS BIGINT) AS plen, CAST(clen AS BIGINT) AS clen, pvar FROM plens")
 def path_length(s, d):
-    return V.path_length(_lines(s, d)[0])
+    return V.path_length(_Case(s, d).steps)
 
 
 @query("SELECT line_id, row_number() OVER (ORDER BY plen DESC, line_id) - 1 AS ord FROM plens")
@@ -513,36 +621,35 @@ def line_order(s, d):
 
 @query("SELECT line_id, idx, kind, CAST(pos AS BIGINT) AS pos, CAST(d AS BIGINT) AS d FROM frags")
 def line_fragments(s, d):
-    return _fragments(s, d, _lines(s, d)[0]).select("line_id", "idx", "kind", "pos", "d")
+    return _Case(s, d).fragments.select("line_id", "idx", "kind", "pos", "d")
 
 
 @query("SELECT line_id, source, target, CAST(pos AS BIGINT) AS pos, CAST(d AS BIGINT) AS d FROM pfrags")
 def path_fragments(s, d):
-    return _path_fragments(s, d, _lines(s, d)[0])
+    return _Case(s, d).path_fragments
 
 
 @query('SELECT line_id, CAST(beg AS BIGINT) AS beg, CAST(fin AS BIGINT) AS "end", CAST(depth AS BIGINT) AS depth FROM depths')
 def interval_coverage(s, d):
-    return _depth(s, d, _lines(s, d)[0])[0]
+    return _Case(s, d).depth
 
 
 @query("SELECT line_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM low")
 def lqi_intervals(s, d):
-    return V.low_intervals(_depth(s, d, _lines(s, d)[0])[0])
+    return V.low_intervals(_Case(s, d).depth)
 
 
 @query("SELECT line_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, u, v FROM ovl")
 def lqi_edge_overlap(s, d):
-    depths, frags = _depth(s, d, _lines(s, d)[0])
-    return V.suspicious_overlaps(V.low_intervals(depths), frags).select("line_id", "start", "stop", "u", "v")
+    c = _Case(s, d)
+    return V.suspicious_overlaps(V.low_intervals(c.depth), c.fragments).select("line_id", "start", "stop", "u", "v")
 
 
 @query("SELECT c1, c2, bw FROM checked")
 def validated_edges(s, d):
-    steps, cover = _lines(s, d)
-    depths, frags = _depth(s, d, steps)
-    over = V.suspicious_overlaps(V.low_intervals(depths), frags)
-    return V.validated(cover, over, edge_read_support(s, d), replace(CONFIG, nlm=30)).select("c1", "c2", "bw")
+    c = _Case(s, d)
+    over = V.suspicious_overlaps(V.low_intervals(c.depth), c.fragments)
+    return V.validated(c.cover, over, c.support, replace(CONFIG, nlm=30)).select("c1", "c2", "bw")
 
 
 @query("SELECT CAST(sum(fin - beg) AS BIGINT) AS examined, CAST(sum(CASE WHEN depth > 0 THEN fin - beg ELSE 0 END) AS BIGINT) AS covered, CAST(max(depth) AS BIGINT) AS most FROM depths")
@@ -556,12 +663,48 @@ def run_stats(s, d):
     return _bundles(s, d).agg(F.count("*").alias("edges"), F.sum("bw").alias("weight"), F.sum("rw").alias("raw_weight"), F.sum(F.when(F.col("bd") >= 2000, F.col("bw")).otherwise(0)).alias("long_weight"))
 
 
+@query("SELECT source, target, CAST(low + size - high + closing AS BIGINT) AS dist FROM over_")
+def circular_distance(s, d):
+    """The distance of reduced edges over the ends of circular lines."""
+    c = _Case(s, d)
+    return V.circular_distance(V.reduced_in_line(c.around, c.pos), c.sizes, c.closed).select("source", "target", F.col("around").alias("dist"))
+
+
+@query("SELECT line_id, source, target, CAST(pos AS BIGINT) AS pos, CAST(d AS BIGINT) AS d FROM cfrags")
+def circular_fragments(s, d):
+    return _Case(s, d).circular_fragments
+
+
+@query("""SELECT (SELECT count(*) FROM around_ WHERE plen >= 5000) AS n_tried, count(*) AS n_added, CAST(coalesce(sum(plen), 0) AS BIGINT) AS path_length,
+    (SELECT CAST(sum(plen) AS BIGINT) FROM plens WHERE plen >= 5000) AS line_length, round(coalesce(sum(plen), 0)/(SELECT sum(plen) FROM plens WHERE plen >= 5000), 9) AS coverage
+    FROM around_ WHERE plen >= 5000 AND (source, target) IN (SELECT (source, target) FROM cfrags)""")
+def physical_coverage(s, d):
+    c = _Case(s, d)
+    return V.physical_coverage(c.around, c.circular_fragments, V.path_length(c.steps), CONFIG)
+
+
+@query("""SELECT CAST(count(*) FILTER (bd > 300) AS BIGINT) AS graph_edges, CAST(coalesce(sum(bd) FILTER (bd > 300), 0) AS BIGINT) AS graph_bases,
+    CAST(count(*) FILTER (bd >= 300 AND bw % 2 = 0) AS BIGINT) AS sequence_edges, CAST(coalesce(sum(bd) FILTER (bd >= 300 AND bw % 2 = 0), 0) AS BIGINT) AS sequence_bases FROM bundles""")
+def edge_sequence_totals(s, d):
+    """Edges and bases that each polisher may touch."""
+    return P.sequence_totals(polishable_edges(s, d))
+
+
+@query()
+def matching_totals(s, d):
+    """Candidate and matched edges and weights, and the matched share of the weight."""
+    c = _Case(s, d)
+    cand = G.matching_candidates(c.endpoints, c.contigs).select("source", "target", "bw")
+    return K.matching_totals(cand, G.settled(K.max_weight_cover(cand), "matched"))
+
+
 @query("""SELECT 'SCF' || line_id AS scf, CAST(beg AS BIGINT) AS beg, CAST(beg + size AS BIGINT) AS "end", idx + 1 AS part, CASE WHEN is_contig THEN 'W' ELSE 'N' END AS type,
     CASE WHEN is_contig THEN name ELSE CAST(size AS VARCHAR) END AS c6, CASE WHEN is_contig THEN '1' ELSE 'scaffold' END AS c7, CASE WHEN is_contig THEN CAST(length AS VARCHAR) ELSE 'yes' END AS c8,
     CASE WHEN is_contig THEN CASE WHEN plus THEN '+' ELSE '-' END ELSE 'paired-end' END AS c9
     FROM (SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY line_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM (SELECT *, CASE WHEN is_contig THEN length ELSE greatest(d, 20) END AS size FROM steps))""")
 def agp_rows(s, d):
-    return V.agp(_lines(s, d)[0], A.contigs(s, d))
+    c = _Case(s, d)
+    return V.agp(c.steps, c.contigs)
 
 
 # ---- outputs ----------------------------------------------------------------------------------------------------------------
@@ -745,9 +888,10 @@ def biconnected_components(s, d):
 
 @query()
 def matching_cover(s, d):
-    cand = G.settled(G.matching_candidates(_endpoints(s, d), A.contigs(s, d)).select("source", "target", "bw"), "candidates")
+    c = _Case(s, d)
+    cand = G.matching_candidates(c.endpoints, c.contigs).select("source", "target", "bw")
     matched = G.settled(K.max_weight_cover(cand), "matched")
-    kept, _ = K.acyclic_cover(matched, G.contig_edges(A.contigs(s, d)))
+    kept, _ = K.acyclic_cover(matched, G.contig_edges(c.contigs))
     return kept.select("source", "target", "bw")
 
 
@@ -757,29 +901,23 @@ def greedy_matching(s, d):
     return K.greedy_matching(cand)
 
 
-def _reduction(s, d):
-    c = A.contigs(s, d)
-    ends = G.settled(_endpoints(s, d), "endpoints")
-    length = c.select(F.col("header").alias("source"), F.col("length").cast("long").alias("len"))
-    e = ends.join(length, "source", "left").select("source", "target", "dummy", F.when(F.col("dummy"), F.col("len")).otherwise(F.col("bd")).alias("bd"), "bd_std", "bw")
-    e = G.settled(e, "edges")
-    es = edge_read_support(s, d).select(F.col("c1").alias("source"), F.col("c2").alias("target"), "read_id", "hits")
-    cs = contig_read_support(s, d).select((2 * F.col("ctgid")).alias("source"), (2 * F.col("ctgid") + 1).alias("target"), "read_id", "hits")
-    bcc = G.settled(K.biconnected_components(e), "bcc")
-    blocked = _nodes(s, d).filter("repeat OR short").select(F.col("node_id").alias("node"))
-    return K.transitive_reduction(e, bcc, es.unionByName(cs), blocked, G.reducible(ends).select("source", "target"), CONFIG), e
-
-
 @query()
 def transitive_reduction(s, d):
-    return _reduction(s, d)[0]
+    c = _Case(s, d)
+    e = _sized(c)
+    es = c.support.select(F.col("c1").alias("source"), F.col("c2").alias("target"), "read_id", "hits")
+    cs = contig_read_support(s, d).select((2 * F.col("ctgid")).alias("source"), (2 * F.col("ctgid") + 1).alias("target"), "read_id", "hits")
+    bcc = G.settled(K.biconnected_components(e), "bcc")
+    blocked = c.nodes.filter("repeat OR short").select(F.col("node_id").alias("node"))
+    return K.transitive_reduction(e, bcc, es.unionByName(cs), blocked, G.reducible(c.endpoints).select("source", "target"), CONFIG)
 
 
 @query()
 def alternative_paths(s, d):
-    _, e = _reduction(s, d)
+    c = _Case(s, d)
+    e = _sized(c)
     asked = e.filter("NOT dummy AND bd >= 2000").select("source", "target", "bd", "bd_std")
-    forbidden = A.contigs(s, d).filter("ctgid % 25 >= 20").select(F.explode(F.array("header", "tail")).alias("node"))
+    forbidden = c.contigs.filter("ctgid % 25 >= 20").select(F.explode(F.array("header", "tail")).alias("node"))
     return K.alternative_paths(e, asked, forbidden, CONFIG)
 
 
@@ -813,11 +951,13 @@ def window_consensus(s, d):
     return K.window_consensus(_members(s, d), CONFIG)
 
 
+def _gap_ends(s, d):
+    return A.sequences(s, d).select(F.col("id").alias("c1"), (F.col("id") + 1).alias("c2"), F.substring("seq", 1, 40).alias("left"), F.right("seq", F.lit(40)).alias("right"), (F.length("seq") - 79).cast("long").alias("bd"), F.lit(10).cast("long").alias("bd_std"))
+
+
 def _gaps(s, d):
     m = _members(s, d).select(F.col("id").alias("c1"), (F.col("id") + 1).alias("c2"), "rank", "seq")
-    q = A.sequences(s, d)
-    ends = q.select(F.col("id").alias("c1"), (F.col("id") + 1).alias("c2"), F.substring("seq", 1, 40).alias("left"), F.right("seq", F.lit(40)).alias("right"), (F.length("seq") - 79).alias("bd"), F.lit(10).alias("bd_std"))
-    return K.gap_fill(m, ends, CONFIG)
+    return K.gap_fill(m, _gap_ends(s, d), CONFIG)
 
 
 @query()
@@ -828,8 +968,7 @@ def gap_fill(s, d):
 @query()
 def gap_report(s, d):
     """The gap log's columns."""
-    g = _gaps(s, d)
-    return g.select(morton.pair_key(F.col("c1"), F.col("c2")).alias("eid"), "proper_gap", F.col("low_identity").alias("low_iden"), "overlap", F.col("avg_cns").alias("cns_cov"), "cov_s", "iden_s", "cov_t", "iden_t")
+    return writers.gap_log(_gaps(s, d), _gap_ends(s, d))
 
 
 @query()

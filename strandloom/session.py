@@ -21,6 +21,12 @@ def guarded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, such as a single file of one row group, which one task reads, is dealt over all cores; any other is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset, a local session (one machine, as in tests) gets a temporary folder; on a
     cluster that is an error, since executors would each write to their own disk."""
