@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import shutil
-import tempfile
 import threading
-import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt, dropped, guarded  # noqa: F401
+from ..session import settled as written  # noqa: F401
+
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Java's class of the white space that separates words in the contracts: space and \t to \r.
@@ -26,14 +25,12 @@ BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def guarded(spark: SparkSession) -> SparkSession:
-    """Turns off the partitioning that Spark 4.1 claims for unions of alike children: under adaptive execution such a union
-    may be zipped with a side of another partition count, which fails or loses matches."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return spark
+def kept_columns(columns: list[str], *new: str | None) -> list[str]:
+    """The input's columns that stay beside new ones: one that has the name of a new column is replaced by it."""
+    return [c for c in columns if c not in new]
 
 
 def with_workers(spark: SparkSession) -> None:
@@ -46,25 +43,6 @@ def with_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, have) if x)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    own = tempfile.mkdtemp(prefix="strandloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: later uses don't recompute it, and a lost executor loses nothing."""
-    spark = guarded(df.sparkSession)
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

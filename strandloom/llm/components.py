@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        cur = written(_stars(_stars(cur, True), False), "links")
+        old, cur = cur, written(_stars(_stars(cur, True), False), "links")
+        dropped(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -17,10 +17,14 @@ WIDTH = 5
 BANDS, ROWS, ORDERS = 20, 4, 4
 
 
+def key_id(k1, k2):
+    """The two halves of text_key() as one string."""
+    return F.concat(F.hex(k1), F.lit("-"), F.hex(k2))
+
+
 def text_id(text):
-    """text_key() as one string."""
     key = text_key(text)
-    return F.concat(F.hex(key["k1"]), F.lit("-"), F.hex(key["k2"]))
+    return key_id(key["k1"], key["k2"])
 
 
 def with_shingles(texts: DataFrame, width: int = WIDTH) -> DataFrame:

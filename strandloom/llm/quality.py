@@ -3,8 +3,9 @@
 Cross-document line frequency: lines are hashed in normalised form, the distinct documents (distinct texts: an exact
 copy is no further document) with a line are counted per host, and a line found in more than max(`min_docs`, `share` of
 the host's) documents is boilerplate there. Lines of over `max_line_words` words are passages, which near copies of
-a document share as well: of these only one counts, so that copies stay whole until near-dedup picks one. A document whose words lie mostly in boilerplate lines is depleted:
-less than `least_left` percent of its words would stay. It is rejected, as is one that fails the base rule.
+a document share as well: of these only one counts, so that copies stay whole until near-dedup picks one. A document whose words lie mostly in
+boilerplate lines is depleted: less than `least_left` percent of its words would stay, or fewer than the base rule asks for. It is rejected, as
+is one that fails the base rule.
 
 Defined results: a null text has no words, lines or symbols and fails the base rule; a null host counts as the host
 without name; repeated rows are judged alike; extra columns pass through; an empty table gives an empty result.
@@ -21,6 +22,8 @@ from .lines import lines_of, without_positions
 
 MIN_WORDS, MOST_REPEAT = 50, 50
 MIN_DOCS, SHARE, MAX_LINE_WORDS, LEAST_LEFT = 10, 0.005, 20, 30
+#: Tests take bits off the windows' hashes, so that different windows share them.
+FEWER_BITS = 1
 
 
 def words(text):
@@ -39,20 +42,29 @@ def base_counts(docs: DataFrame, *keep) -> DataFrame:
     names = [n for n in split.columns if n not in ("__w", "n_symbols", "__l")]
     w, n = F.col("__w"), F.col("__n")
     sized = split.select("*", F.size(w).alias("__n"))
-    # A window's hash has its position in the low bits: equal windows are neighbours in the sorted array of longs, and
-    # a neighbour's words are compared, so a hash that happens to agree counts nothing.
-    room = F.expr("shiftleft(1L, cast(ceil(log2(__n + 1)) AS int))")
+    # A window's hash has its position in the low bits: equal windows are neighbours in the sorted array of longs.
+    room = F.expr("shiftleft(1L, cast(ceil(log2(__n + 1)) AS int))") * FEWER_BITS
     packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(-F.col("__room")).bitwiseOR(i.cast("long")))
     sorted_ = sized.select("*", room.alias("__room")).select("*", F.when(n >= 4, F.sort_array(packed)).alias("__s"))
     s, low = F.col("__s"), F.col("__room") - 1
-
-    def same(j):
-        a, b = s[j - 1], s[j]
-        p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-        return (a.bitwiseXOR(b) <= low) & (a.bitwiseXOR(b) >= 0) & (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
-
-    pairs = F.filter(F.sequence(F.lit(1), F.size(s) - 1), same)
-    at = F.sort_array(F.flatten(F.transform(pairs, lambda j: F.array(s[j - 1].bitwiseAND(low), s[j].bitwiseAND(low)))))
+    at_ = lambda j: s[j].bitwiseAND(low).cast("int")
+
+    def hashed(j):
+        both = s[j - 1].bitwiseXOR(s[j])
+        return (both <= low) & (both >= 0)
+
+    def same(p, q):
+        return (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
+
+    turns = F.sequence(F.lit(1), F.size(s) - 1)
+    pairs = F.filter(turns, lambda j: hashed(j) & same(at_(j - 1), at_(j)))
+    by_hash = F.flatten(F.transform(pairs, lambda j: F.array(at_(j - 1), at_(j))))
+    # Where different windows share the hash's upper bits, they may stand between equal ones: such a text is sorted by the words themselves.
+    mixed = F.exists(turns, lambda j: hashed(j) & ~same(at_(j - 1), at_(j)))
+    spelt = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))))
+    equal = F.filter(turns, lambda j: same(spelt[j - 1]["i"], spelt[j]["i"]))
+    by_words = F.flatten(F.transform(equal, lambda j: F.array(spelt[j - 1]["i"], spelt[j]["i"])))
+    at = F.sort_array(F.when(mixed, by_words).otherwise(by_hash)).cast("array<bigint>")
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         F.col("__at"), zero,
@@ -81,13 +93,19 @@ def _host(host: str):
     return F.coalesce(F.col(host), F.lit(""))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, h1, h2) of the lines above the host's limit."""
+def hashed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(host, k1, k2, pos, h1, h2, w) of the lines of each host's distinct texts, written once: all passes read them. w: words of the line."""
+    texts = docs.select("text", _host(host).alias("__host"))
+    lines = lines_of(texts, "__host").select("__host", "k1", "k2", "pos", "h1", "h2", F.size(F.split("norm", " ")).alias("w"))
+    return written(lines, "host-lines")
+
+
+def frequent_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
+    """(host, h1, h2) of the lines above the host's limit, from hashed_lines()."""
     texts = docs.select("text", _host(host).alias("__host"))
-    is_long = (F.size(F.split("norm", " ")) > MAX_LINE_WORDS).alias("long")
-    lines = lines_of(texts, "__host").select("__host", "h1", "h2", "k1", "k2", is_long)
     # Map side first: a line that is everywhere shuffles once for each task and text, and then as a count.
-    counts = lines.distinct().groupBy("__host", "h1", "h2", "long").count().filter(F.col("count") > MIN_DOCS)
+    held = lines.select("__host", "h1", "h2", "k1", "k2", (F.col("w") > MAX_LINE_WORDS).alias("long")).distinct()
+    counts = held.groupBy("__host", "h1", "h2", "long").count().filter(F.col("count") > MIN_DOCS)
     # The host's size in the same unit as a line's documents: distinct texts.
     key = text_key(F.col("text"))
     hosts = texts.select("__host", key["k1"].alias("k1"), key["k2"].alias("k2")).distinct().groupBy("__host").agg(F.count("*").alias("__texts"))
@@ -98,21 +116,23 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     if passages.isEmpty():
         return short
     # A passage is in the near copies of its text as well: of these, one counts, in the line's documents and in the host's.
-    held = lines_of(texts, "__host", "text").join(passages, ["__host", "h1", "h2"], "left_semi").select("__host", "h1", "h2", copies.text_id(F.col("text")).alias("id"), "text")
-    held = written(held.dropDuplicates(["__host", "h1", "h2", "id"]), "passages")
-    group = written(copies.groups(held.select("id", "text").dropDuplicates(["id"])), "copies")
-    held = held.drop("text").join(group, "id")
-    spare = held.groupBy("__host").agg((F.count_distinct("id") - F.count_distinct("copy_of")).alias("__spare"))
-    counts = held.select("__host", "h1", "h2", "copy_of").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
+    in_text = lines.join(passages.select("__host", "h1", "h2"), ["__host", "h1", "h2"], "left_semi").select("__host", "h1", "h2", "k1", "k2").distinct()
+    in_text = written(in_text.select("__host", "h1", "h2", "k1", "k2", copies.key_id("k1", "k2").alias("id")), "passages")
+    asked = in_text.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    whole = texts.select("text", key["k1"].alias("k1"), key["k2"].alias("k2")).join(asked, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left_semi")
+    group = written(copies.groups(whole.select(copies.key_id("k1", "k2").alias("id"), "text").dropDuplicates(["id"])), "copies")
+    in_text = in_text.join(group, "id")
+    spare = in_text.groupBy("__host").agg((F.count_distinct("id") - F.count_distinct("copy_of")).alias("__spare"))
+    counts = in_text.select("__host", "h1", "h2", "copy_of").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
     counts = counts.join(hosts.join(spare, "__host").select("__host", (F.col("__texts") - F.col("__spare")).alias("__texts")), "__host")
     return short.unionByName(counts.filter(above).select("__host", "h1", "h2"))
 
 
 def lost_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(host, k1, k2, removed, lost_words) of the texts with boilerplate lines: positions, and words in them."""
-    frequent = written(frequent_lines(docs, host), "frequent-lines")
-    lines = lines_of(docs.select("text", _host(host).alias("__host")), "__host")
-    gone = lines.join(frequent, ["__host", "h1", "h2"], "left_semi").select("__host", "k1", "k2", "pos", F.size(F.split("norm", " ")).alias("w")).distinct()
+    lines = hashed_lines(docs, host)
+    frequent = written(frequent_lines(docs, lines, host), "frequent-lines")
+    gone = lines.join(frequent, ["__host", "h1", "h2"], "left_semi").select("__host", "k1", "k2", "pos", "w").distinct()
     return gone.groupBy("__host", "k1", "k2").agg(F.array_sort(F.collect_list("pos")).alias("__removed"), F.sum("w").alias("__lost"))
 
 
@@ -123,7 +143,8 @@ def judged(docs: DataFrame, *keep: str, host: str = "source") -> DataFrame:
     lost = lost_lines(docs, host)
     on = (F.col("__h") == F.col("__host")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
     joined = counts.join(lost, on, "left")
-    depleted = 100 * (F.col("n_words") - F.coalesce("__lost", F.lit(0))) < LEAST_LEFT * F.col("n_words")
+    left = F.col("n_words") - F.coalesce("__lost", F.lit(0))
+    depleted = (100 * left < LEAST_LEFT * F.col("n_words")) | (left < MIN_WORDS)
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__h", "__k1", "__k2", "__host", "k1", "k2", "__lost")
 
 
@@ -149,7 +170,7 @@ def stage(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS ls
   FROM documents),
@@ -164,11 +185,25 @@ l AS (
   SELECT r, host, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
   FROM (SELECT r, host, text, unnest(ls) AS line FROM d WHERE text IS NOT NULL)),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE norm <> '' GROUP BY r),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n FROM d GROUP BY host),
+cnt AS (
+  SELECT host, norm, len(string_split(norm, ' ')) > 20 AS passage, count(DISTINCT text) AS docs FROM l WHERE norm <> ''
+  GROUP BY host, norm HAVING count(DISTINCT text) > 10),
+held AS (SELECT DISTINCT l.host, l.norm, l.text FROM l JOIN cnt ON l.host = cnt.host AND l.norm = cnt.norm AND passage),
+ht AS (SELECT text AS t, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT text FROM held)),
+gram AS (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT t, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM ht)),
+size_ AS (SELECT t, count(*) AS n FROM gram GROUP BY t),
+near AS (
+  SELECT a, b FROM (SELECT x.t AS a, y.t AS b, count(*) AS c FROM gram x JOIN gram y USING (g) WHERE x.t <> y.t GROUP BY x.t, y.t)
+  JOIN size_ p ON p.t = a JOIN size_ q ON q.t = b WHERE 9 * c >= 4 * (p.n + q.n)),
+reach(t, o) AS (SELECT t, t FROM ht UNION SELECT r.t, n.b FROM reach r JOIN near n ON n.a = r.o),
+copy AS (SELECT t, min(o) AS copy_of FROM reach GROUP BY t),
+spare AS (SELECT host, count(DISTINCT text) - count(DISTINCT copy_of) AS k FROM held JOIN copy ON t = text GROUP BY host),
 freq AS (
-  SELECT host, norm FROM l JOIN hosts USING (host)
-  WHERE norm <> '' AND len(string_split(norm, ' ')) <= 20
-  GROUP BY host, norm, n HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.005 * n),
+  SELECT host, norm FROM cnt JOIN hosts USING (host) WHERE NOT passage AND docs > 0.005 * n
+  UNION ALL
+  SELECT host, norm FROM held JOIN copy ON t = text JOIN hosts USING (host) JOIN spare USING (host)
+  GROUP BY host, norm, n, k HAVING count(DISTINCT copy_of) > 10 AND count(DISTINCT copy_of) > 0.005 * (n - k)),
 lost AS (SELECT r, sum(len(string_split(norm, ' '))) AS lost FROM l JOIN freq USING (host, norm) GROUP BY r),
 base AS (
   SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -178,6 +213,6 @@ base AS (
   FROM d LEFT JOIN rw USING (r) LEFT JOIN dl USING (r) LEFT JOIN lost USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * (n_words - lost) < 30 * n_words) AS kept
+       NOT base_failed AND 100 * (n_words - lost) >= 30 * n_words AND n_words - lost >= 50 AS kept
 FROM b
 """
