@@ -9,7 +9,7 @@ bounded whatever the benchmark's size; documents are scanned once for each block
 by document row. One block, the usual case, needs no shuffle at all.
 
 Defined results: a null or wordless text has no words and no hits; repeated rows are judged one by one; windows of an
-item without item_id count as hits, but list no item; an empty benchmark hits nothing; extra columns pass through.
+item without item_id count as hits, but list no item; an empty benchmark hits nothing; extra columns pass through, one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers, written
+from .common import kept_columns, with_workers, written
 
 WINDOW = 13
 #: A broadcast block holds at most this many benchmark words (about 100 bytes each on a worker).
@@ -160,7 +160,7 @@ def _scan(docs: DataFrame, at: str, block: list, window: int) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, at: str = "hits", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`, all by default) with struct column `at`: n_words, spans (word intervals), items."""
     with_workers(docs.sparkSession)
-    keep = keep or docs.columns
+    keep = kept_columns(keep or docs.columns, at)
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     blocks = iter(_blocks(benchmark, block_words))
     first, second = next(blocks), next(blocks, None)

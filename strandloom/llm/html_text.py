@@ -1,14 +1,17 @@
 """HTML extraction by tree scoring.
 
 A page becomes a tree (implied end tags, raw-text elements and broken markup are dealt with). Elements that are no article
-text by their nature (scripts, menus, forms, asides, ...) or by role, class or id (adverts, notices, reader comments, ...)
-are dropped. Every paragraph passes points for its length and commas to its ancestors, fewer with each level, and a
+text by their nature (scripts, menus, forms, asides, ...) or by role, class or id (adverts, cookie banners, reader comments, ...)
+are dropped. Names that an article uses for its own parts as well (discussion, related work, notice, share, ...) drop an element outside an article or
+main element; inside one they are only a doubt, which must be borne out: by many links, by form controls or by a scrap of text without a sentence.
+Every paragraph passes points for its length and commas to its ancestors, fewer with each level, and a
 container's points are discounted by its link density. The best container is kept, up to the article or main element
-it lies in, and so are its siblings with enough points; link lists inside are dropped. The text is put out by
-blocks: white space in a block becomes one space, blocks are joined by an empty line.
+it lies in, and so are its siblings with enough points. Bare link lists are dropped outside an article or main element, and inside one if they come
+before its first paragraph. The text is put out by
+blocks: white space in a block becomes one space, blocks are joined by an empty line. Of containers with equal points the first one is the best.
 
 Defined results: null, empty and textless pages give an empty text; a page of any length is read whole; repeated rows give
-the same text; extra columns pass through.
+the same text; extra columns pass through, one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import kept_columns, with_workers
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,8 +36,12 @@ BLOCK = frozenset(
 )
 NO_TEXT = frozenset(
     "script style noscript template textarea title head nav footer aside form button select option datalist iframe object"
-    " embed svg canvas audio video map menu dialog search noframes noembed applet math input".split()
+    " embed svg canvas audio video menu dialog search noframes noembed applet input annotation annotation-xml".split()
 )
+CONTROLS = frozenset("input textarea select button form".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their names never cast doubt on them: what they head or hold decides.
+PLAIN = frozenset("h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption figure figcaption math".split())
 #: An opening tag ends these open elements, if they lie above the nearest element of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -58,11 +65,16 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 #: Words in class or id that mark what is no article text.
 _JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|adslot|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|"
+    r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|adslot|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|"
     r"subscri\w*|signup|popups?|modal|overlay|sidebar\w*|sidenav|navbar|navigation|nav|menus?|submenu|breadcrumbs?|footer|masthead|"
-    r"comments?|commentlist|disqus|replies|respond|reactions|share|sharing|social|related|recommend\w*|widgets?|login|"
-    r"search|pagination|pager|toolbar|skip|copyright|outbrain|taboola|alerts?|disclaimer|discussion|responses|feedback|toc)(?:$|[\s_-])"
+    r"comments?|commentlist|disqus|replies|respond|widgets?|login|pagination|pager|toolbar|skip|copyright|outbrain|taboola)(?:$|[\s_-])"
 )
+#: Words that an article's own parts bear, too.
+_DOUBT = re.compile(
+    r"(?:^|[\s_-])(?:banner|notices?|alerts?|disclaimer|reactions|share|sharing|social|related|recommend\w*|search|discussion|responses|feedback|toc)"
+    r"(?:$|[\s_-])"
+)
+_STOP = re.compile(r"[.!?…](?=[\s\"')\]]|$)|[。！？]")
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -70,6 +82,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 LEAST_PARAGRAPH = 25
 LEVELS = 6
+#: Doubt is borne out by this share of link text, or by a text that is shorter and has no sentence.
+DOUBT_LINKS, DOUBT_SCRAP = 1 / 3, 60
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -87,6 +101,8 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.up, self.drop, self.block, self.link = ["#root"], [-1], [False], [0], [False]
         self.inside = [False]  # an article or main element
+        self.doubt: list[int] = []
+        self.controls = [0]  # form controls right inside
         self.pieces: list[tuple[int, str | None]] = []
         self._parse(html)
 
@@ -108,14 +124,19 @@ class Page:
                 or at.get("aria-hidden", "").lower() == "true"
                 or bool(at.get("style") and _HIDDEN.search(at["style"].lower()))
                 or (not keep and bool(_JUNK.search(name)))
+                or (not keep and not self.inside[top] and bool(_DOUBT.search(name)))
                 or (not keep and not self.inside[top] and bool(_HEADER.search(name)))
             )
+            if not junk and not keep and self.inside[top] and tag in BLOCK and tag not in PLAIN and _DOUBT.search(name):
+                self.doubt.append(i)
         self.tag.append(tag)
         self.up.append(top)
         self.drop.append(junk or self.drop[top])
         self.block.append(i if tag in BLOCK else self.block[top])
         self.link.append(tag == "a" or self.link[top])
         self.inside.append(inside)
+        self.controls.append(0)
+        self.controls[top] += tag in CONTROLS
         return i
 
     def _parse(self, html: str) -> None:
@@ -155,6 +176,7 @@ class Page:
                             break
                 continue
             if tag in VOID:
+                self.controls[stack[-1]] += tag in CONTROLS
                 pieces.append((stack[-1], None if tag == "hr" else " " if tag == "br" else ""))
                 continue
             if tag in BLOCK:
@@ -190,31 +212,57 @@ class Page:
             if not (raw.endswith("/") and tag in ("svg", "path", "use")):
                 stack.append(i)
 
-    def text(self) -> str:
-        tag, up, drop, n = self.tag, self.up, self.drop, len(self.tag)
-        own, own_link, commas = [0] * n, [0] * n, [0] * n
-        pieces = []
+    def _measured(self) -> None:
+        """The text's pieces without dropped ones, and what each element and all inside it hold."""
+        up, drop, n = self.up, self.drop, len(self.tag)
+        self.own, self.own_link, self.commas, stops = [0] * n, [0] * n, [0] * n, [0] * n
+        self.shown = []
         for i, t in self.pieces:
             if drop[i]:
                 if t is None:
-                    pieces.append((i, None))
+                    self.shown.append((i, None))
                 continue
             if t:
                 t = unescape(t) if "&" in t else t
                 size = len(t) if not t.isspace() else 0
                 b = self.block[i]
-                own[b] += size
-                commas[b] += t.count(",") + t.count("，") + t.count("、")
+                self.own[b] += size
+                self.commas[b] += t.count(",") + t.count("，") + t.count("、")
                 if self.link[i]:
-                    own_link[b] += size
-            pieces.append((i, t))
-        length, links, n_links, score = own[:], own_link[:], [0] * n, [0.0] * n
+                    self.own_link[b] += size
+                if self.doubt and _STOP.search(t):
+                    stops[i] += 1
+            self.shown.append((i, t))
+        self.length, links, self.n_links, self.stops, self.inputs = self.own[:], self.own_link[:], [0] * n, stops, self.controls[:]
         for i in range(n - 1, 0, -1):
             p = up[i]
-            length[p] += length[i]
+            self.length[p] += self.length[i]
             links[p] += links[i]
-            n_links[p] += n_links[i] + (tag[i] == "a" and not drop[i])
-        density = [links[i] / length[i] if length[i] else 0.0 for i in range(n)]
+            self.n_links[p] += self.n_links[i] + (self.tag[i] == "a" and not drop[i])
+            self.stops[p] += self.stops[i]
+            self.inputs[p] += self.inputs[i]
+        self.density = [links[i] / self.length[i] if self.length[i] else 0.0 for i in range(n)]
+
+    def _settle_doubts(self) -> bool:
+        """Drops the doubtful elements whose doubt is borne out; whether there was one."""
+        found = False
+        for i in self.doubt:
+            if self.density[i] > DOUBT_LINKS or self.inputs[i] or (self.length[i] < DOUBT_SCRAP and not self.stops[i]):
+                self.drop[i] = found = True
+        if found:
+            for i in range(1, len(self.tag)):
+                self.drop[i] = self.drop[i] or self.drop[self.up[i]]
+        return found
+
+    def text(self) -> str:
+        tag, up, drop, n = self.tag, self.up, self.drop, len(self.tag)
+        self._measured()
+        if self.doubt and self._settle_doubts():
+            self._measured()
+        own, own_link, commas, length, n_links, density, pieces = self.own, self.own_link, self.commas, self.length, self.n_links, self.density, self.shown
+        score = [0.0] * n
+        # The first paragraph of an article or main element: bare link lists before it are menus.
+        first = next((i for i in range(n) if self.inside[i] and own[i] >= LEAST_PARAGRAPH and own_link[i] < 0.5 * own[i] and tag[i] not in HEADS), n)
         for i in range(n):
             if own[i] < LEAST_PARAGRAPH or drop[i] or self.block[i] != i:
                 continue
@@ -242,7 +290,8 @@ class Page:
             if not keep[i] and i and p == up[root] and not drop[i]:
                 long_p = tag[i] == "p" and length[i] > 80 and density[i] < 0.25
                 keep[i] = long_p or score[i] * (1 - density[i]) >= least
-            if keep[i] and i != root and n_links[i] >= 3 and density[i] > 0.6 and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "p"):
+            bare = n_links[i] >= 3 and density[i] > 0.6 and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "p")
+            if keep[i] and i != root and bare and (i < first if self.inside[i] else True):
                 keep[i] = False
                 drop[i] = True
             if p >= 0 and drop[p]:
@@ -269,7 +318,7 @@ def main_text(html: str | None) -> str:
 def extracted(pages: DataFrame, at: str = "text", keep: list[str] | None = None) -> DataFrame:
     """pages (its columns `keep`, all by default) with the main text of html."""
     with_workers(pages.sparkSession)
-    keep = pages.columns if keep is None else keep
+    keep = kept_columns(pages.columns if keep is None else keep, at)
 
     def run(batches):
         for b in batches:

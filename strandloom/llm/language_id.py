@@ -1,19 +1,23 @@
 """Language ID by compression: the language whose raw-content zstandard dictionary makes a text smallest.
 
-Each language's dictionary is filled from a bounded sample of labelled rows: the rows with the smallest hashes of their
-id, about `sample_docs` of them for a language, at most `doc_bytes` bytes of each and `dict_bytes` in all. A text is
+Each language's dictionary is filled from a bounded sample of labelled rows: about 2 * `sample_docs` rows of a language, drawn by a hash of
+their id and text (repeated rows are drawn once), at most `doc_bytes` bytes of each and `dict_bytes` in all. Every labelled language is learned; all
+dictionaries together have at most `all_bytes`, so with very many languages each gets less. A text is
 reduced to its lower-case letters, cut into blocks (so that a long text can't become its own dictionary) and every
 block is compressed with every dictionary; all blocks count. Short texts ride on a piece of the dictionary, else a
 block that doesn't shrink would be stored as it is. The margin to the second language gives the score, and a narrow one
 is rejected (`accepted` false), the prediction being kept beside it. Equal sizes go to the language with more rows.
 
-Defined results: a null text or one without letters is `und` with score 0; so is every text if nothing is labelled; a row
-without doc_id is not held out and not learned from; repeated rows are predicted alike; extra columns pass through.
+Defined results: a null text or one without letters (Unicode categories L*) is `und` with score 0; so is every text if nothing is labelled; a row
+without doc_id is not held out and not learned from; repeated rows are predicted alike; extra columns pass through, one with the name of
+a new column is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +25,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers
+from .common import kept_columns, with_workers
 
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 200, 1500, 100_000
-#: Languages beyond this many labelled ones, the rarest, are not learned.
-MOST_LANGS = 256
+#: All dictionaries together, as they are sent to the workers.
+ALL_BYTES = 64_000_000
 BLOCK, SHORT, CARRIER = 2048, 300, 400
 #: A prediction is accepted if the second size is larger by this share, and by MARGIN_BYTES.
 MARGIN, MARGIN_BYTES = 0.01, 2
 LEVEL, MIN_MATCH = 11, 3
 UND = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+def _class(*kinds: str) -> str:
+    """The characters whose Unicode category begins with one of `kinds`, as ranges of a character class."""
+    out, begin = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+        if inside and begin is None:
+            begin = c
+        elif not inside and begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return "".join(out)
+
+
+#: What is neither a letter nor a mark on one; and a letter.
+_OTHER, _LETTER = re.compile(f"[^{_class('L', 'M')}]+"), re.compile(f"[{_class('L')}]")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-case words of letters, with a space around each; empty if there is no letter."""
     words = _OTHER.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} ".encode("utf-8", "replace") if words else b""
+    return f" {words} ".encode("utf-8", "replace") if words and _LETTER.search(words) else b""
 
 
 class Classifier:
@@ -78,26 +98,32 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """From labelled(doc_id, lang, text): what bounded rows give, on the driver: at most MOST_LANGS * 2 * sample_docs texts' beginnings."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, all_bytes: int = ALL_BYTES) -> list[tuple[str, bytes]]:
+    """(language, content) from labelled(doc_id, lang, text), the most frequent language first.
+
+    The driver gets a count for each language and the beginnings of the rows that are drawn: a row is drawn with the chance 2 * sample_docs by the
+    rows of its language, and once however often it is repeated.
+    """
+    spark = labelled.sparkSession
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return []
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * sample_docs / n))]), F.col("lang"))
-    draw = F.xxhash64(F.lit(7), F.col("doc_id"))
-    picked = labelled.filter(F.col("lang").isin(list(counts))).filter(F.pmod(draw, F.lit(1 << 30)) < rate * (1 << 30))
-    cut = picked.select("lang", draw.alias("draw"), F.substring("text", 1, DOC_BYTES).alias("text"))
+    most = max(256, min(DICT_BYTES, all_bytes // len(counts)))
+    rates = spark.createDataFrame([(lang, int(min(1.0, 2 * sample_docs / n) * (1 << 30))) for lang, n in counts.items()], "__lang string, __rate long")
+    draw = F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text"))
+    drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).filter(F.pmod(draw, F.lit(1 << 30)) < F.col("__rate"))  # a row for each language
+    cut = drawn.select("lang", draw.alias("draw"), F.substring("text", 1, DOC_BYTES).alias("text")).dropDuplicates()
     found: dict[str, list] = {}
     for r in cut.collect():
         found.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    return [(lang, b"".join(letters(t)[:DOC_BYTES] for _, t in sorted(found[lang])[: 2 * sample_docs])[:DICT_BYTES]) for lang in counts if lang in found]
+    return [(lang, b"".join(letters(t)[:DOC_BYTES] for _, t in sorted(found[lang])[: 2 * sample_docs])[:most]) for lang in counts if lang in found]
 
 
 def predicted(docs: DataFrame, classifier: list[tuple[str, bytes]], keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`, all by default) with lang_pred, score, accepted."""
     spark = docs.sparkSession
     with_workers(spark)
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs.columns if keep is None else keep, "lang_pred", "score", "accepted")
     sent = spark.sparkContext.broadcast([x for x in classifier if x[1]])
 
     def run(batches):

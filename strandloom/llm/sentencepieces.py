@@ -15,7 +15,7 @@ the vocabulary). The stretch between the first and the last such border is share
 up in a memo whose entries come from the same lattice.
 
 Defined results: null and empty texts have no tokens (ids is an empty list); a text decodes to itself, but for the mark
-character U+2581, which decodes to a space as in the library; repeated rows and extra columns pass through.
+character U+2581, which decodes to a space as in the library; repeated rows and extra columns pass through, one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_cycles, sliced, text_key, while_busy, with_workers
+from .common import kept_columns, no_cycles, sliced, text_key, while_busy, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 
 #: Texts of more characters than GIANT are cut into chunks of CHUNK characters.
@@ -269,7 +269,7 @@ def encoded(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     """docs (its columns `keep`, all by default) with ids array<int>, and with what they decode to as column `back` if named."""
     spark = docs.sparkSession
     with_workers(spark)
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs.columns if keep is None else keep, "ids", back)
     sent = spark.sparkContext.broadcast(model_bytes(model))
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
@@ -301,13 +301,15 @@ def decoded(df: DataFrame, model: str | None = None, at: str = "decoded") -> Dat
     with_workers(spark)
     sent = spark.sparkContext.broadcast(model_bytes(model))
 
+    keep = kept_columns(df.columns, at)
+
     def run(batches):
         decode = codec(sent.value).pieces.decode
         for b in (part for whole in batches for part in sliced(whole)):
             out = [None if x is None else decode(x) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, at])
+            yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(out, pa.string())], [*keep, at])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(at, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(at, T.StringType())]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

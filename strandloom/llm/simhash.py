@@ -13,7 +13,7 @@ dealt, by its next bits, into pairs of subtrees that are within the budget; so n
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows and exact
 copies share a fingerprint; a null doc_id never is a component's id if the component has another; an empty table gives
-an empty result; extra columns pass through.
+an empty result; extra columns pass through, one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_workers, written
+from .common import kept_columns, with_workers, written
 from .components import components
 
 WIDTH = 3
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 def with_fingerprint(docs: DataFrame, at: str = "fp", width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`, all by default) with the fingerprint's 64 bits as a long."""
     with_workers(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs.columns if keep is None else keep, at)
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     kept = [docs.columns.index(c) for c in keep]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_cycles, text_key, while_busy, with_workers
+from .common import kept_columns, no_cycles, text_key, while_busy, with_workers
 from .pieces import _WORD, Memo, Pieces, Transducer, words_of
 from .sentencepieces import model_bytes
 
@@ -112,7 +112,7 @@ def counted(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     """docs (its columns `keep`, all by default) with n_tokens."""
     spark = docs.sparkSession
     with_workers(spark)
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs.columns if keep is None else keep, "n_tokens")
     sent = spark.sparkContext.broadcast(model_bytes(model))
     key = text_key(F.col("text"))
     docs = docs.select(*dict.fromkeys([*keep, "text"]))

@@ -9,7 +9,8 @@ The intervals of a value travel as one sorted array, so the join is an equality
 no more rows than one without; the verdict is worked out once for each distinct (url, time) and joined back.
 
 Defined results: a null or unparsable url, or a null time, matches nothing; of entries of one value and moment, remove counts last;
-repeated entries count once; repeated captures are judged alike; extra columns pass through; an empty list blocks nothing.
+repeated entries count once; repeated captures are judged alike; extra columns pass through, one
+with the name of a new column is replaced; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -42,20 +43,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.filter("action = 'add'").select("kind", "value", F.col("at").alias("valid_from"), F.col("to").alias("valid_to"))
 
 
-def keys_of(url):
-    """Structs (kind, value) of all list values that may cover a url."""
-    host, address = host_of(url), address_of(url)
+def suffixes_of(host):
+    """A host and all domains above it."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
-    return F.when(host != "", F.array_append(suffixes, F.struct(F.lit("url").alias("kind"), address.alias("value"))))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """captures with blocked, n_rules (listed values active at the time) and rule (the least of them)."""
+    """captures with blocked, n_rules (listed values active at the time) and rule (the least of them).
+
+    Domains are looked up for each distinct host, not for each capture, so a suffix such as `com` meets the list once for each host below it and
+    goes before captures are joined: these meet only the hosts that the list covers.
+    """
     asked = captures.select(F.col(url).alias("u"), F.col(at).alias("t")).filter("u IS NOT NULL AND t IS NOT NULL").distinct()
-    keyed = asked.select("u", "t", F.explode(keys_of(F.col("u"))).alias("k")).select("u", "t", "k.kind", "k.value")
+    asked = asked.select("u", "t", host_of(F.col("u")).alias("host"), address_of(F.col("u")).alias("address")).filter("host <> ''")
     listed = intervals(entries).groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to"))).alias("spans"))
-    hit = keyed.join(listed, ["kind", "value"]).filter(F.exists("spans", lambda s: (s["valid_from"] <= F.col("t")) & (F.col("t") < s["valid_to"])))
+    hosts = asked.select("host").distinct().select("host", F.explode(suffixes_of(F.col("host"))).alias("value"))
+    covered = hosts.join(listed.filter("kind = 'domain'"), "value")
+    by_host = asked.join(covered, "host").select("u", "t", "kind", "value", "spans")
+    by_address = asked.join(listed.filter("kind = 'url'").withColumnRenamed("value", "address"), "address").select("u", "t", "kind", F.col("address").alias("value"), "spans")
+    hit = by_host.unionByName(by_address).filter(F.exists("spans", lambda s: (s["valid_from"] <= F.col("t")) & (F.col("t") < s["valid_to"])))
     verdict = hit.groupBy(F.col("u").alias("__u"), F.col("t").alias("__t")).agg(F.count("*").alias("__n"), F.min(F.concat_ws(":", "kind", "value")).alias("__rule"))
     out = captures.join(verdict, (F.col(url) == F.col("__u")) & (F.col(at) == F.col("__t")), "left")
     new = {"blocked": F.col("__n").isNotNull(), "n_rules": F.coalesce("__n", F.lit(0)), "rule": F.col("__rule")}
@@ -73,17 +80,20 @@ BEGIN = 1704067200  # 2024-01-01
 
 def captured(pages: DataFrame) -> DataFrame:
     """pages with the fetch time that the table lacks, in seconds: a day of 2024 by page_id."""
-    return pages.select("page_id", "url", (F.lit(BEGIN) + F.pmod(F.col("page_id") * 7919, F.lit(366)) * DAY + F.pmod("page_id", F.lit(DAY))).alias("fetched_at"))
+    return pages.select("page_id", "url", (F.lit(BEGIN) + F.pmod(F.pmod("page_id", F.lit(366)) * 7919, F.lit(366)) * DAY + F.pmod("page_id", F.lit(DAY))).alias("fetched_at"))
 
 
 def listed_hosts(pages: DataFrame) -> DataFrame:
-    """A list history made from the table's hosts: each third host (by name length) is added, removed and added again; casinos always are listed."""
+    """A list history made from the table's hosts: each third host (by name length) is added, removed and added again; casinos always are
+    listed; and so is, from a day of 2024 on, each seventh address (by length)."""
     hosts = pages.select(host_of(F.col("url")).alias("value")).filter("value <> ''").distinct()
     n = F.length("value")
     step = lambda action, days: F.struct(F.lit("domain").alias("kind"), F.col("value").alias("value"), F.lit(action).alias("action"), (F.lit(BEGIN) + (n * 5 + days) * DAY).cast("long").alias("at"))
     some = hosts.filter(n % 3 == 0).select(F.explode(F.array(step("add", 0), step("remove", 90), step("add", 180))).alias("x")).select("x.*")
     casino = hosts.filter(F.col("value").contains("casino")).select(F.lit("domain").alias("kind"), F.regexp_replace("value", r"^[^.]*?\.(?=.*casino)", "").alias("value"), F.lit("add").alias("action"), F.lit(0).cast("long").alias("at"))
-    return some.unionByName(casino)
+    address = pages.select(address_of(F.col("url")).alias("value"), host_of(F.col("url")).alias("host")).filter("host <> ''").select("value").distinct().filter(F.length("value") % 7 == 0)
+    single = address.select(F.lit("url").alias("kind"), "value", F.lit("add").alias("action"), (F.lit(BEGIN) + F.length("value") * 5 * DAY).cast("long").alias("at"))
+    return some.unionByName(casino).unionByName(single)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
@@ -93,21 +103,24 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH cap AS (
-  SELECT row_number() OVER () AS r, page_id, url, 1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400 AS fetched_at,
+  SELECT *, regexp_replace(host || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS address FROM (
+    SELECT row_number() OVER () AS r, page_id, url, 1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400 AS fetched_at,
          regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host
-  FROM pages),
+    FROM pages)),
 hosts AS (SELECT DISTINCT host AS value FROM cap WHERE host <> ''),
 entries AS (
-  SELECT value, unnest(['add', 'remove', 'add']) AS action, 1704067200 + (length(value) * 5 + unnest([0, 90, 180])) * 86400 AS moment_s
+  SELECT 'domain' AS kind, value, unnest(['add', 'remove', 'add']) AS action, 1704067200 + (length(value) * 5 + unnest([0, 90, 180])) * 86400 AS moment_s
   FROM hosts WHERE length(value) % 3 = 0
   UNION
-  SELECT CASE WHEN regexp_matches(value, '^[^.]*\..*casino') THEN regexp_replace(value, '^[^.]*\.', '') ELSE value END, 'add', 0
-  FROM hosts WHERE value LIKE '%casino%'),
-moment AS (SELECT value, moment_s, max(action) AS action FROM entries GROUP BY value, moment_s),
-spans AS (SELECT value, action, moment_s AS f, coalesce(lead(moment_s) OVER (PARTITION BY value ORDER BY moment_s), 253402300800) AS t FROM moment),
+  SELECT 'domain', CASE WHEN regexp_matches(value, '^[^.]*\..*casino') THEN regexp_replace(value, '^[^.]*\.', '') ELSE value END, 'add', 0
+  FROM hosts WHERE value LIKE '%casino%'
+  UNION
+  SELECT 'url', address, 'add', 1704067200 + length(address) * 5 * 86400 FROM cap WHERE host <> '' AND length(address) % 7 = 0),
+moment AS (SELECT kind, value, moment_s, max(action) AS action FROM entries GROUP BY kind, value, moment_s),
+spans AS (SELECT kind, value, action, moment_s AS f, coalesce(lead(moment_s) OVER (PARTITION BY kind, value ORDER BY moment_s), 253402300800) AS t FROM moment),
 hits AS (
-  SELECT r, value FROM cap JOIN spans ON action = 'add' AND fetched_at >= f AND fetched_at < t
-  AND (host = value OR suffix(host, '.' || value)))
-SELECT page_id, url, fetched_at, count(value) > 0 AS blocked, count(value) AS n_rules, 'domain:' || min(value) AS rule
+  SELECT r, kind || ':' || value AS rule FROM cap JOIN spans ON action = 'add' AND fetched_at >= f AND fetched_at < t
+  AND CASE WHEN kind = 'url' THEN address = value ELSE host = value OR suffix(host, '.' || value) END)
+SELECT page_id, url, fetched_at, count(rule) > 0 AS blocked, count(rule) AS n_rules, min(rule) AS rule
 FROM cap LEFT JOIN hits USING (r) GROUP BY r, page_id, url, fetched_at
 """
