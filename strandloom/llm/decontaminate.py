@@ -4,7 +4,8 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters
 of a benchmark item; an item with fewer words, but not none, is one window. A document word inside any occurrence of a
 window is hit.
 
-The windows are sent to the workers in blocks of at most `block_words` words each, so what is broadcast at once is
+The windows are sent to the workers in blocks of at most `block_bytes` bytes as they are held there (a number of bytes for each word of an item, and for
+each distinct word), so what is broadcast at once is
 bounded whatever the benchmark's size; documents are scanned once for each block and the blocks' intervals are united
 by document row. One block, the usual case, needs no shuffle at all.
 
@@ -15,8 +16,8 @@ item without item_id count as hits, but list no item; an empty benchmark hits no
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 from .common import kept_columns, with_workers, written
 
 WINDOW = 13
-#: A broadcast block holds at most this many benchmark words (about 100 bytes each on a worker).
-BLOCK_WORDS = 2_000_000
+#: A broadcast block takes at most this many bytes of a worker; an item that is larger is a block of its own.
+BLOCK_BYTES = 256_000_000
+#: Bytes that a block holds for each word of its items (code, window hash, place, item), and for each distinct word beside its characters (table and objects).
+WORD_BYTES, TERM_BYTES = 28, 200
 #: A document is contaminated if hits * MIN_SHARE_OF >= words.
 MIN_SHARE_OF = 20
 
@@ -46,49 +49,77 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of a block of benchmark items, by length, with a bit table over their hashes for the first look."""
+    """The windows of a block of benchmark items as arrays: the items' words as codes one after the other, and for each length the windows' hashes in
+    order with the places where they begin. A bit table over the hashes gives the first look; a hit is compared word by word."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[tuple[int, ...], set] = defaultdict(set)
+        self.items: list = []
+        words, begins, sizes = [], [], []
         for item, text in items:
             code = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            size = min(window, len(code))
-            for i in range(len(code) - size + 1 if size else 0):
-                self.windows[tuple(code[i : i + size])].add(item)
-        self.lengths = sorted({len(k) for k in self.windows})
-        self.look = {n: np.zeros(1 << _BITS, bool) for n in self.lengths}
-        for n in self.lengths:
-            keys = np.array([k for k in self.windows if len(k) == n], np.uint64)
-            self.look[n][self._slots(keys.T)] = True
+            if code:
+                begins.append(len(words))
+                sizes.append(len(code))
+                self.items.append(item)
+                words += code
+        self.words = np.array(words, np.uint32)
+        at, n_words = np.array(begins, np.int64), np.array(sizes, np.int64)
+        width = np.minimum(n_words, window)
+        self.hashes, self.places, self.owners, self.look = {}, {}, {}, {}
+        for n in sorted(set(width.tolist())):
+            mine = np.flatnonzero(width == n)
+            count = n_words[mine] - n + 1
+            owner = np.repeat(mine, count)
+            place = np.repeat(at[mine] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            h = self._hashed([self.words[place + k] for k in range(n)])
+            order = np.lexsort((owner, h))
+            self.hashes[n], self.places[n], self.owners[n] = h[order], place[order], owner[order].astype(np.int32)
+            self.look[n] = np.zeros(1 << _BITS, bool)
+            self.look[n][self._slots(h)] = True
+        self.lengths = sorted(self.hashes)
 
     @staticmethod
-    def _slots(columns) -> np.ndarray:
+    def _hashed(columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), np.uint64)
         with np.errstate(over="ignore"):
             for c in columns:
-                h = (h + c) * _BASE
+                h = (h + c.astype(np.uint64)) * _BASE
                 h ^= h >> np.uint64(29)
+        return h
+
+    @staticmethod
+    def _slots(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - _BITS)).astype(np.int64)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word intervals [start, end) of verified windows, and the items they belong to."""
         get = self.ids.get
-        code = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        known = np.flatnonzero(code == 0)
+        code = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+        unknown = np.flatnonzero(code == 0)
         spans, items = [], set()
         for n in self.lengths:
             m = len(code) - n + 1
             if m <= 0:
                 continue
-            free = self._free_starts(known, len(code), n)
+            free = self._free_starts(unknown, len(code), n)
             if not len(free):
                 continue
-            slots = self._slots([code[free + k] for k in range(n)])
-            for i in free[self.look[n][slots]].tolist():
-                if found := self.windows.get(tuple(code[i : i + n].tolist())):
+            h = self._hashed([code[free + k] for k in range(n)])
+            seen = np.flatnonzero(self.look[n][self._slots(h)])
+            if not len(seen):
+                continue
+            known, place, owner = self.hashes[n], self.places[n], self.owners[n]
+            low, high = np.searchsorted(known, h[seen]), np.searchsorted(known, h[seen], "right")
+            for k, a, b in zip(seen.tolist(), low.tolist(), high.tolist()):
+                if a == b:
+                    continue
+                i = int(free[k])
+                held = code[i : i + n]
+                hit = [j for j in range(a, b) if (self.words[place[j] : place[j] + n] == held).all()]
+                if hit:
                     spans.append((i, i + n))
-                    items |= found
+                    items.update(self.items[o] for o in owner[hit].tolist())
         return spans, items
 
     @staticmethod
@@ -123,23 +154,30 @@ _HITS = T.StructType(
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark in blocks of bounded size, streamed partition by partition."""
-    block, size = [], 0
+    block, terms, size = [], set(), 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        n = len(words_of(text))
-        if block and size + n > block_words:
+        words = words_of(text)
+        new = set(words) - terms
+        more = WORD_BYTES * len(words) + sum(TERM_BYTES + len(w) for w in new)
+        if block and size + more > block_bytes:
             yield block
-            block, size = [], 0
+            block, terms, size = [], set(), 0
+            new = set(words)
+            more = WORD_BYTES * len(words) + sum(TERM_BYTES + len(w) for w in new)
         block.append((item, text))
-        size += n
+        terms |= new
+        size += more
     yield block
 
 
-def _scan(docs: DataFrame, at: str, block: list, window: int) -> DataFrame:
-    """docs with column `at`: words, hit intervals and hit items of one block."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(WindowSet(block, window))
+def _sent(docs: DataFrame, block: list, window: int):
+    return docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))
+
+
+def _scan(docs: DataFrame, at: str, sent) -> DataFrame:
+    """docs with column `at`: words, hit intervals and hit items of one block that was sent."""
 
     def run(batches):
         find = sent.value.find
@@ -157,23 +195,25 @@ def _scan(docs: DataFrame, at: str, block: list, window: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(at, _HITS)]))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, at: str = "hits", keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns `keep`, all by default) with struct column `at`: n_words, spans (word intervals), items."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int | None = None, at: str = "hits", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (its columns `keep`, all by default) with struct column `at`: n_words, spans (word intervals), items.
+
+    block_words: the block's bound as a number of words, each of them distinct at worst.
+    """
     with_workers(docs.sparkSession)
     keep = kept_columns(keep or docs.columns, at)
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
-    blocks = iter(_blocks(benchmark, block_words))
+    blocks = iter(_blocks(benchmark, block_bytes if block_words is None else block_words * (WORD_BYTES + TERM_BYTES)))
     first, second = next(blocks), next(blocks, None)
-    found = _scan(docs, at, first, window)
     if second is None:
-        return found.select(*keep, at)
+        return _scan(docs, at, _sent(docs, first, window)).select(*keep, at)
     # More than one block: rows get a number that holds over recomputation, and the intervals are united by it.
     docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
     parts = []
-    for block in [first, second]:
-        parts.append(written(_scan(docs.select("__row", "text"), at, block, window).select("__row", at), "decontam-hits"))
-    for block in blocks:
-        parts.append(written(_scan(docs.select("__row", "text"), at, block, window).select("__row", at), "decontam-hits"))
+    for block in chain([first, second], blocks):
+        sent = _sent(docs, block, window)
+        parts.append(written(_scan(docs.select("__row", "text"), at, sent).select("__row", at), "decontam-hits"))
+        sent.destroy()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -8,8 +8,9 @@ bands of the 64 bits. For each band, fingerprints are rotated so that the band c
 the trie's upper part, where only equal nodes can still meet. Below, each task walks its trie by node pairs: it splits
 both nodes of a pair by their next bit, adds the differing bit to the pair's error and drops pairs beyond the budget. A
 pair of nodes whose members are all one component already is dropped as well; only links that join two components of
-the task leave it, at most one for each fingerprint. A band value with more than `hot` fingerprints is split further before it is
-dealt, by its next bits, into pairs of subtrees that are within the budget; so no task grows with a hot band.
+the task leave it, at most one for each fingerprint. A node pair with more than `hot` fingerprints is split further before it is
+dealt, by its next bits, into pairs of subtrees that are within the budget, and these again as long as one is too large and has bits left; so no task grows
+with a hot band. A task reads its node pairs in order and holds few at once.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows and exact
 copies share a fingerprint; a null doc_id never is a component's id if the component has another; an empty table gives
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_columns, with_workers, written
+from .common import dropped, kept_columns, with_workers, written
 from .components import components
 
 WIDTH = 3
 BUDGET = 3
 SEED = 42
-#: A band value with more distinct fingerprints than this is split before it is dealt.
-HOT = 50_000
+#: A node pair with more distinct fingerprints than this is split before it is dealt, by at most DEEP bits at once.
+HOT, DEEP = 50_000, 8
+#: Fingerprints that a task walks at once, if no single node pair has more.
+HELD = 200_000
 #: Node pairs walked at once, and members compared at once.
 _FRONT, _LEAF = 1 << 14, 64
 _U = np.uint64
@@ -187,6 +190,27 @@ def _masks(bits: int, budget: int) -> list[int]:
     return [sum(1 << i for i in c) for n in range(min(bits, budget) + 1) for c in combinations(range(bits), n)]
 
 
+def _split_hot(parts: DataFrame, budget: int, hot: int) -> DataFrame | None:
+    """parts(turn, task, side, err, bit, v) with the node pairs of over `hot` members replaced by pairs of their subtrees within the budget; None if there is none."""
+    sizes = parts.groupBy("task", "bit").count().filter((F.col("count") > hot) & (F.col("bit") < 64))
+    deep = F.least(F.lit(DEEP), F.lit(64) - F.col("bit"), F.greatest(F.lit(4), F.ceil(F.log2(F.col("count") / F.lit(hot))).cast("int") + 1))
+    sizes = written(sizes.select("task", deep.cast("int").alias("deep")), "hot-nodes")
+    if sizes.isEmpty():
+        return None
+    marked = parts.join(sizes, "task", "left")
+    masks = F.element_at(F.create_map(*[x for d in range(1, DEEP + 1) for x in (F.lit(d), F.array(*map(F.lit, _masks(d, budget))))]), F.col("deep"))
+    prefix = F.expr("cast(shiftrightunsigned(shiftleft(v, bit), 64 - deep) AS int)")
+    cut = marked.filter("deep IS NOT NULL").withColumn("p", prefix).withColumn("mask", F.explode(masks))
+    cut = cut.withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).filter(F.col("err") + F.bit_count("mask") <= budget)
+    # With itself (err 0) a node gives each pair of subtrees once; of two nodes, the one on the left keeps the left.
+    alone = F.col("err") == 0
+    side = F.when(alone, (F.col("p") > F.col("q")).cast("int")).otherwise(F.col("side"))
+    left = F.when(alone, F.least("p", "q")).otherwise(F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q")))
+    right = F.when(alone, F.greatest("p", "q")).otherwise(F.when(F.col("side") == 0, F.col("q")).otherwise(F.col("p")))
+    new = cut.select("turn", F.xxhash64("task", "deep", left, right).alias("task"), side.alias("side"), (F.col("err") + F.bit_count("mask")).cast("int").alias("err"), (F.col("bit") + F.col("deep")).cast("int").alias("bit"), "v")
+    return marked.filter("deep IS NULL").select(*parts.columns).unionByName(new)
+
+
 def fingerprint_links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """fps(fp), distinct -> links(a, b) that span the components of fingerprints within `budget` bits."""
     spark = fps.sparkSession
@@ -196,56 +220,51 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> D
     turned = F.explode(F.array(*[F.struct(F.lit(i * width).alias("turn"), _turned(F.col("fp"), i * width).alias("v")) for i in range(bands)])).alias("x")
     keyed = fps.select(turned).select("x.turn", "x.v", F.shiftrightunsigned("x.v", 64 - width).alias("band"))
     sizes = keyed.groupBy("turn", "band").count().filter("count > 1")
-    # Bits by which a hot band is split: each part has about `hot` members if they differ there.
-    deep = F.when(F.col("count") > hot, F.least(F.lit(12), F.ceil(F.log2(F.col("count") / F.lit(hot))).cast("int") + 1)).otherwise(0)
-    keyed = keyed.join(sizes.select("turn", "band", deep.cast("int").alias("deep")), ["turn", "band"])
-    plain = keyed.filter("deep = 0").select("turn", F.xxhash64("turn", "band").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("err"), F.lit(width).alias("bit"), "v")
-    tables = {d: _masks(d, budget) for d in range(1, 13)}
-    masks = F.element_at(F.create_map(*[x for d, m in tables.items() for x in (F.lit(d), F.array(*[F.lit(i) for i in m]))]), F.col("deep"))
-    prefix = F.expr(f"cast(shiftrightunsigned(v, {64 - width} - deep) & (shiftleft(1L, deep) - 1) AS int)")
-    split = (
-        keyed.filter("deep > 0")
-        .withColumn("p", prefix)
-        .withColumn("mask", F.explode(masks))
-        .withColumn("q", F.col("p").bitwiseXOR(F.col("mask")))
-        .select(
-            "turn",
-            F.xxhash64("turn", "band", "deep", F.least("p", "q"), F.greatest("p", "q")).alias("task"),
-            (F.col("p") > F.col("q")).cast("int").alias("side"),
-            F.bit_count("mask").cast("int").alias("err"),
-            (F.lit(width) + F.col("deep")).cast("int").alias("bit"),
-            "v",
-        )
-    )
-    parts = plain.unionByName(split).repartition("task")
-
-    def run(batches):
-        import pandas as pd
-
-        tables = [b.to_pandas() for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pd.concat(tables, ignore_index=True)
-        for (turn, bit), rows in t.groupby(["turn", "bit"]):
-            rows = rows.sort_values(["task", "side", "v"], kind="stable")
-            task, side, err = rows["task"].to_numpy(), rows["side"].to_numpy(), rows["err"].to_numpy()
-            v = rows["v"].to_numpy().view(np.uint64)
-            edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
-            groups = []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if hi - lo < 2:
-                    continue
-                if err[lo]:
-                    cut = lo + int(np.searchsorted(side[lo:hi], 1))
-                    if lo < cut < hi:
-                        groups.append((v[lo:cut], v[cut:hi], int(err[lo])))
-                else:
-                    groups.append((v[lo:hi], None, 0))
-            links = trie_links(groups, int(bit), budget)
+    keyed = keyed.join(sizes.select("turn", "band"), ["turn", "band"], "left_semi")
+    parts = written(keyed.select("turn", F.xxhash64("turn", "band").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("err"), F.lit(width).alias("bit"), "v"), "trie-nodes")
+    while (finer := _split_hot(parts, budget, hot)) is not None:
+        old, parts = parts, written(finer, "trie-nodes")
+        dropped(old)
+    parts = parts.repartition("task").sortWithinPartitions("turn", "bit", "task", "side", "v")
+
+    def linked(t):
+        task, side, err = t["task"].to_numpy(), t["side"].to_numpy(), t["err"].to_numpy()
+        turn, bit, v = t["turn"].to_numpy(), t["bit"].to_numpy(), t["v"].to_numpy().view(np.uint64)
+        edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
+        groups: dict[tuple[int, int], list] = {}
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            mine = groups.setdefault((int(turn[lo]), int(bit[lo])), [])
+            if err[lo]:
+                cut = lo + int(np.searchsorted(side[lo:hi], 1))
+                if lo < cut < hi:
+                    mine.append((v[lo:cut], v[cut:hi], int(err[lo])))
+            else:
+                mine.append((v[lo:hi], None, 0))
+        for (turn_, bit_), mine in groups.items():
+            links = trie_links(mine, bit_, budget)
             if links:
-                ab = _rotl(np.array(links, np.uint64), (64 - int(turn)) % 64).view(np.int64)
+                ab = _rotl(np.array(links, np.uint64), (64 - turn_) % 64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # What is held goes as soon as it is enough and a node pair ends.
+            if n >= HELD:
+                task = b.column("task").to_numpy(zero_copy_only=False)
+                cut = int(np.argmax(task != held[-1].column("task")[-1].as_py())) if (task != held[-1].column("task")[-1].as_py()).any() else -1
+                if cut >= 0:
+                    yield from linked(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held, n, b = [], 0, b.slice(cut)
+            held.append(b)
+            n += b.num_rows
+        if held:
+            yield from linked(pa.Table.from_batches(held))
+
     return parts.mapInArrow(run, "a long, b long")
 
 
