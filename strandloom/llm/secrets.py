@@ -1,14 +1,16 @@
 """Secret scans in DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 token characters with a digit. It is described by its length, the changes between character
-classes along it, the variety of its characters, the share of it that dictionary words cover, the path it was found
+A candidate is a run of token characters: of at least 8 with a digit, of at least 16 without one if it changes case twice inside, or of any kind, from 6
+characters on, if it is quoted right after `=` or `:`. It is described by its length, the transitions between its character
+classes (one share for each pair of digit, lower, upper and other, and the changes altogether), the variety of its characters, the share of it that dictionary
+words cover, the path it was found
 under and the words beside it. The forest is fitted on labelled findings; by default these are made by a rule (`made_findings`), a
 bounded table: keys, tokens and passwords of common shapes after words that announce them, against hashes of commits and files, ids,
-numbers, names, addresses, placeholders and joined words. The dictionary is the `DICTIONARY` most frequent words of all
+numbers, dates, names, addresses, placeholders and joined words. The dictionary is the `DICTIONARY` most frequent words of all
 documents; its size is fixed, so it may be broadcast.
 
 Defined results: null, empty and blank texts have no candidates; each occurrence is a row, numbered in its text; repeated rows
-are scanned one by one; a null path is a path without marks; extra columns don't matter; an empty table gives an empty result.
+are scanned one by one; a null path is a path without marks; a kept column with the name of a new one is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept_columns, text_key, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+_EDGE = r"(?<![A-Za-z0-9+/_-])"
+CANDIDATE = (
+    r"""(?:(?<=[=:]["'])|(?<=[=:] ["']))[^\s"']{6,}+(?=["'])"""
+    rf"|{_EDGE}(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{8,}}+={{0,2}}"
+    rf"|{_EDGE}(?=[A-Za-z+/_-]*?[a-z][A-Z][A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{{16,}}+={{0,2}}"
+)
 BEFORE, AFTER = 48, 24
 DICTIONARY, WORD = 5000, 3
-#: Labelled findings that the forest is fitted on, at most.
+#: Labelled findings that the forest is fitted on, at most: those with the least hashes.
 MOST_FINDINGS = 20_000
 TREES, DEPTH, SEED = 24, 7, 11
 
@@ -36,7 +43,7 @@ PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_live_|rk_live_|xox[abpr]-|A
 
 FEATURES = [
     "length", "changes", "variety", "digits", "uppers", "hex", "coverage", "longest_alpha", "assigned", "quoted",
-    "word_for", "word_against", "path_against", "known_prefix", "repeats",
+    "word_for", "word_against", "path_against", "known_prefix", "repeats", *[f"turn_{a}{b}" for a in "0123" for b in "0123"],
 ]
 
 
@@ -73,10 +80,15 @@ def featured(rows: DataFrame) -> DataFrame:
     n = F.length(c)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[a-z]", "1"), "[A-Z]", "2"), "[^012]", "3")
     runs = F.length(F.regexp_replace(classes, r"(.)\1*+", "r"))
+    after = F.substring(classes, 2, 1 << 30)
+    turns = F.zip_with(F.split(classes, ""), F.split(after, ""), lambda x, y: F.concat(x, y))
     longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x)))
     number = lambda x: x.cast("double")
+    rows = rows.withColumn("__turns", turns)
+    turn = {f"turn_{a}{b}": F.size(F.filter("__turns", lambda x, ab=a + b: x == ab)) / n for a in "0123" for b in "0123"}
     return rows.withColumns(
-        {
+        turn
+        | {
             "length": number(F.least(n, F.lit(200))),
             "changes": (runs - 1) / n,
             "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)),
@@ -92,35 +104,49 @@ def featured(rows: DataFrame) -> DataFrame:
             "known_prefix": number(F.regexp_like(c, F.lit(PREFIX))),
             "repeats": number(F.regexp_like(c, F.lit(r"(.)\1{5}|(.{1,4})\2{3}|0123456|1234567|abcdefg"))),
         }
-    )
+    ).drop("__turns")
 
 
 def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Labelled findings by a rule: (path, candidate, before, after, label), n rows."""
-    r = spark.range(n).select("id", F.sha1(F.col("id").cast("string")).alias("h"), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256).alias("g"), F.pmod("id", F.lit(16)).alias("k"), F.pmod(F.floor(F.col("id") / 16), F.lit(6)).cast("int").alias("j"))
+    """Labelled findings by a rule: (path, candidate, before, after, label, shape), n rows; shapes 0 to 11 are secrets, 12 to 27 aren't."""
+    lit, pick = F.lit, lambda at, xs: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs])[at]
+    r = spark.range(n).select("id", F.sha1(F.col("id").cast("string")).alias("h"), F.sha2(F.concat(lit("x"), F.col("id").cast("string")), 256).alias("g"), F.pmod("id", lit(28)).cast("int").alias("k"), F.pmod(F.floor(F.col("id") / 28), lit(6)).cast("int").alias("j"))
     mixed = F.regexp_replace(F.base64(F.unhex("g")), "[+/=]", "x")
-    good = F.array(*map(F.lit, ["token", "api_key", "secret", "password", "access_key", "auth"]))[F.col("j")]
-    bad = F.array(*map(F.lit, ["commit", "sha1", "md5", "checksum", "uuid", "order id"]))[F.col("j")]
-    assigned = F.concat(good, F.array(*map(F.lit, [' = "', ": '", "=", ' = "', ": ", '="']))[F.col("j")])
-    close = F.array(*map(F.lit, ['" and more', "' and more", " and more", '" the', "\nnext", '"']))[F.col("j")]
-    word = F.array(*map(F.lit, ["internationalization2", "documentation-page-12", "section4paragraph7", "user-guide-chapter-3", "monday2024tuesday2025", "windows10professional"]))[F.col("j")]
-    case = lambda *xs: F.array(*xs)[F.col("k").cast("int")]
-    lit = F.lit
+    alpha = F.translate(mixed, "0123456789", "kQzWvXyBdH")
     digits = F.regexp_replace("h", "[a-f]", "7")
-    cand = case(
-        F.col("h"), F.substring(mixed, 1, 40), F.concat(lit("AKIA"), F.upper(F.substring("h", 1, 16))), F.substring("g", 1, 32), F.concat(lit("ghp_"), F.substring(mixed, 1, 36)), F.col("h"), F.upper("h"), F.concat(lit("sk-"), F.substring(mixed, 1, 32)),
-        F.col("h"), F.substring("g", 1, 32), F.substring(digits, 1, 16), word, lit("xxxxxxxxxxxxxxxx1234"), F.concat(lit("https-cdn-host/assets/img/page"), F.substring(digits, 1, 4)), F.concat(F.substring(digits, 1, 8), lit("-"), F.substring("g", 1, 4), lit("-"), F.substring("g", 5, 4), lit("-"), F.substring("g", 9, 12)), F.concat(lit("1234567890123456"), F.substring(digits, 1, 3)),
-    )
-    plain, call = lit("of the and that was "), F.concat(lit("some words here "), assigned)
-    before = case(call, call, call, call, call, call, F.upper(call), call, F.concat(bad, lit(" ")), F.concat(bad, lit(": ")), plain, plain, call, plain, F.concat(lit("the "), bad, lit(" ")), plain)
-    after = F.when(F.col("k") < 8, close).otherwise(lit(" and then"))
-    path = F.when((F.col("k") >= 8) & (F.col("j") == 2), lit("tests/fixtures/data.txt")).otherwise(F.concat(lit("src"), F.col("j").cast("string")))
-    return r.select(path.alias("path"), cand.alias("candidate"), F.right(before, lit(BEFORE)).alias("before"), F.left(after, lit(AFTER)).alias("after"), (F.col("k") < 8).cast("double").alias("label"))
+    good = pick(F.col("j"), ["token", "api_key", "secret", "password", "access_key", "auth"])
+    bad = pick(F.col("j"), ["commit", "sha1", "md5", "checksum", "uuid", "order id"])
+    assigned = F.concat(good, pick(F.col("j"), [' = "', ": '", "=", ' = "', ": ", '="']))
+    quoted = F.concat(good, pick(F.col("j"), [' = "', ": '", '="', ": \"", " = '", '="']))
+    other = F.concat(pick(F.col("j"), ["title", "name", "color", "label", "path", "lang"]), pick(F.col("j"), [' = "', ": '", '="', ": \"", " = '", '="']))
+    close = pick(F.col("j"), ['" and more', "' and more", " and more", '" the', "\nnext", '"'])
+    shut = pick(F.col("j"), ['" and', "' and", '" and', '", ', "';", '">'])
+    word = pick(F.col("j"), ["internationalization2", "documentation-page-12", "section4paragraph7", "user-guide-chapter-3", "monday2024tuesday2025", "windows10professional"])
+    camel = pick(F.col("j"), ["getUserNameFromList", "DocumentationPageView", "theQuickBrownFoxJumps", "InternationalHouseOfTea", "readAllLinesFromFile", "SectionParagraphTitle"])
+    plainly = pick(F.col("j"), ["Introduction", "chapter-one", "darkblue", "The-Title", "docs/readme", "en-english"])
+    date = F.concat(lit("20"), F.substring(digits, 1, 2), lit("-0"), F.substring(digits, 3, 1), lit("-1"), F.substring(digits, 4, 1))
+    uuid = F.concat(F.substring(digits, 1, 8), lit("-"), F.substring("g", 1, 4), lit("-"), F.substring("g", 5, 4), lit("-"), F.substring("g", 9, 12))
+    cand = pick(F.col("k"), [
+        F.col("h"), F.substring(mixed, 1, 40), F.concat(lit("AKIA"), F.upper(F.substring("h", 1, 16))), F.substring("g", 1, 32), F.concat(lit("ghp_"), F.substring(mixed, 1, 36)), F.col("h"),
+        F.upper("h"), F.concat(lit("sk-"), F.substring(mixed, 1, 32)), F.substring(mixed, 1, 10), F.concat(F.substring(alpha, 1, 9), lit("!")), F.substring(alpha, 1, 24), F.substring(mixed, 1, 64),
+        F.col("h"), F.substring("g", 1, 32), F.substring(digits, 1, 16), word, lit("xxxxxxxxxxxxxxxx1234"), F.concat(lit("https-cdn-host/assets/img/page"), F.substring(digits, 1, 4)),
+        uuid, F.concat(lit("1234567890123456"), F.substring(digits, 1, 3)), date, F.concat(lit("chapter"), F.substring(digits, 1, 2)), F.substring(digits, 1, 9), camel, camel, plainly, word, F.concat(lit("+49-170-"), F.substring(digits, 1, 7)),
+    ])
+    plain, call, said = lit("of the and that was "), F.concat(lit("some words here "), assigned), F.concat(lit("some words here "), quoted)
+    before = pick(F.col("k"), [
+        call, call, call, call, call, call, F.upper(call), call, call, said, said, said,
+        F.concat(bad, lit(" ")), F.concat(bad, lit(": ")), plain, plain, call, plain, F.concat(lit("the "), bad, lit(" ")), plain, plain, plain, plain, plain, other, other, other, F.concat(lit("call "), plain),
+    ])
+    after = F.when((F.col("k") >= 9) & (F.col("k") < 12) | F.col("k").isin(24, 25, 26), shut).when(F.col("k") < 9, close).otherwise(lit(" and then"))
+    path = F.when((F.col("k") >= 12) & (F.col("j") == 2), lit("tests/fixtures/data.txt")).otherwise(F.concat(lit("src"), F.col("j").cast("string")))
+    return r.select(path.alias("path"), cand.alias("candidate"), F.right(before, lit(BEFORE)).alias("before"), F.left(after, lit(AFTER)).alias("after"), (F.col("k") < 12).cast("double").alias("label"), F.col("k").alias("shape"))
 
 
 def fitted(findings: DataFrame, words: DataFrame):
     """A forest from findings(path, candidate, before, after, label); at most MOST_FINDINGS of them are used."""
-    rows = featured(with_coverage(findings.limit(MOST_FINDINGS), words))
+    some = findings.select("path", "candidate", "before", "after", "label")
+    some = some.orderBy(F.xxhash64("candidate", "before", "path"), "candidate", "before", "after", "path", "label").limit(MOST_FINDINGS)
+    rows = featured(with_coverage(some, words))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(ready)
 
@@ -128,11 +154,14 @@ def fitted(findings: DataFrame, words: DataFrame):
 def scanned(docs: DataFrame, findings: DataFrame | None = None, *keep: str, path: str = "source") -> DataFrame:
     """keep..., no, candidate, score, is_secret: every candidate with the forest's judgement."""
     spark = docs.sparkSession
+    new = ["no", "candidate", "score", "is_secret"]
+    keep = kept_columns(list(keep), *new)
     words = written(dictionary(docs), "dictionary")
     model = fitted(findings if findings is not None else made_findings(spark), words)
-    rows = featured(with_coverage(written(candidates(docs, *keep, path=path), "candidates"), words))
+    held = docs.select(F.struct(F.lit(0), *keep).alias("__keep"), F.col(path).alias("path"), "text")
+    rows = featured(with_coverage(written(candidates(held, "__keep", path="path"), "candidates"), words))
     judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
-    return judged.select(*keep, "no", "candidate", F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("prediction") == 1.0).alias("is_secret"))
+    return judged.select(*[F.col("__keep")[k].alias(k) for k in keep], "no", "candidate", F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("prediction") == 1.0).alias("is_secret"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -140,14 +169,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by [SECRET]."""
-    from .common import text_key
-
+    """docs with each occurrence in text that is judged a secret replaced by [SECRET]; the same characters judged harmless elsewhere stay."""
     key = text_key(F.col("text"))
     marked = docs.withColumns({"__k1": key["k1"], "__k2": key["k2"]})
-    secrets = scanned(marked, None, "__k1", "__k2").filter("is_secret").groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.collect_set("candidate").alias("__s")).withColumnsRenamed({"k1": "__g1", "k2": "__g2"})
+    # Copies of a text are judged by the path they are under: one secret verdict is enough.
+    secrets = scanned(marked, None, "__k1", "__k2").filter("is_secret").groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(F.collect_set("no").alias("__s"))
     joined = marked.join(secrets, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")), "left")
-    # Longest first, so that a secret within another one doesn't cut it.
-    ordered = F.array_sort(F.col("__s"), lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.size("__s") > 0, F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit("[SECRET]")))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    shown = F.transform(found, lambda c, i: F.when(F.array_contains("__s", i + 1), F.lit("[SECRET]")).otherwise(c))
+    around = F.split("text", CANDIDATE, -1)
+    text = F.array_join(F.zip_with(around, shown, lambda a, c: F.concat(a, F.coalesce(c, F.lit("")))), "")
+    return joined.withColumn("text", F.when(F.size("__s") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
