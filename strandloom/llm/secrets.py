@@ -85,7 +85,8 @@ def featured(rows: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x)))
     number = lambda x: x.cast("double")
     rows = rows.withColumn("__turns", turns)
-    turn = {f"turn_{a}{b}": F.size(F.filter("__turns", lambda x, ab=a + b: x == ab)) / n for a in "0123" for b in "0123"}
+    share = lambda ab: F.size(F.filter("__turns", lambda x: x == ab)) / n
+    turn = {f"turn_{a}{b}": share(a + b) for a in "0123" for b in "0123"}
     return rows.withColumns(
         turn
         | {
