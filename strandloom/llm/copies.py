@@ -1,8 +1,9 @@
 """Near copies among texts, in DataFrame functions only: word shingles with a Jaccard index of 0.8 or more.
 
-MinHash bands name candidates: in each bucket of a band a text meets the bucket's first and last text, in one of a few
+MinHash bands name candidates: a text's shingles are dealt to bins by their hash, the least hash of each bin is kept (one pass over the shingles, Li,
+Owen and Zhang 2012), and a few bins make a band. In each bucket of a band a text meets the bucket's first and last text, in one of a few
 orders of all texts, so a bucket of n texts makes 2 n pairs at most, without a task that holds it. Every pair is then
-checked by the shingles themselves (as hashes). A pair at 0.8 shares a bucket with a chance of 1 - 3e-5.
+checked by the shingles themselves (as hashes). A pair at 0.8 shares a bucket with a chance of about 1 - 3e-5; bins that are empty in both agree.
 """
 
 from __future__ import annotations
@@ -38,18 +39,16 @@ def with_shingles(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def bucketed(texts: DataFrame) -> DataFrame:
-    """texts(id, text) -> (id, band, v) for each band of ROWS least hashes."""
-    # A row for each band, with few aggregates in a row.
-    rows = with_shingles(texts).select("id", F.explode("x").alias("h")).select("id", "h", F.explode(F.array(*map(F.lit, range(BANDS)))).alias("band"))
-    least = rows.groupBy("id", "band").agg(*[F.min(F.xxhash64(F.col("band") * ROWS + r, "h")).alias(f"m{r}") for r in range(ROWS)])
-    return least.select("id", "band", F.xxhash64(*[f"m{r}" for r in range(ROWS)]).alias("v"))
+    """texts(id, text) -> (id, band, v) for each band of ROWS bins that aren't all empty."""
+    bin_ = F.pmod("h", F.lit(BANDS * ROWS))
+    rows = with_shingles(texts).select("id", F.explode("x").alias("h")).select("id", "h", F.expr(f"pmod(h, {BANDS * ROWS}) div {ROWS}").cast("int").alias("band"), (bin_ % ROWS).alias("r"))
+    least = rows.groupBy("id", "band").agg(*[F.min(F.when(F.col("r") == r, F.col("h"))).alias(f"m{r}") for r in range(ROWS)])
+    return least.select("id", "band", F.xxhash64(*[F.coalesce(f"m{r}", F.lit(r).cast("long")) for r in range(ROWS)]).alias("v"))
 
 
-def near_pairs(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """texts(id, text), distinct -> (a, b) near copies of one another, a below b; with wanted(id), only from buckets that hold one of these."""
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """texts(id, text), distinct -> (a, b) near copies of one another, a below b."""
     rows = written(bucketed(texts), "buckets")
-    if wanted is not None:
-        rows = rows.join(rows.join(wanted, "id", "left_semi").select("band", "v").distinct(), ["band", "v"], "left_semi")
     place = F.struct(F.xxhash64("id", F.col("band") % ORDERS).alias("o"), "id")
     ends = rows.groupBy("band", "v").agg(F.count("*").alias("n"), F.array(F.min(place)["id"], F.max(place)["id"]).alias("ends")).filter("n > 1")
     met = rows.join(ends, ["band", "v"]).select("id", F.explode("ends").alias("o")).filter("id <> o")

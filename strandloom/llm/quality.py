@@ -57,13 +57,15 @@ def base_counts(docs: DataFrame, *keep) -> DataFrame:
         return (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
 
     turns = F.sequence(F.lit(1), F.size(s) - 1)
-    pairs = F.filter(turns, lambda j: hashed(j) & same(at_(j - 1), at_(j)))
-    by_hash = F.flatten(F.transform(pairs, lambda j: F.array(at_(j - 1), at_(j))))
+    beside = sorted_.select("*", F.filter(turns, hashed).alias("__j"))
+    checked = beside.select("*", F.filter("__j", lambda j: same(at_(j - 1), at_(j))).alias("__p"))
+    by_hash = F.flatten(F.transform("__p", lambda j: F.array(at_(j - 1), at_(j))))
     # Where different windows share the hash's upper bits, they may stand between equal ones: such a text is sorted by the words themselves.
-    mixed = F.exists(turns, lambda j: hashed(j) & ~same(at_(j - 1), at_(j)))
+    mixed = F.size("__j") != F.size("__p")
     spelt = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))))
-    equal = F.filter(turns, lambda j: same(spelt[j - 1]["i"], spelt[j]["i"]))
-    by_words = F.flatten(F.transform(equal, lambda j: F.array(spelt[j - 1]["i"], spelt[j]["i"])))
+    found = checked.select("*", F.when(mixed, spelt["i"]).alias("__e"))
+    e = F.col("__e")
+    by_words = F.flatten(F.transform(F.filter(turns, lambda j: same(e[j - 1], e[j])), lambda j: F.array(e[j - 1], e[j])))
     at = F.sort_array(F.when(mixed, by_words).otherwise(by_hash)).cast("array<bigint>")
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -71,7 +73,7 @@ def base_counts(docs: DataFrame, *keep) -> DataFrame:
         lambda acc, p: F.struct(F.greatest(acc["end"], p + 3).alias("end"), (acc["n"] + p + 3 - F.greatest(acc["end"], p)).alias("n")),
         lambda acc: acc["n"],
     )
-    found = sorted_.select(
+    found = found.select(
         *names, "n_symbols",
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
