@@ -119,8 +119,8 @@ def counted(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
 
     def run(batches):
-        count = machine(sent.value).count
         for b in batches:
+            count = machine(sent.value).count  # still busy
             with no_cycles():
                 n = np.fromiter(map(count, b.column("text").to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(n)], [*keep, "n_tokens"])
