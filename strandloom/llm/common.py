@@ -56,6 +56,26 @@ def text_key(col):
     )
 
 
+#: looked_up(): a key that more than one in SHARE_OF rows ask for is hot, if there are over HOT_ROWS such rows.
+SHARE_OF, HOT_ROWS = 10_000, 200_000
+
+
+def looked_up(asked: DataFrame, answers: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """asked joined with answers(keys..., unique) where some keys may be asked for by a large part of all rows.
+
+    Hot keys are those asked for by more than hot_rows rows and more than one in SHARE_OF of all, so there are at most SHARE_OF of them: their
+    answers are broadcast and the rows that ask for them stay where they are. No other key can fill a task of the shuffle.
+    """
+    often = written(asked.groupBy(*keys).agg(F.count("*").alias("__asked")).filter(F.col("__asked") > hot_rows), "asked-keys")
+    if often.isEmpty():
+        return asked.join(answers, keys, how)
+    least = asked.count() / SHARE_OF
+    hot = often.filter(F.col("__asked") > least).select(*keys)
+    hot_answers = F.broadcast(hot.join(answers, keys, "left" if how == "left" else "inner"))
+    cold = asked.join(F.broadcast(hot), keys, "left_anti").join(answers, keys, how)
+    return asked.join(hot_answers, keys).unionByName(cold)
+
+
 _KEPT: dict = {}
 _TIMER: list[threading.Timer] = []
 

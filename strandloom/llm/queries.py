@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
+from . import collocations, decontaminate, html_text, language_id, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(spark, sf_dir)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
+        "op11_collocations": op11_collocations,
     }
 
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.SQL,
         "op8_quality": quality.SQL,
         "op10_url_filter": url_filter.SQL,
+        "op11_collocations": collocations.SQL,
     }
