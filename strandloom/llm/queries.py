@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, html_text, language_id, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
+from . import collocations, decontaminate, html_text, language_id, lexical, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
         "op11_collocations": op11_collocations,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -77,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality": quality.SQL,
         "op10_url_filter": url_filter.SQL,
         "op11_collocations": collocations.SQL,
+        "op13_lexical_search": lexical.SQL,
     }
