@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, html_text, language_id, lexical, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
+from . import collocations, decontaminate, html_text, language_id, lexical, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
         "op11_collocations": op11_collocations,
+        "op12_warc": op12_warc,
         "op13_lexical_search": op13_lexical_search,
     }
 
@@ -82,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality": quality.SQL,
         "op10_url_filter": url_filter.SQL,
         "op11_collocations": collocations.SQL,
+        "op12_warc": warc.SQL,
         "op13_lexical_search": lexical.SQL,
     }
