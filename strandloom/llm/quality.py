@@ -1,14 +1,13 @@
 """Quality rules in DataFrame functions only: base counts of a text, and lines that too many documents of a host share.
 
-Cross-document line frequency: lines are hashed in normalised form, the distinct documents (distinct texts: an exact
-copy is no further document) with a line are counted per host, and a line found in more than max(`min_docs`, `share` of
-the host's) documents is boilerplate there. Lines of over `max_line_words` words are passages, which near copies of
-a document share as well: of these only one counts, so that copies stay whole until near-dedup picks one. A document whose words lie mostly in
-boilerplate lines is depleted: less than `least_left` percent of its words would stay, or fewer than the base rule asks for. It is rejected, as
-is one that fails the base rule.
+Cross-document line frequency: lines of every length are hashed in normalised form, the distinct documents with a line are counted per host, and a line
+found in more than max(`min_docs`, `share` of the host's) documents is boilerplate there. Documents are told apart by their text, in a line's count and in the
+host's size: an exact copy is no further document. A document whose words lie mostly in boilerplate lines is depleted: less than `least_left`
+percent of its words would stay, or fewer than the base rule asks for. It is rejected, as is one that fails the base rule.
 
 Defined results: a null text has no words, lines or symbols and fails the base rule; a null host counts as the host
-without name; repeated rows are judged alike; extra columns pass through; an empty table gives an empty result.
+without name; repeated rows are judged alike; extra columns pass through (one named as a new column of judged() is replaced); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import copies
 from .common import NON_WS_CLASS, text_key, written
 from .lines import lines_of, without_positions
 
 MIN_WORDS, MOST_REPEAT = 50, 50
-MIN_DOCS, SHARE, MAX_LINE_WORDS, LEAST_LEFT = 10, 0.005, 20, 30
+MIN_DOCS, SHARE, LEAST_LEFT = 10, 0.005, 30
+#: Columns that judged() adds.
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "__removed")
 #: Tests take bits off the windows' hashes, so that different windows share them.
 FEWER_BITS = 1
 
@@ -106,28 +106,12 @@ def frequent_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> D
     """(host, h1, h2) of the lines above the host's limit, from hashed_lines()."""
     texts = docs.select("text", _host(host).alias("__host"))
     # Map side first: a line that is everywhere shuffles once for each task and text, and then as a count.
-    held = lines.select("__host", "h1", "h2", "k1", "k2", (F.col("w") > MAX_LINE_WORDS).alias("long")).distinct()
-    counts = held.groupBy("__host", "h1", "h2", "long").count().filter(F.col("count") > MIN_DOCS)
+    held = lines.select("__host", "h1", "h2", "k1", "k2").distinct()
+    counts = held.groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
     # The host's size in the same unit as a line's documents: distinct texts.
     key = text_key(F.col("text"))
     hosts = texts.select("__host", key["k1"].alias("k1"), key["k2"].alias("k2")).distinct().groupBy("__host").agg(F.count("*").alias("__texts"))
-    counts = written(counts.join(hosts, "__host"), "line-counts")
-    above = F.col("count") > SHARE * F.col("__texts")
-    short = counts.filter(~F.col("long") & above).select("__host", "h1", "h2")
-    passages = counts.filter("long")
-    if passages.isEmpty():
-        return short
-    # A passage is in the near copies of its text as well: of these, one counts, in the line's documents and in the host's.
-    in_text = lines.join(passages.select("__host", "h1", "h2"), ["__host", "h1", "h2"], "left_semi").select("__host", "h1", "h2", "k1", "k2").distinct()
-    in_text = written(in_text.select("__host", "h1", "h2", "k1", "k2", copies.key_id("k1", "k2").alias("id")), "passages")
-    asked = in_text.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    whole = texts.select("text", key["k1"].alias("k1"), key["k2"].alias("k2")).join(asked, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left_semi")
-    group = written(copies.groups(whole.select(copies.key_id("k1", "k2").alias("id"), "text").dropDuplicates(["id"])), "copies")
-    in_text = in_text.join(group, "id")
-    spare = in_text.groupBy("__host").agg((F.count_distinct("id") - F.count_distinct("copy_of")).alias("__spare"))
-    counts = in_text.select("__host", "h1", "h2", "copy_of").distinct().groupBy("__host", "h1", "h2").count().filter(F.col("count") > MIN_DOCS)
-    counts = counts.join(hosts.join(spare, "__host").select("__host", (F.col("__texts") - F.col("__spare")).alias("__texts")), "__host")
-    return short.unionByName(counts.filter(above).select("__host", "h1", "h2"))
+    return counts.join(hosts, "__host").filter(F.col("count") > SHARE * F.col("__texts")).select("__host", "h1", "h2")
 
 
 def lost_lines(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -141,6 +125,8 @@ def lost_lines(docs: DataFrame, host: str = "source") -> DataFrame:
 def judged(docs: DataFrame, *keep: str, host: str = "source") -> DataFrame:
     """keep..., the base counts, base_failed, kept, and __removed: positions of boilerplate lines."""
     key = text_key(F.col("text"))
+    # The counts replace kept columns of their names.
+    keep = [c for c in keep if not isinstance(c, str) or c not in NEW]
     counts = base_counts(docs, *keep, _host(host).alias("__h"), key["k1"].alias("__k1"), key["k2"].alias("__k2"))
     lost = lost_lines(docs, host)
     on = (F.col("__h") == F.col("__host")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
@@ -172,7 +158,7 @@ def stage(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS ls
   FROM documents),
@@ -188,24 +174,9 @@ l AS (
   FROM (SELECT r, host, text, unnest(ls) AS line FROM d WHERE text IS NOT NULL)),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE norm <> '' GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n FROM d GROUP BY host),
-cnt AS (
-  SELECT host, norm, len(string_split(norm, ' ')) > 20 AS passage, count(DISTINCT text) AS docs FROM l WHERE norm <> ''
-  GROUP BY host, norm HAVING count(DISTINCT text) > 10),
-held AS (SELECT DISTINCT l.host, l.norm, l.text FROM l JOIN cnt ON l.host = cnt.host AND l.norm = cnt.norm AND passage),
-ht AS (SELECT text AS t, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT text FROM held)),
-gram AS (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT t, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM ht)),
-size_ AS (SELECT t, count(*) AS n FROM gram GROUP BY t),
-near AS (
-  SELECT a, b FROM (SELECT x.t AS a, y.t AS b, count(*) AS c FROM gram x JOIN gram y USING (g) WHERE x.t <> y.t GROUP BY x.t, y.t)
-  JOIN size_ p ON p.t = a JOIN size_ q ON q.t = b WHERE 9 * c >= 4 * (p.n + q.n)),
-reach(t, o) AS (SELECT t, t FROM ht UNION SELECT r.t, n.b FROM reach r JOIN near n ON n.a = r.o),
-copy AS (SELECT t, min(o) AS copy_of FROM reach GROUP BY t),
-spare AS (SELECT host, count(DISTINCT text) - count(DISTINCT copy_of) AS k FROM held JOIN copy ON t = text GROUP BY host),
 freq AS (
-  SELECT host, norm FROM cnt JOIN hosts USING (host) WHERE NOT passage AND docs > 0.005 * n
-  UNION ALL
-  SELECT host, norm FROM held JOIN copy ON t = text JOIN hosts USING (host) JOIN spare USING (host)
-  GROUP BY host, norm, n, k HAVING count(DISTINCT copy_of) > 10 AND count(DISTINCT copy_of) > 0.005 * (n - k)),
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS docs FROM l WHERE norm <> '' GROUP BY host, norm) JOIN hosts USING (host)
+  WHERE docs > 10 AND docs > 0.005 * n),
 lost AS (SELECT r, sum(len(string_split(norm, ' '))) AS lost FROM l JOIN freq USING (host, norm) GROUP BY r),
 base AS (
   SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
