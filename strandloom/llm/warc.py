@@ -166,8 +166,9 @@ def write_records(records: DataFrame, path: str, separator: str, compression: st
 _CONVERTED = pa.schema([
     ("file", pa.string()), ("no", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("info_id", pa.string()), ("date", pa.string()), ("url", pa.string()), ("ip", pa.string()),
     ("content_type", pa.string()), ("key", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("head", pa.binary()), ("payload", pa.binary()), ("whole", pa.bool_()),
+    ("payload_sum", pa.string()), ("block_sum", pa.string()), ("head_sum", pa.string()),
 ])
-_CONVERTED_DDL = "file string, no long, type string, record_id string, info_id string, date string, url string, ip string, content_type string, key string, digest string, payload_bytes long, head binary, payload binary, whole boolean"
+_CONVERTED_DDL = "file string, no long, type string, record_id string, info_id string, date string, url string, ip string, content_type string, key string, digest string, payload_bytes long, head binary, payload binary, whole boolean, payload_sum string, block_sum string, head_sum string"
 
 
 def _iso(date: str) -> str:
@@ -180,6 +181,11 @@ def _record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, parts)))}>"
 
 
+def _sum(digest: bytes) -> str:
+    """A SHA-1 as WARC spells it."""
+    return f"sha1:{base64.b32encode(digest).decode()}"
+
+
 def _header_value(head: bytes, name: str) -> str | None:
     for line in head.split(b"\n")[1:]:
         k, sep, v = line.partition(b":")
@@ -207,11 +213,13 @@ def converted(lines: DataFrame, with_payload: bool = True) -> DataFrame:
                 m = re.search(rb"\r?\n\r?\n", block)
                 cut = m.end() if m else len(block)
                 http, payload = block[:cut], block[cut:]
-            digest = hashlib.sha1(payload).hexdigest()
+            sum_ = hashlib.sha1(payload)
+            digest = sum_.hexdigest()
             id_ = _record_id(name, no, url, date, digest)
             if kind == "warcinfo":
                 info = {file: id_}
-            out.append((file, no, kind, id_, info.get(file), date, url, head["ip"].decode("utf-8", "replace"), mime, _header_value(http, KEY_HEADER), digest, len(payload), http if with_payload else None, payload if with_payload else None, whole))
+            out.append((file, no, kind, id_, info.get(file), date, url, head["ip"].decode("utf-8", "replace"), mime, _header_value(http, KEY_HEADER), digest, len(payload), http if with_payload else None, payload if with_payload else None, whole) + (
+                (_sum(sum_.digest()), _sum(hashlib.sha1(http + payload).digest()), _sum(hashlib.sha1(http).digest())) if with_payload else (None, None, None)))
             held += len(block)
             if held > 1 << 22 or len(out) >= 512:
                 yield pa.RecordBatch.from_pylist([dict(zip(_CONVERTED.names, r)) for r in out], schema=_CONVERTED)
@@ -232,15 +240,6 @@ def first_copies(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return shared.agg(F.count("*").alias("n"), F.max(rank).alias("top")).filter("n > 1")
 
 
-def _base32(hex_digest):
-    """A SHA-1 as WARC spells it: 32 letters of five bits each, in SQL."""
-    bits = F.lpad(F.conv(F.substring(hex_digest, 1, 10), 16, 2), 40, "0")
-    for i in range(1, 4):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(hex_digest, 1 + 10 * i, 10), 16, 2), 40, "0"))
-    letters = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(letters, "")
-
-
 def warc_rows(records: DataFrame, tops: DataFrame) -> DataFrame:
     """(record): converted() records as WARC records, those with a copy that stays elsewhere as revisits."""
     keys = ["digest", "payload_bytes"]
@@ -258,7 +257,7 @@ def warc_rows(records: DataFrame, tops: DataFrame) -> DataFrame:
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("again"), F.lit("revisit")).otherwise(F.col("type"))), line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.when(~about, F.col("url"))), line("WARC-IP-Address", F.when(~about & (F.col("ip") != "0.0.0.0"), F.col("ip"))),
         line("WARC-Warcinfo-ID", F.when(~about, F.col("info_id"))), line("WARC-Truncated", F.when(~F.col("whole"), F.lit("unspecified"))), revisit,
-        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), _base32(F.sha1("block")))), line("WARC-Payload-Digest", F.when(~about, F.concat(F.lit("sha1:"), _base32(F.col("digest"))))),
+        line("WARC-Block-Digest", F.when(F.col("again"), F.col("head_sum")).otherwise(F.col("block_sum"))), line("WARC-Payload-Digest", F.when(~about, F.col("payload_sum"))),
         line("Content-Type", F.col("content_type")), F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n")),
     )
     return made.select(F.concat(head.cast("binary"), "block").alias("record"))
