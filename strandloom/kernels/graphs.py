@@ -285,8 +285,12 @@ class _Matcher:
         return False
 
 
-def max_weight_matching(edges: list[tuple[int, int, int]]) -> list[int]:
-    """Indices of a matching of maximum weight (positive integers) in any graph; n searches of O(m log m) heap steps in the worst case."""
+def matching_with_duals(edges: list[tuple[int, int, int]]) -> tuple[list[int], dict[int, int], list[tuple[list[int], int]]]:
+    """(indices of a matching of maximum weight, duals of the vertices, blossoms with a dual: vertices and dual), for positive integer weights in any graph.
+
+    The duals prove it: for every edge, y of both ends and z of the blossoms around both come to twice its weight at least, and all y with
+    (vertices - 1) / 2 times z of every blossom come to twice the matching's weight. n searches of O(m log m) heap steps in the worst case.
+    """
     names = sorted({x for u, v, _ in edges for x in (u, v)})
     at = {x: i for i, x in enumerate(names)}
     best: dict[tuple[int, int], int] = {}
@@ -297,7 +301,13 @@ def max_weight_matching(edges: list[tuple[int, int, int]]) -> list[int]:
     g = _Matcher(len(names), [(*key, edges[i][2]) for key, i in best.items()])
     for v in range(len(names)):
         g.add(v)
-    return sorted(best[u, v] for u, v in enumerate(g.mate) if v > u)
+    blossoms = [([names[x] for x in g.leaves(b)], g.z[b]) for b in range(g.n, len(g.up)) if g.kids[b] and g.z[b]]
+    return sorted(best[u, v] for u, v in enumerate(g.mate) if v > u), {x: g.y[i] for i, x in enumerate(names)}, blossoms
+
+
+def max_weight_matching(edges: list[tuple[int, int, int]]) -> list[int]:
+    """Indices of a matching of maximum weight (positive integers) in any graph."""
+    return matching_with_duals(edges)[0]
 
 
 def greedy_matching(edges: list[tuple[int, int, int]]) -> list[int]:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
 from ..kernels import align, gaps, graphs, paths
+from . import biconnected
 from .graph import connected_components, dropped, settled
 
 #: Heavy edges are taken off before the matching as long as a round takes at least this share of what is left.
 LEAST_SHARE = 0.05
+#: Edges of a connected component whose biconnected components one task finds.
+KERNEL_EDGES = 200_000
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -29,8 +32,11 @@ def _with_component(edges: DataFrame) -> DataFrame:
     return edges.join(comp, edges["source"] == comp["node"]).drop("node")
 
 
-def biconnected_components(edges: DataFrame) -> DataFrame:
-    """edges(source, target) -> (source, target, bcc): a component is named by its least edge."""
+def biconnected_components(edges: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
+    """edges(source, target) -> (source, target, bcc): a component is named by its least edge.
+
+    Connected components of at most `most` edges go to one task each; larger ones are worked out by rounds over all tasks.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "target"]).reset_index(drop=True)
@@ -39,15 +45,20 @@ def biconnected_components(edges: DataFrame) -> DataFrame:
         rows["bcc"] = rows.groupby("label")["name"].transform("first")
         return rows[["source", "target", "bcc"]]
 
-    return spread(_with_component(edges.select("source", "target")), "component").groupBy("component").applyInPandas(run, "source long, target long, bcc string")
+    e = settled(_with_component(edges.select("source", "target")), "component-edges")
+    giants = settled(e.groupBy("component").count().filter(F.col("count") > most).select("component"), "giants")
+    small = spread(e.join(giants, "component", "left_anti"), "component").groupBy("component").applyInPandas(run, "source long, target long, bcc string")
+    if giants.isEmpty():
+        return small
+    return small.unionByName(biconnected.biconnected_components(e.join(giants, "component", "left_semi").select("source", "target")))
 
 
 def heavy_edges(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """candidates(source, target, bw) -> (edges that some matching of maximum weight holds, what is left without their neighbours).
+    """candidates(source, target, bw) -> (edges that some matching of maximum weight holds, with duals y_source and y_target; what is left without their neighbours).
 
     An edge that weighs as much as the heaviest other edges at both its ends together can replace these in any matching. Only
     the heaviest edge of both ends, ties by ends, is asked, so the edges of a round don't touch; their neighbours go. A hub is one row after the
-    map-side aggregation.
+    map-side aggregation. The duals are twice the heaviest other edge at the source, and what the weight leaves of it for the target.
     """
     left, taken = settled(candidates.select("source", "target", "bw"), "candidates"), []
     rank = F.struct("bw", "source", "target")
@@ -57,7 +68,8 @@ def heavy_edges(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = settled(sides.join(first, "n").groupBy("n").agg(F.max("top").alias("top"), F.max(F.when(F.col("r") != F.col("top"), F.col("r.bw"))).alias("next")), "ends")
         s, t = (ends.select(F.col("n").alias(c), F.col("top").alias(f"top_{c}"), F.coalesce("next", F.lit(0)).alias(f"next_{c}")) for c in ("source", "target"))
         both = left.join(s, "source").join(t, "target").filter((rank == F.col("top_source")) & (rank == F.col("top_target")))
-        won = settled(both.filter("bw >= next_source + next_target").select("source", "target", "bw"), "heavy")
+        won = both.filter("bw >= next_source + next_target")
+        won = settled(won.select("source", "target", "bw", (2 * F.col("next_source")).alias("y_source"), (2 * (F.col("bw") - F.col("next_source"))).alias("y_target")), "heavy")
         taken.append(won)
         used = won.select(F.explode(F.array("source", "target")).alias("n"))
         rest = settled(left.join(used, left["source"] == used["n"], "left_anti").join(used, F.col("target") == used["n"], "left_anti"), "candidates")
@@ -72,18 +84,60 @@ def heavy_edges(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, left
 
 
-def max_weight_cover(candidates: DataFrame) -> DataFrame:
-    """candidates(source, target, bw) -> a matching of maximum weight: heavy edges by DataFrames, then each component that is left by the exact kernel."""
+def matching_with_duals(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """candidates(source, target, bw) -> (a matching of maximum weight, duals(node, y), blossoms(blossom, node, z)): heavy edges by DataFrames, then each component that
+    is left by the exact kernel. Nodes without a row have y = 0."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "target"]).reset_index(drop=True)
-        picked = graphs.max_weight_matching(list(zip(rows["source"].tolist(), rows["target"].tolist(), rows["bw"].tolist())))
-        return rows.loc[picked, ["source", "target", "bw"]]
+        edges = list(zip(rows["source"].tolist(), rows["target"].tolist(), rows["bw"].tolist()))
+        picked, duals, blossoms = graphs.matching_with_duals(edges)
+        out = [("edge", None, *edges[i]) for i in picked] + [("node", None, v, None, y) for v, y in duals.items() if y]
+        out += [("blossom", f"{min(duals)}-{i}", v, None, z) for i, (inside, z) in enumerate(blossoms) for v in inside]
+        kinds = {"kind": "string", "name": "string", "source": "Int64", "target": "Int64", "value": "Int64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     heavy, left = heavy_edges(candidates)
-    if left.isEmpty():
-        return heavy
-    return heavy.unionByName(spread(_with_component(left), "component").groupBy("component").applyInPandas(run, "source long, target long, bw long"))
+    heavy_y = heavy.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("y_source").alias("y")), F.struct(F.col("target").alias("node"), F.col("y_target").alias("y")))).alias("x")).select("x.*")
+    rest = left.limit(0).select(F.lit("").alias("kind"), F.lit("").alias("name"), "source", "target", F.col("bw").alias("value"))
+    if not left.isEmpty():
+        rest = settled(spread(_with_component(left), "component").groupBy("component").applyInPandas(run, "kind string, name string, source long, target long, value long"), "matchings")
+    matched = heavy.select("source", "target", "bw").unionByName(rest.filter("kind = 'edge'").select("source", "target", F.col("value").alias("bw")))
+    duals = heavy_y.unionByName(rest.filter("kind = 'node'").select(F.col("source").alias("node"), F.col("value").alias("y")))
+    return matched, duals, rest.filter("kind = 'blossom'").select(F.col("name").alias("blossom"), F.col("source").alias("node"), F.col("value").alias("z"))
+
+
+def max_weight_cover(candidates: DataFrame) -> DataFrame:
+    """candidates(source, target, bw) -> a matching of maximum weight."""
+    return matching_with_duals(candidates)[0]
+
+
+def matching_proof(candidates: DataFrame, matched: DataFrame, duals: DataFrame, blossoms: DataFrame) -> DataFrame:
+    """candidates with `covered` and `optimal`, true in every row if and only if the duals prove the matching's weight to be the maximum.
+
+    covered: the duals of both ends and of the blossoms around both come to twice the edge's weight at least. optimal: matched edges are candidates without
+    a common node, no dual is negative, and the duals' total (blossoms count for half their nodes but one) is twice the matched weight. By linear programming
+    duality no matching can then weigh more.
+    """
+    e = candidates.select("source", "target", "bw")
+    y = lambda side: duals.select(F.col("node").alias(side), F.col("y").alias(f"y_{side}"))
+    z = lambda side: blossoms.select("blossom", F.col("node").alias(side), "z")
+    around = e.join(z("source"), "source").join(z("target").drop("z"), ["blossom", "target"]).groupBy("source", "target").agg(F.sum("z").alias("around"))
+    held = e.join(y("source"), "source", "left").join(y("target"), "target", "left").join(around, ["source", "target"], "left")
+    held = held.withColumn("covered", F.coalesce("y_source", F.lit(0)) + F.coalesce("y_target", F.lit(0)) + F.coalesce("around", F.lit(0)) >= 2 * F.col("bw"))
+    ends = matched.select(F.explode(F.array("source", "target")).alias("n"))
+    parts = [
+        matched.join(e, ["source", "target", "bw"], "left_semi").agg(F.coalesce(F.sum("bw"), F.lit(0)).alias("weight"), F.count("*").alias("known")),
+        matched.agg(F.count("*").alias("edges")),
+        ends.agg(F.count("*").alias("ends"), F.count_distinct("n").alias("nodes")),
+        duals.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("sum_y"), F.coalesce(F.min("y"), F.lit(0)).alias("min_y")),
+        blossoms.groupBy("blossom").agg(F.max("z").alias("z"), F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("z") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("sum_z"), F.coalesce(F.min("z"), F.lit(0)).alias("min_z")),
+    ]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(p)  # one row each
+    optimal = one.select(F.expr("known = edges AND ends = nodes AND min_y >= 0 AND min_z >= 0 AND sum_y + sum_z = 2 * weight").alias("optimal"))
+    return held.select("source", "target", "bw", "covered").crossJoin(F.broadcast(optimal))
 
 
 def matching_totals(candidates: DataFrame, matched: DataFrame) -> DataFrame:

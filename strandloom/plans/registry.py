@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dna, morton, scoring
+from ..operators import biconnected as N
 from ..operators import bundles as B
 from ..operators import graph as G
 from ..operators import grouped as K
@@ -883,7 +884,18 @@ def path_valid(s, d):
 
 @query()
 def biconnected_components(s, d):
-    return K.biconnected_components(G.settled(_edges(s, d), "edges"))
+    """By rounds over all tasks, whatever the size of a component."""
+    return N.biconnected_components(G.settled(_edges(s, d), "edges"))
+
+
+# Edges at a node are in one block if their other ends are connected without that node; blocks are the closure of this.
+SQL["biconnected_components"] = with_views("SELECT 1 FROM edges").replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\n", 1)[0] + """,
+    arcs AS (SELECT source AS x, target AS y FROM edges UNION SELECT target, source FROM edges),
+    reach(v, a, n) AS (SELECT x, y, y FROM arcs UNION SELECT r.v, r.a, arcs.y FROM reach r JOIN arcs ON arcs.x = r.n WHERE arcs.y <> r.v),
+    near AS (SELECT least(v, a) AS s, greatest(v, a) AS t, least(v, n) AS s2, greatest(v, n) AS t2 FROM reach JOIN arcs ON arcs.x = v AND arcs.y = n),
+    block(s, t, s2, t2) AS (SELECT * FROM near UNION SELECT b.s, b.t, near.s2, near.t2 FROM block b JOIN near ON near.s = b.s2 AND near.t = b.t2),
+    name AS (SELECT s, t, min([s2, t2]) AS m FROM block GROUP BY s, t)
+    SELECT source, target, m[1] || '-' || m[2] AS bcc FROM edges JOIN name ON s = least(source, target) AND t = greatest(source, target)"""
 
 
 @query()
@@ -895,6 +907,15 @@ def matching_cover(s, d):
     return kept.select("source", "target", "bw")
 
 
+@query("""SELECT source, target, bw, true AS covered, true AS optimal FROM endpoints JOIN contigs a ON a.ctgid = s_ctgid JOIN contigs b ON b.ctgid = t_ctgid
+    WHERE NOT dummy AND bw >= 5 AND least(s_ctg_len, t_ctg_len) >= 2000 AND greatest(a.coverage, b.coverage) <= 1.5*(SELECT avg(coverage) FROM contigs)""")
+def matching_duals(s, d):
+    """Every candidate is covered by the duals and these add up to the matching's weight, which proves the matching of matching_cover optimal."""
+    c = _Case(s, d)
+    cand = G.settled(G.matching_candidates(c.endpoints, c.contigs).select("source", "target", "bw"), "candidates")
+    return K.matching_proof(cand, *(G.settled(t, n) for t, n in zip(K.matching_with_duals(cand), ("matched", "duals", "blossoms"))))
+
+
 @query()
 def greedy_matching(s, d):
     cand = G.matching_candidates(_endpoints(s, d), A.contigs(s, d))
