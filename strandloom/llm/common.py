@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import looked_up  # noqa: F401
 from ..session import dealt, dropped, guarded  # noqa: F401
 from ..session import settled as written  # noqa: F401
 
@@ -56,28 +57,6 @@ def text_key(col):
     )
 
 
-#: looked_up(): a key that more than one in SHARE_OF rows ask for is hot, if there are over HOT_ROWS such rows.
-SHARE_OF, HOT_ROWS = 10_000, 200_000
-
-
-def looked_up(asked: DataFrame, answers: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, asked_by: DataFrame | None = None) -> DataFrame:
-    """asked joined with answers(keys..., unique) where some keys may be asked for by a large part of all rows.
-
-    Hot keys are those asked for by more than hot_rows rows and more than one in SHARE_OF of all such rows, so there are at most SHARE_OF of them: their
-    answers are broadcast and the rows that ask for them stay where they are. No other key can fill a task of the shuffle.
-    asked_by(keys..., __asked): how often each key is asked for, if that is known.
-    """
-    counts = asked.groupBy(*keys).agg(F.count("*").alias("__asked")) if asked_by is None else asked_by
-    often = written(counts.filter(F.col("__asked") > hot_rows), "asked-keys")
-    total = often.agg(F.sum("__asked")).first()[0]
-    if total is None:
-        return asked.join(answers, keys, how)
-    hot = often.filter(F.col("__asked") > total / SHARE_OF).select(*keys)
-    hot_answers = F.broadcast(hot.join(answers, keys, "left" if how == "left" else "inner"))
-    cold = asked.join(F.broadcast(hot), keys, "left_anti").join(answers, keys, how)
-    return asked.join(hot_answers, keys).unionByName(cold)
-
-
 _KEPT: dict = {}
 _TIMER: list[threading.Timer] = []
 

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, kept_columns, with_workers, written
+from . import near
+from .common import dropped, kept_columns, looked_up, text_key, with_workers, written
 from .components import components
 
 WIDTH = 3
@@ -289,14 +290,63 @@ def digest(docs: DataFrame) -> DataFrame:
     return with_component(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_sketches(docs: DataFrame) -> DataFrame:
+    """docs -> (doc_id, k1, k2, fp, sketch): the text's key, its fingerprint of five-word shingles and its sketch (null of a text without words)."""
+    with_workers(docs.sparkSession)
+    key = text_key(F.col("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fp = np.array([fingerprint(t, near.WIDTH) for t in texts], np.uint64).view(np.int64)
+            sketches = [None if (s := near.sketch(near.shingles(t))) is None else s.tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(fp), pa.array(sketches, pa.binary())], ["doc_id", "k1", "k2", "fp", "sketch"])
+
+    rows = docs.select("doc_id", key["k1"].alias("k1"), key["k2"].alias("k2"), "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("k1", "k2", "fp")), T.StructField("sketch", T.BinaryType())]))
+
+
+def near_groups(docs: DataFrame, budget: int = BUDGET, hot: int = HOT, hot_bucket: int = near.HOT) -> DataFrame:
+    """docs(doc_id, text) -> (k1, k2, group): the least doc_id among a text's near copies.
+
+    Texts are linked by the trie, as far as its budget goes (fingerprints of five-word shingles), and beyond it by checked pairs at a Jaccard index of 0.8 (near.py).
+    """
+    rows = written(with_sketches(docs), "sketches")
+    texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    texts = written(texts.select(F.monotonically_increasing_id().alias("id"), "*"), "texts")
+    heads = written(texts.groupBy("fp").agg(F.min("id").alias("head")), "fingerprints")
+    same = texts.join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    bits = fingerprint_links(heads.select("fp"), budget, hot)
+    head = lambda side: heads.select(F.col("fp").alias(f"f{side}"), F.col("head").alias(f"h{side}"))
+    bits = bits.join(head("a"), F.col("a") == F.col("fa")).join(head("b"), F.col("b") == F.col("fb")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    links = written(same.unionByName(bits), "bit-links")
+    key = text_key(F.col("text"))
+    bodies = docs.select("text", key["k1"].alias("t1"), key["k2"].alias("t2")).filter("text IS NOT NULL").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    bodies = bodies.join(texts.select("id", "k1", "k2"), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("id", "text")
+    comp = near.joined(bodies, texts.filter("sketch IS NOT NULL").select("id", "sketch"), links, hot_bucket)
+    named = written(texts.join(comp, F.col("id") == F.col("node"), "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("component")), "text-groups")
+    least = named.groupBy("component").agg(F.min("first_id").alias("group"))
+    return looked_up(named, least, ["component"]).select("k1", "k2", "group")
+
+
 def removed_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with its id, of several rows with that id the least. Rows without id stay."""
-    fps = written(with_fingerprint(docs.filter("doc_id IS NOT NULL"), keep=["doc_id"]), "doc-fingerprints")
-    kept = with_component(fps).filter("doc_id = component_id").select("doc_id").distinct()
-    held = docs.join(kept, "doc_id", "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    one = held.groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*").select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies: the one with the least doc_id, of several rows with that id the least. Rows without id stay.
+
+    Columns without an order (maps) don't count in the choice among rows of one id.
+    """
+    held = docs.filter("doc_id IS NOT NULL")
+    key = text_key(F.col("text"))
+    groups = near_groups(held.select("doc_id", "text"))
+    ids = written(held.select("doc_id", key["k1"].alias("k1"), key["k2"].alias("k2")), "ids")
+    first = looked_up(ids, groups, ["k1", "k2"]).filter(F.col("doc_id") == F.col("group")).select("doc_id").distinct()
+    first = written(first, "first-ids")
+    # Only ids that several rows have are grouped with their columns; all other rows stay where they are.
+    several = written(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    kept = docs.join(first, "doc_id", "left_semi")
+    ordered = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    rows = kept.join(several, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.struct(*ordered).alias("__rank"))
+    one = rows.groupBy("doc_id").agg(F.min_by("__row", "__rank").alias("__row")).select("__row.*").select(*docs.columns)
+    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def brute_force(docs: list[tuple], budget: int = BUDGET) -> list[tuple]:
@@ -312,3 +362,18 @@ def brute_force(docs: list[tuple], budget: int = BUDGET) -> list[tuple]:
         top = sets.top(i)
         least[top] = min(least.get(top, doc_id), doc_id)
     return [(d, f"{fp[i]:016x}", least[sets.top(i)]) for i, (d, _) in enumerate(docs)]
+
+
+def brute_groups(docs: list[tuple], budget: int = BUDGET) -> dict:
+    """doc_id -> group of near_groups() by comparing all pairs of (doc_id, text); for tests."""
+    fp, grams, sets = [fingerprint(t, near.WIDTH) for _, t in docs], [set(near.shingles(t).tolist()) for _, t in docs], _Sets(len(docs))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if (fp[i] ^ fp[j]).bit_count() <= budget or both and 9 * both >= 4 * (len(grams[i]) + len(grams[j])):
+                sets.join(i, j)
+    least: dict[int, int] = {}
+    for i, (doc_id, _) in enumerate(docs):
+        top = sets.top(i)
+        least[top] = min(least.get(top, doc_id), doc_id)
+    return {d: least[sets.top(i)] for i, (d, _) in enumerate(docs)}

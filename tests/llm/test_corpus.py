@@ -94,7 +94,8 @@ def test_near_dedup(spark, docs):
     clash = docs.select("*", *[F.lit(7).alias(c) for c in CLASH])
     kept = simhash.removed_copies(clash)
     ids = [r.doc_id for r in kept.collect()]
-    groups = {d: c for d, _, c in simhash.brute_force(rows)}
+    groups = simhash.brute_groups(rows)
+    assert len({groups[100 + k] for k in range(6)}) == 1
     assert kept.columns == clash.columns and sorted(i for i in ids if i is not None) == sorted(set(groups.values())) and ids.count(None) == 1
     assert simhash.digest(docs.limit(0)).isEmpty()
 
@@ -358,7 +359,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = [(i, "\n".join(x for x in t.split("\n") if x not in w[-1]), g, s) for (i, t, g, s), w in zip(rows, brute_quality(rows)) if w[7]]
     left = brute_line_dedup(left)
-    group = {d: c for d, _, c in simhash.brute_force([(i, t) for i, t, *_ in left if i is not None])}
+    group = simhash.brute_groups([(i, t) for i, t, *_ in left if i is not None])
     left = list({r[0]: r for r in left if r[0] is None or group[r[0]] == r[0]}.values())
     dirty = {x[0] for x in decontaminate.brute_force([(r[0], r[1]) for r in left], BENCH) if x[-1]}
     left = [r for r in left if r[0] not in dirty]
