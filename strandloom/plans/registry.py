@@ -25,7 +25,7 @@ from ..sources import readers, writers
 from . import adapters as A
 
 #: The adapter's distances are below the default of mlp.
-CONFIG = replace(DEFAULT, mlp=5000)
+CONFIG = replace(DEFAULT, mlp=11_500)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,7 +54,7 @@ VIEWS: dict[str, str] = {
     "sizes": "SELECT line_id, arg_max(pos, idx) AS size FROM pos GROUP BY line_id",
     "plens": """SELECT line_id, sum(d) AS plen, sum(CASE WHEN is_contig THEN d ELSE 0 END) AS clen, CAST(trunc(sqrt(sum(coalesce(bd_std*bd_std, 0)))) AS BIGINT) AS pvar
         FROM steps GROUP BY line_id""",
-    "far": "SELECT c1, c2, count(*) AS n_links, count(DISTINCT read_id) AS n_reads FROM kept WHERE gap_end - gap_start + 400 >= 5000 GROUP BY c1, c2",
+    "far": "SELECT c1, c2, count(*) AS n_links, count(DISTINCT read_id) AS n_reads FROM kept WHERE gap_end - gap_start + 400 >= 11500 GROUP BY c1, c2",
     "frag0": """SELECT s.*, p.pos AS at0, lag(p.pos) OVER w AS pre, lead(p.pos, 1, e.size) OVER w AS nxt, lead(p.pos, 2) OVER (PARTITION BY s.line_id ORDER BY s.idx) AS nx2x, e.size
         FROM steps s JOIN pos p USING (line_id, idx) JOIN sizes e USING (line_id) WINDOW w AS (PARTITION BY s.line_id ORDER BY s.idx)""",
     "frag1": """SELECT f.line_id, f.idx, u, v, size, is_contig, q.pos IS NULL AS last,
@@ -64,19 +64,19 @@ VIEWS: dict[str, str] = {
     "frags": """SELECT line_id, idx, CASE WHEN is_contig THEN 'contig' WHEN is_far THEN 'edge' ELSE 'suspicious' END AS kind, u, v, least(s0, e0) AS pos,
         CASE WHEN (is_contig AND last) OR (NOT is_contig AND is_far) THEN least(abs(s0 - e0), size - least(s0, e0)) ELSE abs(s0 - e0) END AS d
         FROM frag1 WHERE least(s0, e0) >= 0""",
-    "reduced": "SELECT c1 AS source, c2 AS target, bd AS plen, bd_std AS pvar FROM bundles WHERE bd >= 2000 AND c1 % 5 <> 0",
+    "reduced": "SELECT c1 AS source, c2 AS target, bd AS plen, bd_std AS pvar FROM bundles WHERE bd >= 2000",
     "inline_": "SELECT a.line_id, source, target, plen, pvar, a.pos AS ps, b.pos AS pt FROM reduced JOIN pos a ON a.node = source JOIN pos b ON b.node = target AND a.line_id = b.line_id",
     "pfrags": """SELECT line_id, source, target, least(ps, pt) AS pos, abs(ps - pt) AS d FROM inline_ JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
-        WHERE plen >= 5000 AND abs(plen - abs(ps - pt)) <= 4*greatest(pvar, lv) AND least(ps, pt) >= 0""",
+        WHERE plen >= 11500 AND abs(plen - abs(ps - pt)) <= 4*greatest(pvar, lv) AND least(ps, pt) >= 0""",
     "closed_": "SELECT line_id, size, 100 + line_id % 700 AS closing FROM sizes WHERE line_id % 100 = 0",
     "around_": """SELECT * FROM reduced UNION ALL SELECT a.node, b.node, 8000 + a.line_id*37 % 9000, 900 FROM pos a JOIN pos b ON a.line_id = b.line_id AND a.idx = 47 AND b.idx = 2""",
     "cinline": """SELECT a.line_id, source, target, plen, pvar, least(a.pos, b.pos) AS low, greatest(a.pos, b.pos) AS high
         FROM around_ JOIN pos a ON a.node = source JOIN pos b ON b.node = target AND a.line_id = b.line_id""",
     "over_": "SELECT * FROM cinline JOIN closed_ USING (line_id)",
     "cfrags": """SELECT line_id, source, target, low AS pos, high - low AS d FROM cinline JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
-            WHERE plen >= 5000 AND abs(plen - (high - low)) <= 4*greatest(pvar, lv) AND low >= 0
+            WHERE plen >= 11500 AND abs(plen - (high - low)) <= 4*greatest(pvar, lv) AND low >= 0
         UNION ALL SELECT line_id, source, target, unnest([0, high]), unnest([low, size - high]) FROM over_ JOIN (SELECT line_id, pvar AS lv FROM plens) USING (line_id)
-            WHERE plen >= 5000 AND abs(plen - (high - low)) > 4*greatest(pvar, lv) AND abs(plen - (low + size - high + closing)) <= 4*greatest(pvar, lv) AND high >= 0""",
+            WHERE plen >= 11500 AND abs(plen - (high - low)) > 4*greatest(pvar, lv) AND abs(plen - (low + size - high + closing)) <= 4*greatest(pvar, lv) AND high >= 0""",
     "covering": "SELECT line_id, pos, d FROM frags WHERE kind <> 'suspicious' UNION ALL SELECT line_id, pos, d FROM pfrags",
     "turns": """SELECT line_id, at0, sum(w) AS w FROM (
         SELECT line_id, unnest([pos, pos + d]) AS at0, unnest([1, -1]) AS w FROM covering JOIN sizes USING (line_id) WHERE pos >= 0 AND d >= 0 AND pos + d <= size
@@ -237,7 +237,7 @@ class _Case:
 
     @cached_property
     def reduced(self):
-        return self.bundles.filter("bd >= 2000 AND c1 % 5 <> 0").select(F.col("c1").alias("source"), F.col("c2").alias("target"), F.col("bd").alias("plen"), F.col("bd_std").alias("pvar"))
+        return self.bundles.filter("bd >= 2000").select(F.col("c1").alias("source"), F.col("c2").alias("target"), F.col("bd").alias("plen"), F.col("bd_std").alias("pvar"))
 
     @cached_property
     def around(self):
@@ -676,9 +676,9 @@ def circular_fragments(s, d):
     return _Case(s, d).circular_fragments
 
 
-@query("""SELECT (SELECT count(*) FROM around_ WHERE plen >= 5000) AS n_tried, count(*) AS n_added, CAST(coalesce(sum(plen), 0) AS BIGINT) AS path_length,
-    (SELECT CAST(sum(plen) AS BIGINT) FROM plens WHERE plen >= 5000) AS line_length, round(coalesce(sum(plen), 0)/(SELECT sum(plen) FROM plens WHERE plen >= 5000), 9) AS coverage
-    FROM around_ WHERE plen >= 5000 AND (source, target) IN (SELECT (source, target) FROM cfrags)""")
+@query("""SELECT (SELECT count(*) FROM around_ WHERE plen >= 11500) AS n_tried, count(*) AS n_added, CAST(coalesce(sum(plen), 0) AS BIGINT) AS path_length,
+    (SELECT CAST(sum(plen) AS BIGINT) FROM plens WHERE plen >= 11500) AS line_length, round(coalesce(sum(plen), 0)/(SELECT sum(plen) FROM plens WHERE plen >= 11500), 9) AS coverage
+    FROM around_ WHERE plen >= 11500 AND (source, target) IN (SELECT (source, target) FROM cfrags)""")
 def physical_coverage(s, d):
     c = _Case(s, d)
     return V.physical_coverage(c.around, c.circular_fragments, V.path_length(c.steps), CONFIG)
@@ -797,17 +797,18 @@ def seq_tiles(s, d):
     return S.tiles(A.sequences(s, d), 100)
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN translate(reverse(substring(seq, 1, 50)), 'ACGT', 'TGCA') ELSE right(seq, 50) END AS left_end, CASE WHEN id % 3 = 0 THEN translate(reverse(right(seq, 50)), 'ACGT', 'TGCA') ELSE substring(seq, 1, 50) END AS right_end FROM seqs")
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN translate(reverse(substring(seq, 1, 500)), 'ACGT', 'TGCA') ELSE right(seq, 500) END AS left_end, CASE WHEN id % 3 = 0 THEN translate(reverse(right(seq, 500)), 'ACGT', 'TGCA') ELSE substring(seq, 1, 500) END AS right_end FROM seqs")
 def contig_ends(s, d):
     q = F.col("seq")
-    back, left, right = F.col("id") % 3 == 0, F.left(q, F.lit(50)), F.right(q, F.lit(50))
+    back, left, right = F.col("id") % 3 == 0, F.left(q, F.lit(CONFIG.end_bases)), F.right(q, F.lit(CONFIG.end_bases))
     return A.sequences(s, d).select("id", F.when(back, dna.revcomp(left)).otherwise(right).alias("left_end"), F.when(back, dna.revcomp(right)).otherwise(left).alias("right_end"))
 
 
-@query("SELECT c1, c2, read_id, CASE WHEN switched THEN translate(reverse(g), 'ACGT', 'TGCA') ELSE g END AS gap FROM (SELECT *, substring(seq, CAST(gap_start % 50 + 1 AS INT), 60) AS g FROM kept JOIN seqs ON id = read_id)")
+@query("""SELECT c1, c2, read_id, CASE WHEN switched THEN translate(reverse(g), 'ACGT', 'TGCA') ELSE g END AS gap
+    FROM (SELECT *, substring(seq, CAST(gap_start + 1 AS INT), CAST(greatest(gap_end - gap_start, 0) AS INT)) AS g FROM kept JOIN seqs ON id = read_id)""")
 def read_gap_seq(s, d):
     k = _kept(s, d).join(A.sequences(s, d), F.col("read_id") == F.col("id"))
-    g = F.substring(F.col("seq"), (F.col("gap_start") % 50 + 1).cast("int"), F.lit(60))
+    g = F.substring(F.col("seq"), (F.col("gap_start") + 1).cast("int"), F.greatest(F.col("gap_end") - F.col("gap_start"), F.lit(0)).cast("int"))
     return k.select("c1", "c2", "read_id", F.when(F.col("switched"), dna.revcomp(g)).otherwise(g).alias("gap"))
 
 
@@ -944,7 +945,7 @@ def alternative_paths(s, d):
 
 def _sequence_pairs(s, d):
     q = A.sequences(s, d)
-    a = q.select("id", F.substring("seq", 21, 60).alias("query"))
+    a = q.select("id", F.substring("seq", 21, CONFIG.end_bases).alias("query"))
     b = q.select(F.col("id").alias("tid"), F.col("seq").alias("target"))
     return a.join(b, F.col("tid") == F.col("id") - F.col("id") % 2).select("id", "query", "target")
 
