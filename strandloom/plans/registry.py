@@ -20,6 +20,7 @@ from ..operators import links as L
 from ..operators import polish as P
 from ..operators import repeats as R
 from ..operators import sequences as S
+from ..operators import supported as U
 from ..operators import validate as V
 from ..sources import readers, writers
 from . import adapters as A
@@ -571,6 +572,35 @@ def path_support(s, d):
     return n.select("u", "v", "x", "y", "needed", F.when(edges & contigs, 3).when(edges, 2).when(contigs, 1).otherwise(0).alias("score"))
 
 
+@query()
+def supported_paths(s, d):
+    """Every path beside an edge whose parts all carry the reads that the edge needs, grown along supported parts only."""
+    c = _Case(s, d)
+    es = c.support.select(F.col("c1").alias("source"), F.col("c2").alias("target"), "read_id", "hits")
+    cs = contig_read_support(s, d).select((2 * F.col("ctgid")).alias("source"), (2 * F.col("ctgid") + 1).alias("target"), "read_id", "hits")
+    e = G.settled(_sized(c), "sized")
+    asked = e.filter("NOT dummy AND bd >= 2000")
+    blocked = c.nodes.filter("repeat").select(F.col("node_id").alias("node"))
+    p = U.supported_paths(e, asked, G.settled(es.unionByName(cs), "part-reads"), blocked, CONFIG)
+    return p.select(F.col("source").alias("u"), F.col("target").alias("v"), F.array_join("path", "-").alias("path"), "plen", "pvar", "weight")
+
+
+VIEWS["part_reads_"] = "SELECT c1 AS s, c2 AS t, read_id, hits FROM esupport UNION ALL SELECT 2*ctgid, 2*ctgid + 1, read_id, hits FROM csupport"
+SQL["supported_paths"] = with_views("SELECT 1 FROM arcs_ JOIN asked_ ON true JOIN part_reads_ ON true JOIN nodes ON true").replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\n", 1)[0] + """,
+    need_ AS (SELECT u, v, bd, bd_std, coalesce((SELECT list(read_id) FROM part_reads_ WHERE s = u AND t = v AND hits > 2), []) AS need FROM asked_),
+    carry_ AS (SELECT s, t, list(read_id) AS reads, map(list(read_id), list(hits)) AS of FROM part_reads_ GROUP BY s, t),
+    open_ AS (SELECT a, b, dummy, d, sd, coalesce(reads, []) AS reads, of, repeat FROM arcs_ JOIN nodes ON node_id = b LEFT JOIN carry_ ON s = least(a, b) AND t = greatest(a, b)),
+    walk(u, v, bd, sd0, need, last, path, plen, var, weight, dummy) AS (
+        SELECT u, v, bd, bd_std, need, u, [u], CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BOOLEAN) FROM need_
+        UNION ALL
+        SELECT u, v, bd, sd0, need, b, list_append(path, b), plen + d, var + sd*sd, weight + CAST(coalesce(list_sum(list_transform(need, lambda r: of[r])), 0) AS BIGINT), open_.dummy
+        FROM walk JOIN open_ ON a = last
+        WHERE last <> v AND (walk.dummy IS NULL OR walk.dummy <> open_.dummy) AND NOT list_contains(path, b) AND len(path) <= 80 AND (NOT repeat OR b = v) AND list_has_all(reads, need)
+        AND NOT (plen > bd AND abs(plen - bd) > 4*greatest(sd0, CAST(floor(sqrt(var)) AS BIGINT))) AND NOT (len(path) = 1 AND b = v AND NOT open_.dummy))
+    SELECT u, v, array_to_string(path, '-') AS path, plen, CAST(floor(sqrt(var)) AS BIGINT) AS pvar, weight FROM walk
+    WHERE last = v AND len(path) >= 4 AND abs(plen - bd) <= 4*greatest(sd0, CAST(floor(sqrt(var)) AS BIGINT))"""
+
+
 @query("""SELECT DISTINCT least(a.c1//2, a.c2//2) AS a, greatest(a.c1//2, a.c2//2) AS b, greatest(b.c1//2, b.c2//2) AS c FROM bundles a JOIN bundles b ON greatest(a.c1//2, a.c2//2) = least(b.c1//2, b.c2//2)
     JOIN bundles e ON least(e.c1//2, e.c2//2) = least(a.c1//2, a.c2//2) AND greatest(e.c1//2, e.c2//2) = greatest(b.c1//2, b.c2//2)""")
 def triangles(s, d):
