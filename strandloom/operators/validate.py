@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
-
-
-def _line():
-    return Window.partitionBy("line_id").orderBy("idx")
+from .scan import neighbour, running_sum, shifted
 
 
 def steps(lines: DataFrame, contigs: DataFrame, mates: DataFrame) -> DataFrame:
     """One row for each pair of neighbours of a line: line_id, idx, node, next, is_contig, ctgid, plus, d, bd_std, bw."""
-    # A line is one scaffold; its nodes are ordered within the line only.
-    s = lines.withColumn("next", F.lead("node").over(_line())).filter("next IS NOT NULL")
+    s = shifted(lines, "line_id", "idx", "node", {"next": 1}).filter("next IS NOT NULL")
     s = s.withColumns({"is_contig": F.shiftright("node", 1) == F.shiftright("next", 1), "ctgid": F.shiftright("node", 1), "u": F.least("node", "next"), "v": F.greatest("node", "next"), "plus": F.col("next") % 2 == 0})
     s = s.join(contigs.select("ctgid", "name", "length"), "ctgid", "left")
     m = mates.select(F.col("c1").alias("u"), F.col("c2").alias("v"), "bd", "bd_std", "bw")
@@ -26,11 +22,10 @@ def steps(lines: DataFrame, contigs: DataFrame, mates: DataFrame) -> DataFrame:
 
 def positions(steps_: DataFrame) -> DataFrame:
     """(line_id, idx, node, pos): running sums of contig lengths and distances."""
-    upto = _line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.struct(F.lit(0).cast("long").alias("idx"), F.col("node"), F.lit(0).cast("long").alias("pos"))
     end = F.struct((F.col("idx") + 1).alias("idx"), F.col("next").alias("node"), F.col("upto").alias("pos"))
     both = F.explode(F.when(F.col("idx") == 0, F.array(begin, end)).otherwise(F.array(end))).alias("p")
-    return steps_.withColumn("upto", F.sum("d").over(upto)).select("line_id", both).select("line_id", "p.*")
+    return running_sum(steps_, "line_id", "idx", F.col("d"), "upto").select("line_id", both).select("line_id", "p.*")
 
 
 def line_sizes(pos: DataFrame) -> DataFrame:
@@ -48,9 +43,8 @@ def path_length(steps_: DataFrame) -> DataFrame:
 
 def fragments(steps_: DataFrame, pos: DataFrame, far: DataFrame) -> DataFrame:
     """(line_id, idx, kind, pos, d): contig, supporting (edge) and suspicious fragments; far: edges with long links."""
-    w = _line()
     size = line_sizes(pos)
-    p = pos.withColumns({"before": F.lag("pos").over(w), "after": F.lead("pos").over(w), "after2": F.lead("pos", 2).over(w)}).select("line_id", "idx", F.col("pos").alias("at"), "before", "after", "after2")
+    p = shifted(pos, "line_id", "idx", "pos", {"before": -1, "after": 1, "after2": 2}).withColumnRenamed("pos", "at")
     s = steps_.join(p, ["line_id", "idx"]).join(size, "line_id").join(far.select(F.col("c1").alias("u"), F.col("c2").alias("v"), F.lit(True).alias("far")), ["u", "v"], "left")
     last = F.col("after2").isNull()
     start = F.when(F.col("is_contig") & (F.col("at") <= F.col("before")), F.col("before") + F.when(last, 1).otherwise(0)).otherwise(F.col("at"))
@@ -121,22 +115,20 @@ def depth(frags: DataFrame, sizes: DataFrame) -> DataFrame:
     step = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("w")), F.struct((F.col("pos") + F.col("d")).alias("at"), F.lit(-1).alias("w")))).alias("x")
     border = sizes.select("line_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("w")), F.struct(F.col("size").alias("at"), F.lit(0).alias("w")))).alias("x"))
     turns = f.select("line_id", step).unionByName(border).groupBy("line_id", "x.at").agg(F.sum("x.w").alias("w"))
-    w = Window.partitionBy("line_id").orderBy("at")
-    runs = turns.select("line_id", F.col("at").alias("beg"), F.lead("at").over(w).alias("end"), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("depth"))
-    runs = runs.filter("end IS NOT NULL")
-    # Neighbouring stretches of one depth are one.
-    edge = F.coalesce(F.lag("depth").over(Window.partitionBy("line_id").orderBy("beg")) != F.col("depth"), F.lit(True))
-    part = runs.withColumn("new", edge.cast("int")).withColumn("part", F.sum("new").over(Window.partitionBy("line_id").orderBy("beg").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return part.groupBy("line_id", "part", "depth").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).select("line_id", "beg", "end", "depth")
+    # The depth changes where something begins or ends; a line's first and last place are the outer borders.
+    upto = running_sum(turns, "line_id", "at", F.col("w"), "depth").join(sizes, "line_id")
+    changes = upto.filter((F.col("w") != 0) | (F.col("at") == 0) | (F.col("at") == F.col("size"))).select("line_id", F.col("at").alias("beg"), "depth")
+    return neighbour(changes, "line_id", "beg", "beg", "end", True).filter("end IS NOT NULL").select("line_id", "beg", "end", "depth")
 
 
 def low_intervals(depths: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
     """(line_id, start, stop), ends included: stretches without coverage; those less than `lqi_merge` bases apart are one."""
-    w = Window.partitionBy("line_id").orderBy("beg")
-    bare = depths.filter("depth < 1").withColumn("last", F.lag("end").over(w))
-    part = bare.withColumn("new", F.coalesce(F.col("beg") - (F.col("last") - 1) >= config.lqi_merge, F.lit(True)).cast("int"))
-    part = part.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return part.groupBy("line_id", "part").agg(F.min("beg").alias("start"), (F.max("end") - 1).alias("stop")).select("line_id", "start", "stop")
+    bare = neighbour(depths.filter("depth < 1").select("line_id", "beg", "end"), "line_id", "beg", "end", "last", False)
+    heads = bare.filter(F.col("last").isNull() | (F.col("beg") - (F.col("last") - 1) >= config.lqi_merge))
+    # An interval ends where the stretch before the next head ends, the last one of a line with the line's last stretch.
+    heads = neighbour(heads.select("line_id", "beg", F.coalesce("last", F.lit(-1)).alias("last")), "line_id", "beg", "last", "until", True)
+    final = bare.groupBy("line_id").agg(F.max("end").alias("final"))
+    return heads.join(final, "line_id").select("line_id", F.col("beg").alias("start"), (F.coalesce("until", "final") - 1).alias("stop"))
 
 
 #: Bases of a bin by which intervals meet; an interval lies in one or two of them, or in as many as it is long.
@@ -167,8 +159,7 @@ def validated(mates: DataFrame, overlaps: DataFrame, support: DataFrame, config:
 def agp(steps_: DataFrame, contigs: DataFrame, config: ScaffoldConfig = DEFAULT) -> DataFrame:
     """AGP rows: contigs (W), gaps (N) and single contigs; a scaffold is named by its least node."""
     size = F.when(F.col("is_contig"), F.col("length")).otherwise(F.greatest(F.col("d"), F.lit(config.min_gap))).cast("long")
-    upto = _line().rowsBetween(Window.unboundedPreceding, -1)
-    s = steps_.withColumn("size", size).withColumn("beg", 1 + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    s = running_sum(steps_.withColumn("size", size), "line_id", "idx", F.col("size"), "upto").withColumn("beg", 1 + F.col("upto") - F.col("size"))
     single = contigs.join(steps_.filter("is_contig").select("ctgid"), "ctgid", "left_anti")
     alone = single.select(F.col("header").alias("line_id"), F.lit(0).cast("long").alias("idx"), F.lit(True).alias("is_contig"), "name", "length", F.lit(True).alias("plus"), F.col("length").cast("long").alias("size"), F.lit(1).cast("long").alias("beg"))
     every = s.select(*alone.columns).unionByName(alone)
