@@ -31,11 +31,13 @@ MIN_COUNT, INSIDE, TOP = 10, 50, 2000
 #: Words of pieces that a task sums up at once before the shuffle.
 CHUNK_WORDS = 1_000_000
 #: Words of distinct pieces for each hash bucket (with their pairs and triples), and the memory of DuckDB in a task.
-BUCKET_WORDS, BUCKET_MEMORY = 4_000_000, "256MB"
+BUCKET_WORDS, BUCKET_MEMORY = 4_000_000, "192MB"
 #: Groups in which a language's best phrases are picked first.
 PICKS = 64
 
-_COUNTED = pa.schema([("lang", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("f", pa.int64())])
+#: A row for each word, and for each pair with the word behind it (or nothing), as one string: word or pair, word behind, count (empty: 1), language,
+#: between tabs. One short string a row shuffles in two thirds of what four columns take.
+_GRAMS = pa.schema([("row", pa.string())])
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _weighted_grams(chunk: pa.Table):
-    """Rows (lang, head, tail, f) of a chunk of pieces: single words, and pairs with the word behind them or an empty tail."""
+    """Rows of a chunk of pieces: single words, and pairs with the word behind them."""
     chunk = chunk.combine_chunks()
     words = pc.split_pattern(chunk.column("piece"), " ").combine_chunks()
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
@@ -73,8 +75,8 @@ def _weighted_grams(chunk: pa.Table):
     vocab = coded.dictionary
 
     def rows(at, f, head, tail):
-        f = pa.array(f)
-        return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[at])), head, tail, f], schema=_COUNTED)
+        count = pc.if_else(pa.array(f == 1), "", pa.array(f).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(head, tail, count, langs.dictionary.take(pa.array(lang[at])), "\t")], schema=_GRAMS)
 
     at, f = _summed(lang * n + first, weight)
     yield rows(at, f, vocab.take(pa.array(first[at])), pa.array([""] * len(at), pa.string()))
@@ -89,7 +91,7 @@ def _weighted_grams(chunk: pa.Table):
 
 
 def weighted_grams(found: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """pieces() -> (lang, head, tail, f), summed within chunks only."""
+    """pieces() -> rows of _GRAMS, summed within chunks only."""
     with_workers(found.sparkSession)
 
     def run(batches):
@@ -105,7 +107,7 @@ def weighted_grams(found: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFram
         if held:
             yield from _weighted_grams(pa.Table.from_batches(held))
 
-    return found.select("lang", "piece", "n").mapInArrow(run, "lang string, head string, tail string, f long")
+    return found.select("lang", "piece", "n").mapInArrow(run, "row string")
 
 
 def counted(grams: DataFrame, buckets: int, min_count: int = MIN_COUNT, memory: str = BUCKET_MEMORY) -> DataFrame:
@@ -118,8 +120,10 @@ def counted(grams: DataFrame, buckets: int, min_count: int = MIN_COUNT, memory:
         with tempfile.TemporaryDirectory(prefix="bucket-") as scratch:
             con = duckdb.connect(config={"memory_limit": memory, "threads": "1", "temp_directory": scratch, "preserve_insertion_order": "false"})
             try:
-                con.register("rows_in", pa.RecordBatchReader.from_batches(_COUNTED, (b.cast(_COUNTED) for b in batches)))
-                con.execute("CREATE TABLE t AS SELECT lang, head, tail, CAST(sum(f) AS BIGINT) AS f FROM rows_in GROUP BY lang, head, tail")
+                con.register("rows_in", pa.RecordBatchReader.from_batches(_GRAMS, (b.cast(_GRAMS) for b in batches)))
+                # A language may hold anything, so it comes last; words hold no tabs.
+                each = "SELECT p[1] AS head, p[2] AS tail, CASE WHEN p[3] = '' THEN 1 ELSE CAST(p[3] AS BIGINT) END AS f, array_to_string(p[4:], chr(9)) AS lang FROM (SELECT string_split(row, chr(9)) AS p FROM rows_in)"
+                con.execute(f"CREATE TABLE t AS SELECT lang, head, tail, CAST(sum(f) AS BIGINT) AS f FROM ({each}) GROUP BY lang, head, tail")
                 for sql in (
                     f"SELECT lang, head AS gram, CASE WHEN contains(head, ' ') THEN 2 ELSE 1 END AS words, CAST(sum(f) AS BIGINT) AS f FROM t GROUP BY lang, head HAVING sum(f) >= {min_count}",
                     f"SELECT lang, head || ' ' || tail AS gram, 3 AS words, f FROM t WHERE tail <> '' AND f >= {min_count}",
@@ -128,7 +132,7 @@ def counted(grams: DataFrame, buckets: int, min_count: int = MIN_COUNT, memory:
             finally:
                 con.close()
 
-    return grams.repartition(buckets, "lang", "head").mapInArrow(run, "lang string, gram string, words int, f long")
+    return grams.repartition(buckets, F.substring_index("row", "\t", 1)).mapInArrow(run, "lang string, gram string, words int, f long")
 
 
 def scored(counts: DataFrame, inside: int = INSIDE) -> DataFrame:
