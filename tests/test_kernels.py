@@ -124,3 +124,31 @@ def test_transitive_reduction_by_hand():
 @pytest.mark.parametrize("seq,want", [("ACGTN", "NACGT"), ("acgR", "Ycgt")])
 def test_revcomp(seq, want):
     assert gaps.revcomp(seq) == want
+
+
+def test_band_gives_the_script_of_the_whole_table():
+    rng = random.Random(12)
+    for _ in range(400):
+        q = "".join(rng.choice("ACGT"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 50)))
+        t = "".join(c for c in q for c in [c, rng.choice("ACGT")][: rng.choice([0, 1, 1, 1, 1, 2])]) if rng.random() < 0.7 else "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 50)))
+        whole = align.path(q, t, band=10_000)
+        assert all(align.path(q, t, band=b) == whole for b in (1, 2, 5, 64))
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(q, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(t, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        assert sum(c != "=" for c in whole) == row[-1]
+        assert sum(c in "=XI" for c in whole) == len(q) and sum(c in "=XD" for c in whole) == len(t)
+
+
+def test_work_follows_the_edits(monkeypatch):
+    """Two alike sequences need no wider band, however long they are."""
+    widths, made = [], align._Band.__init__
+    monkeypatch.setattr(align._Band, "__init__", lambda self, q, t, k: (widths.append(k), made(self, q, t, k))[1])
+    rng = random.Random(13)
+    q = "".join(rng.choice("ACGT") for _ in range(6000))
+    t = q[:1000] + "A" + q[1000:4000] + q[4020:]
+    assert sum(c != "=" for c in align.path(q, t)) == 21 and widths == [64]
+    align.path(q[:600], q[600:1200])
+    assert widths[1:] == [64, 128, 256, 512]
