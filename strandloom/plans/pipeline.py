@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScaffoldConfig
-from ..functions import dna
+from ..functions import dna, packed
 from ..functions.morton import pair_key
 from ..operators import bundles as B
 from ..operators import graph as G
@@ -124,24 +124,31 @@ def gap_members(s: Scaffolds, reads: DataFrame, config: ScaffoldConfig = DEFAULT
     """(c1, c2, rank, seq): the read parts of each validated edge, the lead first; all in the edge's stored direction."""
     kept = s.links.join(s.validated.select("c1", "c2"), ["c1", "c2"], "left_semi")
     top = B.top_reads(B.edge_read_support(kept), config.consensus_reads)
-    m = B.consensus_links(kept, top, config.consensus_reads).join(reads, "read_id")
-    n, a, b = F.length("seq"), F.col("gap_start"), F.col("gap_end")
+    # Reads go through the shuffle at two bits a base, and only the bytes of the part are unpacked.
+    bits = reads.select("read_id", packed.pack(F.col("seq")).alias("p"))
+    m = B.consensus_links(kept, top, config.consensus_reads).join(bits, "read_id")
+    n, a, b = F.col("p.n"), F.col("gap_start"), F.col("gap_end")
     lead = F.col("rank") == 1
     begin = F.when(lead & (a - 1000 > 0), a - 1000).otherwise(a)
     end = F.when(lead & (b + 1000 < n), b + 1000).otherwise(b)
-    part = F.substring(F.col("seq"), F.greatest(begin, F.lit(0)) + 1, F.greatest(end - F.greatest(begin, F.lit(0)), F.lit(0)))
-    return m.select("c1", "c2", "rank", F.when(F.col("switched"), dna.revcomp(part)).otherwise(part).alias("seq"))
+    part = packed.substring(F.col("p"), begin, end - F.greatest(begin, F.lit(0)))
+    cut = m.select("c1", "c2", "rank", "switched", packed.unpacked(part).alias("part"))
+    return cut.select("c1", "c2", "rank", F.when(F.col("switched"), dna.revcomp(F.col("part"))).otherwise(F.col("part")).alias("seq"))
 
 
 def contig_ends(s: Scaffolds, config: ScaffoldConfig = DEFAULT) -> DataFrame:
     """(c1, c2, left, right, bd, bd_std): the bases at both sides of each validated edge."""
-    c = s.contigs.select("ctgid", "seq", "length")
-    one = c.select(F.col("ctgid").alias("i1"), F.col("seq").alias("s1"), F.col("length").alias("l1"))
-    two = c.select(F.col("ctgid").alias("i2"), F.col("seq").alias("s2"), F.col("length").alias("l2"))
+    # Only both ends of a contig travel, packed.
+    k, p = F.lit(config.end_bases), F.col("p")
+    c = s.contigs.select("ctgid", "length", packed.pack(F.col("seq")).alias("p"))
+    c = c.select("ctgid", "length", packed.substring(p, F.lit(0), k).alias("head"), packed.substring(p, p["n"] - k, k).alias("tail"))
+    one = c.select(F.col("ctgid").alias("i1"), F.col("head").alias("h1"), F.col("tail").alias("t1"), F.col("length").alias("l1"))
+    two = c.select(F.col("ctgid").alias("i2"), F.col("head").alias("h2"), F.col("tail").alias("t2"), F.col("length").alias("l2"))
     e = s.validated.withColumns({"i1": F.shiftright("c1", 1), "i2": F.shiftright("c2", 1)}).join(one, "i1").join(two, "i2")
-    k = F.least(F.lit(config.end_bases), "l1", "l2")
-    left = F.when(F.col("c1") % 2 == 0, F.right("s1", k)).otherwise(dna.revcomp(F.left("s1", k)))
-    right = F.when(F.col("c2") % 2 == 1, F.left("s2", k)).otherwise(dna.revcomp(F.right("s2", k)))
+    e = e.select(*s.validated.columns, "l1", "l2", *[packed.unpacked(F.col(x)).alias(x) for x in ("h1", "t1", "h2", "t2")])
+    k = F.least(k, "l1", "l2")
+    left = F.when(F.col("c1") % 2 == 0, F.right("t1", k)).otherwise(dna.revcomp(F.left("h1", k)))
+    right = F.when(F.col("c2") % 2 == 1, F.left("h2", k)).otherwise(dna.revcomp(F.right("t2", k)))
     return e.select("c1", "c2", left.alias("left"), right.alias("right"), "bd", "bd_std")
 
 

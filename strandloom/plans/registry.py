@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import dna, morton, scoring
+from ..functions import dna, morton, packed, scoring
 from ..operators import biconnected as N
 from ..operators import bundles as B
 from ..operators import graph as G
@@ -784,6 +784,23 @@ def iupac_collapse(s, d):
     return A.table(s, d, "documents").select(F.col("doc_id").alias("id"), dna.collapsed(F.regexp_replace(F.lower("text"), "[^a-z]", "")).alias("seq"))
 
 
+@query("""SELECT id, n, array_to_string(list_transform(generate_series(0, 2*b - 1), lambda i: substring('0123456789ABCDEF', 4*CAST(substring(g, CAST(2*i + 1 AS INT), 1) AS INT) + CAST(substring(g, CAST(2*i + 2 AS INT), 1) AS INT) + 1, 1)), '') AS bits
+    FROM (SELECT id, CAST(length(seq) AS INT) AS n, (length(seq) + 3)//4 AS b, rpad(translate(seq, 'ACTG', '0123'), CAST(4*((length(seq) + 3)//4) AS INT), '0') AS g FROM seqs)""")
+def dna_pack(s, d):
+    """Two bits a base, four bases a byte."""
+    p = A.sequences(s, d).select("id", packed.pack(F.col("seq")).alias("p"))
+    return p.select("id", "p.n", F.hex("p.bits").alias("bits"))
+
+
+@query(f"""SELECT id, seq, translate(reverse(substring(seq, CAST(id % 7 + 1 AS INT), 500)), '{dna.IUPAC}', '{dna.COMPLEMENT}') AS other
+    FROM (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM documents)""")
+def dna_unpack(s, d):
+    """The strings back, ambiguity codes and case included, and a part of the other strand cut and turned in the packed form."""
+    p = A.table(s, d, "documents").select(F.col("doc_id").alias("id"), packed.pack(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("p"))
+    part = packed.reverse_complement(packed.substring(F.col("p"), F.col("id") % 7, F.lit(500)))
+    return p.select("id", packed.unpacked(F.col("p")).alias("seq"), packed.unpacked(part).alias("other"))
+
+
 @query("SELECT translate(kmer, 'ACTG', '0123') AS code, count(*) AS n FROM kmers5 GROUP BY kmer")
 def kmers(s, d):
     return S.kmer_rows(A.sequences(s, d), 5).groupBy("plain").agg(F.count("*").alias("n")).select(dna.digits(F.col("plain"), 5).alias("code"), "n")
