@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -22,7 +23,8 @@ from ..operators import repeats as R
 from ..operators import sequences as S
 from ..operators import supported as U
 from ..operators import validate as V
-from ..sources import readers, writers
+from ..session import shared_folder
+from ..sources import read_store, readers, writers
 from . import adapters as A
 
 #: The adapter's distances are below the default of mlp.
@@ -412,10 +414,16 @@ def needed_reads(s, d):
     return reads.join(top_reads_per_edge(s, d).select("read_id").distinct(), "read_id", "left_semi")
 
 
-@query("SELECT c1, c2, read_id, substring(seq, 1, 50) AS begin FROM top JOIN seqs ON id = read_id WHERE rank = 1")
+@query("""SELECT c1, c2, read_id, ord AS place, seq FROM top JOIN seqs ON id = read_id
+    JOIN (SELECT read_id, row_number() OVER (ORDER BY f) - 1 AS ord FROM (SELECT read_id, min(struct_pack(a := c1, b := c2, r := rank)) AS f FROM top JOIN seqs ON id = read_id GROUP BY read_id)) USING (read_id)
+    WHERE rank = 1""")
 def read_lookup(s, d):
-    reads = A.sequences(s, d).select(F.col("id").alias("read_id"), F.left("seq", F.lit(50)).alias("begin"))
-    return lead_read(s, d).join(reads, "read_id").select("c1", "c2", "read_id", "begin")
+    """The lead reads from a store of the needed reads in the order of their first use."""
+    top = G.settled(top_reads_per_edge(s, d), "top-reads")
+    reads = A.sequences(s, d).select(F.col("id").alias("read_id"), "seq")
+    first = top.select("read_id", F.struct("c1", "c2", "rank").alias("rank"))
+    store = read_store.write_store(reads, first, f"{shared_folder(s)}/read-store-{uuid.uuid4().hex}")
+    return store.fetch(top.filter("rank = 1").select("c1", "c2", "read_id")).select("c1", "c2", "read_id", "place", "seq")
 
 
 @query("SELECT read_id, row_number() OVER (ORDER BY f) - 1 AS ord FROM (SELECT read_id, min(struct_pack(a := c1, b := c2, r := rank)) AS f FROM top GROUP BY read_id)")
