@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of token characters: of at least 8 with a digit, of at least 16 without one if it changes case twice inside, or of any kind, from 6
-characters on, if it is quoted right after `=` or `:`. It is described by its length, the transitions between its character
+A candidate is what stands after `=` or `:` behind an announcing word (FOR): a run of at least 4 characters of any kind and script, up to white space, a quote, a
+comma or a semicolon. Elsewhere it is a run of token characters: of at least 8 with a digit, of at least 16 without one if it changes case twice inside, or of any
+kind, from 6 characters on, if it is quoted right after `=` or `:`. It is described by its length, the transitions between its character
 classes (one share for each pair of digit, lower, upper and other, and the changes altogether), the variety of its characters, the share of it that dictionary
 words cover, the path it was found
 under and the words beside it. The forest is fitted on labelled findings; by default these are made by a rule (`made_findings`), a
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import kept_columns, text_key, written
 
 _EDGE = r"(?<![A-Za-z0-9+/_-])"
+#: Announcing words, as in FOR below: what they open is a candidate of any shape.
+_OPENED = r"""(?<=[=:\s"'])(?<=(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)["']?\s{0,2}[=:]\s{0,2}["']?)"""
 CANDIDATE = (
-    r"""(?:(?<=[=:]["'])|(?<=[=:] ["']))[^\s"']{6,}+(?=["'])"""
+    rf"""{_OPENED}[^\s"',;=:][^\s"',;]{{3,}}+"""
+    r"""|(?:(?<=[=:]["'])|(?<=[=:] ["']))[^\s"']{6,}+(?=["'])"""
     rf"|{_EDGE}(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{8,}}+={{0,2}}"
     rf"|{_EDGE}(?=[A-Za-z+/_-]*?[a-z][A-Z][A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{{16,}}+={{0,2}}"
 )

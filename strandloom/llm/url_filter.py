@@ -5,12 +5,16 @@ entries one address without scheme, query, fragment and closing slash. `add` ope
 the next entry of the value closes it. A capture is judged by the entries active when it was fetched: an as-of join on
 every suffix of its host and on its address, `valid_from <= fetched_at < valid_to`.
 
+Both sides are put into one form: hosts in lower case without a closing dot; a domain entry may be written as a host, as `*.host`, with a leading dot or as an address, of
+which its host counts; an url entry may have a scheme, user, port, query, fragment or closing slash, and its host any case. Paths keep their case.
+
 The intervals of a value travel as one sorted array, so the join is an equality join and a value with a long history makes
 no more rows than one without; the verdict is worked out once for each distinct (url, time) and joined back.
 
 Defined results: a null or unparsable url, or a null time, matches nothing; of entries of one value and moment, remove counts last;
 repeated entries count once; repeated captures are judged alike; extra columns pass through, one
-with the name of a new column is replaced; an empty list blocks nothing.
+with the name of a new column is replaced; an empty list and entries without a host block nothing;
+kept() returns the captures' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,11 @@ from .common import table
 FOREVER = 253402300800  # the year 10000, in seconds
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
 def host_of(url):
-    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1), r"\.+$", "")
 
 
 def address_of(url):
@@ -35,8 +42,11 @@ def address_of(url):
 
 def intervals(entries: DataFrame) -> DataFrame:
     """entries(kind, value, action, at) -> (kind, value, valid_from, valid_to): when a value is listed."""
-    e = entries.select("kind", F.lower("value").alias("v"), "value", "action", "at")
-    e = e.select("kind", F.when(F.col("kind") == "domain", F.col("v")).otherwise(F.col("value")).alias("value"), "action", "at").filter("value IS NOT NULL AND at IS NOT NULL").distinct()
+    whole = F.trim("value")
+    whole = F.when(whole.rlike(_SCHEME), whole).otherwise(F.concat(F.lit("any://"), whole))
+    domain = F.regexp_replace(host_of(F.regexp_replace(whole, r"://(\*?\.)+", "://")), r"^\.+", "")
+    e = entries.select("kind", F.when(F.col("kind") == "domain", domain).otherwise(address_of(whole)).alias("value"), "action", "at")
+    e = e.filter("value <> '' AND at IS NOT NULL").distinct()
     moment = e.groupBy("kind", "value", "at").agg(F.max("action").alias("action"))  # 'remove' > 'add'
     turn = Window.partitionBy("kind", "value").orderBy("at")
     spans = moment.withColumn("to", F.coalesce(F.lead("at").over(turn), F.lit(FOREVER)))
@@ -71,7 +81,9 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", at: str =
 
 def kept(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """The captures that no active entry covers."""
-    return judged(captures, entries, url, at).filter(~F.col("blocked")).select(*captures.columns)
+    row = F.struct(*[F.col(c) for c in captures.columns]).alias("__row")
+    asked = captures.select(row, F.col(url).alias("__url"), F.col(at).alias("__at"))
+    return judged(asked, entries, "__url", "__at").filter(~F.col("blocked")).select("__row.*")
 
 
 DAY = 86400
@@ -105,7 +117,7 @@ SQL = r"""
 WITH cap AS (
   SELECT *, regexp_replace(host || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS address FROM (
     SELECT row_number() OVER () AS r, page_id, url, 1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400 AS fetched_at,
-         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host
+         regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '') AS host
     FROM pages)),
 hosts AS (SELECT DISTINCT host AS value FROM cap WHERE host <> ''),
 entries AS (

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from strandloom.llm import decontaminate, html_text, language_id, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, url_filter
@@ -317,7 +318,15 @@ def test_secrets(spark):
 def test_secret_candidates_by_plain_python(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted((r.doc_id, r.candidate) for r in secrets.candidates(d, "doc_id").collect())
-    assert got == sorted((r.doc_id, c) for r in d.collect() for c in re.findall(secrets.CANDIDATE, r.text or ""))
+    pattern = regex.compile(secrets.CANDIDATE, regex.ASCII)
+    assert got == sorted((r.doc_id, m[0]) for r in d.collect() for m in pattern.finditer(r.text or ""))
+
+
+def test_announcing_words_open_candidates(spark):
+    texts = ["password: correcthorsebatterystaple", "password = hunter2", "secret = abcdefghijklmnopqrstuvwxyz", "api_key=QWERTYUIOPASDFGHJKLZ", "token: pässwörtlangundgeheim1234", '"Access-Key" : "kurz"', "my pwd=a1", "color = plainword", "PASSWORD:'x y'"]
+    d = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    found = {r.doc_id: r.candidate for r in secrets.candidates(d, "doc_id").collect()}
+    assert found == {0: "correcthorsebatterystaple", 1: "hunter2", 2: "abcdefghijklmnopqrstuvwxyz", 3: "QWERTYUIOPASDFGHJKLZ", 4: "pässwörtlangundgeheim1234", 5: "kurz"}
 
 
 def test_forest_on_held_out_findings(spark):

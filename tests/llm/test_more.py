@@ -234,3 +234,13 @@ def test_url_entries_and_large_ids(spark):
     entries = spark.createDataFrame([("url", "a.example/x", "add", 5), ("domain", "example", "add", 50), ("domain", "com", "add", 50)], "kind string, value string, action string, at long")
     caps = spark.createDataFrame([(1, "http://a.example/x?q", 10), (2, "http://a.example/y", 10), (3, "http://a.example/y", 60), (4, "http://a.example/x", 60), (5, "http://a.b.com:1/", 49)], "page_id long, url string, fetched_at long")
     assert {r.page_id: (r.n_rules, r.rule) for r in url_filter.judged(caps, entries).collect()} == {1: (1, "url:a.example/x"), 2: (0, None), 3: (1, "domain:example"), 4: (2, "domain:example"), 5: (0, None)}
+
+
+def test_url_entries_in_any_form(spark):
+    entries = [("url", "HTTP://user@A.Example:80/x/?q#f"), ("domain", "*.b.example"), ("domain", "c.example."), ("domain", ".d.example"), ("domain", "https://E.example/ignored"), ("url", "f.example./Path/"), ("domain", " "), ("domain", "*."), ("url", "")]
+    e = spark.createDataFrame([(k, v, "add", 0) for k, v in entries], "kind string, value string, action string, at long")
+    urls = ["http://a.example/x", "http://z.b.example/", "http://b.example/", "http://c.example/", "http://c.example./", "http://d.example/", "http://x.e.example/q", "http://f.example/Path", "http://f.example/path", "http://g.example/", "http://./"]
+    caps = spark.createDataFrame([(i, u, 1, "own") for i, u in enumerate(urls)], "page_id long, url string, fetched_at long, blocked string").withColumn("rule", F.lit(5))
+    assert {r.page_id: r.rule for r in url_filter.judged(caps, e).collect()} == {0: "url:a.example/x", 1: "domain:b.example", 2: "domain:b.example", 3: "domain:c.example", 4: "domain:c.example", 5: "domain:d.example", 6: "domain:e.example", 7: "url:f.example/Path", 8: None, 9: None, 10: None}
+    kept = url_filter.kept(caps, e)
+    assert kept.columns == caps.columns and sorted((r.page_id, r.blocked, r.rule) for r in kept.collect()) == [(8, "own", 5), (9, "own", 5), (10, "own", 5)]
