@@ -30,8 +30,9 @@ from .common import kept_columns, with_workers, written
 WINDOW = 13
 #: A broadcast block takes at most this many bytes of a worker; an item that is larger is a block of its own.
 BLOCK_BYTES = 256_000_000
-#: Bytes that a block holds for each word of its items (code, window hash, place, item), and for each distinct word beside its characters (table and objects).
-WORD_BYTES, TERM_BYTES = 28, 200
+#: Bytes that a block holds for each word of its items (code, window hash, place, items, share of the first look's table), and for each distinct word beside its
+#: characters (table and objects).
+WORD_BYTES, TERM_BYTES = 44, 200
 #: A document is contaminated if hits * MIN_SHARE_OF >= words.
 MIN_SHARE_OF = 20
 
@@ -41,7 +42,6 @@ _FOLD = bytes(
     for c in range(256)
 )
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,8 +49,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of a block of benchmark items as arrays: the items' words as codes one after the other, and for each length the windows' hashes in
-    order with the places where they begin. A bit table over the hashes gives the first look; a hit is compared word by word."""
+    """The windows of a block of benchmark items as arrays: the items' words as codes one after the other, and for each length the distinct windows' hashes in
+    order, each with a place where it begins and the list of items that hold it. A table over the hashes' upper bits, sized by the block, gives the first
+    look; a hit is compared word by word, once for a window however many items share it, and its items are added once for a document."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
@@ -66,7 +67,7 @@ class WindowSet:
         self.words = np.array(words, np.uint32)
         at, n_words = np.array(begins, np.int64), np.array(sizes, np.int64)
         width = np.minimum(n_words, window)
-        self.hashes, self.places, self.owners, self.look = {}, {}, {}, {}
+        self.hashes, self.places, self.first, self.owners, self.look, self.bits = {}, {}, {}, {}, {}, {}
         for n in sorted(set(width.tolist())):
             mine = np.flatnonzero(width == n)
             count = n_words[mine] - n + 1
@@ -74,9 +75,17 @@ class WindowSet:
             place = np.repeat(at[mine] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             h = self._hashed([self.words[place + k] for k in range(n)])
             order = np.lexsort((owner, h))
-            self.hashes[n], self.places[n], self.owners[n] = h[order], place[order], owner[order].astype(np.int32)
-            self.look[n] = np.zeros(1 << _BITS, bool)
-            self.look[n][self._slots(h)] = True
+            h, place, owner = h[order], place[order], owner[order].astype(np.int32)
+            # Neighbours of one hash are one window if their words are the same; other windows of that hash follow as entries of their own.
+            same = np.concatenate(([False], h[1:] == h[:-1]))
+            for k in range(n):
+                same[1:] &= self.words[place[1:] + k] == self.words[place[:-1] + k]
+            first = np.flatnonzero(~same)
+            self.hashes[n], self.places[n], self.owners[n] = h[first], place[first], owner
+            self.first[n] = np.append(first, len(h))
+            self.bits[n] = min(26, max(16, int(4 * len(first)).bit_length()))
+            self.look[n] = np.zeros(1 << self.bits[n], bool)
+            self.look[n][self._slots(h[first], self.bits[n])] = True
         self.lengths = sorted(self.hashes)
 
     @staticmethod
@@ -89,8 +98,8 @@ class WindowSet:
         return h
 
     @staticmethod
-    def _slots(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - _BITS)).astype(np.int64)
+    def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word intervals [start, end) of verified windows, and the items they belong to."""
@@ -106,10 +115,10 @@ class WindowSet:
             if not len(free):
                 continue
             h = self._hashed([code[free + k] for k in range(n)])
-            seen = np.flatnonzero(self.look[n][self._slots(h)])
+            seen = np.flatnonzero(self.look[n][self._slots(h, self.bits[n])])
             if not len(seen):
                 continue
-            known, place, owner = self.hashes[n], self.places[n], self.owners[n]
+            known, place, found = self.hashes[n], self.places[n], set()
             low, high = np.searchsorted(known, h[seen]), np.searchsorted(known, h[seen], "right")
             for k, a, b in zip(seen.tolist(), low.tolist(), high.tolist()):
                 if a == b:
@@ -119,7 +128,9 @@ class WindowSet:
                 hit = [j for j in range(a, b) if (self.words[place[j] : place[j] + n] == held).all()]
                 if hit:
                     spans.append((i, i + n))
-                    items.update(self.items[o] for o in owner[hit].tolist())
+                    found.update(hit)
+            for j in found:
+                items.update(self.items[o] for o in np.unique(self.owners[n][self.first[n][j] : self.first[n][j + 1]]).tolist())
         return spans, items
 
     @staticmethod

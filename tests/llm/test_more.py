@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -244,3 +245,15 @@ def test_url_entries_in_any_form(spark):
     assert {r.page_id: r.rule for r in url_filter.judged(caps, e).collect()} == {0: "url:a.example/x", 1: "domain:b.example", 2: "domain:b.example", 3: "domain:c.example", 4: "domain:c.example", 5: "domain:d.example", 6: "domain:e.example", 7: "url:f.example/Path", 8: None, 9: None, 10: None}
     kept = url_filter.kept(caps, e)
     assert kept.columns == caps.columns and sorted((r.page_id, r.blocked, r.rule) for r in kept.collect()) == [(8, "own", 5), (9, "own", 5), (10, "own", 5)]
+
+
+def test_windows_that_many_items_share():
+    stem = [f"w{i}" for i in range(20)]
+    items = [(i, " ".join([*stem, f"own{i}", f"more{i}"])) for i in range(3000)] + [("short", "w1 w2")]
+    held = decontaminate.WindowSet(items)
+    assert len(held.hashes[13]) == 8 + 2 * 3000 and len(held.owners[13]) == 10 * 3000
+    began = time.perf_counter()
+    spans, found = held.find(("x " + " ".join(stem) + " y ").encode().split() * 200)
+    assert time.perf_counter() - began < 1
+    assert found == {i for i, _ in items} and decontaminate.merged(spans) == [(22 * k + 1, 22 * k + 21) for k in range(200)]
+    assert held.find(b"w1 w2 w3".split()) == ([(0, 2)], {"short"})
