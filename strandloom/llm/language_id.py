@@ -30,6 +30,10 @@ from .common import kept_columns, with_workers
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 200, 1500, 100_000
 #: All dictionaries together, as they are sent to the workers.
 ALL_BYTES = 64_000_000
+#: Languages that are learned at most: those with the most rows, ties by name.
+LANGUAGES = 10_000
+#: Rows that are drawn for each language on average, however many languages there are.
+LEAST_DOCS = 8
 BLOCK, SHORT, CARRIER = 2048, 300, 400
 #: A prediction is accepted if the second size is larger by this share, and by MARGIN_BYTES.
 MARGIN, MARGIN_BYTES = 0.01, 2
@@ -101,22 +105,23 @@ def held_out():
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, all_bytes: int = ALL_BYTES) -> list[tuple[str, bytes]]:
     """(language, content) from labelled(doc_id, lang, text), the most frequent language first.
 
-    The driver gets a count for each language and the beginnings of the rows that are drawn: a row is drawn with the chance 2 * sample_docs by the
-    rows of its language, and once however often it is repeated.
+    The driver gets a count for each of LANGUAGES languages and the beginnings of the rows that are drawn: about 2 * sample_docs a language, fewer where all languages'
+    together would pass all_bytes. A row is drawn with that number by the rows of its language, and once however often it is repeated.
     """
     spark = labelled.sparkSession
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return []
     most = max(256, min(DICT_BYTES, all_bytes // len(counts)))
-    rates = spark.createDataFrame([(lang, int(min(1.0, 2 * sample_docs / n) * (1 << 30))) for lang, n in counts.items()], "__lang string, __rate long")
+    each = max(LEAST_DOCS, min(2 * sample_docs, all_bytes // (DOC_BYTES * len(counts))))
+    rates = spark.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 30))) for lang, n in counts.items()], "__lang string, __rate long")
     draw = F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text"))
     drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).filter(F.pmod(draw, F.lit(1 << 30)) < F.col("__rate"))  # a row for each language
     cut = drawn.select("lang", draw.alias("draw"), F.substring("text", 1, DOC_BYTES).alias("text")).dropDuplicates()
     found: dict[str, list] = {}
     for r in cut.collect():
         found.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    return [(lang, b"".join(letters(t)[:DOC_BYTES] for _, t in sorted(found[lang])[: 2 * sample_docs])[:most]) for lang in counts if lang in found]
+    return [(lang, b"".join(letters(t)[:DOC_BYTES] for _, t in sorted(found[lang])[:each])[:most]) for lang in counts if lang in found]
 
 
 def predicted(docs: DataFrame, classifier: list[tuple[str, bytes]], keep: list[str] | None = None) -> DataFrame:
