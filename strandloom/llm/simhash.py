@@ -321,9 +321,8 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, hot: int = HOT, hot_bucke
     bits = bits.join(head("a"), F.col("a") == F.col("fa")).join(head("b"), F.col("b") == F.col("fb")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     links = written(same.unionByName(bits), "bit-links")
     key = text_key(F.col("text"))
-    bodies = docs.select("text", key["k1"].alias("t1"), key["k2"].alias("t2")).filter("text IS NOT NULL").groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    bodies = bodies.join(texts.select("id", "k1", "k2"), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("id", "text")
-    comp = near.joined(bodies, texts.filter("sketch IS NOT NULL").select("id", "sketch"), links, hot_bucket)
+    bodies = docs.filter("text IS NOT NULL").select(key["k1"].alias("k1"), key["k2"].alias("k2"), "text")
+    comp = near.joined(bodies, texts.select("id", "k1", "k2"), texts.filter("sketch IS NOT NULL").select("id", "sketch"), links, hot_bucket)
     named = written(texts.join(comp, F.col("id") == F.col("node"), "left").select("k1", "k2", "first_id", F.coalesce("component", "id").alias("component")), "text-groups")
     least = named.groupBy("component").agg(F.min("first_id").alias("group"))
     return looked_up(named, least, ["component"]).select("k1", "k2", "group")
