@@ -104,6 +104,16 @@ def test_line_dedup_against_plain_rules(spark):
     assert all(n[i] == (0 if t is None else t.count("\n") - want[i].count("\n") + (want[i] == "" and t != "")) for i, t, _ in rows)
 
 
+def test_op3_counts_every_site_of_a_line(spark, tmp_path):
+    from strandloom.llm import queries
+
+    copied = words(20) + "\n" + words(20)
+    rows = [(100 + i, copied, f"site{i}") for i in range(10)] + [(200, copied.split("\n")[0] + "\nown", "site0")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.text) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {**{100 + i: (2, "") for i in range(10)}, 200: (1, "own")}
+
+
 def test_clashing_names_are_replaced(spark):
     d = frame(spark, [(1, words(60), "a")]).select("*", *[F.lit(7).alias(c) for c in quality.NEW])
     assert [r.n_words for r in quality.judged(d, "doc_id", "n_words", "kept").collect()] == [60]
