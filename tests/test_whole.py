@@ -223,3 +223,13 @@ def test_support_of_a_stream_equals_the_batch(spark, tmp_path):
     assert {(r.ctgid, r.read_id): r.hits for r in spark.table("support").collect()} == want
     old, new = (support.running_support(spark.createDataFrame(x, schema)) for x in (parts[0], parts[1] + parts[2]))
     assert {(r.ctgid, r.read_id): r.hits for r in support.merged_support(old, new).collect()} == want
+
+
+def test_long_links_and_physical_coverage_take_all_inserts_and_paths_from_5000(spark):
+    from strandloom.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    c = registry._Case(spark, data)
+    inserts = c.kept.filter("gap_end - gap_start + 400 >= 5000")
+    assert inserts.filter("lib = 1").count() and sum(r.n_links for r in registry.long_links(spark, data).collect()) == inserts.count()
+    assert registry.physical_coverage(spark, data).first().n_tried == c.around.filter("plen >= 5000").count() > c.around.filter("plen >= 11500").count()
