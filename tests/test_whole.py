@@ -233,3 +233,28 @@ def test_long_links_and_physical_coverage_take_all_inserts_and_paths_from_5000(s
     inserts = c.kept.filter("gap_end - gap_start + 400 >= 5000")
     assert inserts.filter("lib = 1").count() and sum(r.n_links for r in registry.long_links(spark, data).collect()) == inserts.count()
     assert registry.physical_coverage(spark, data).first().n_tried == c.around.filter("plen >= 5000").count() > c.around.filter("plen >= 11500").count()
+
+
+def test_no_generated_method_is_too_large_for_hotspot(spark):
+    from strandloom.plans import registry
+
+    registry._links(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_bundles_by_counts_are_those_of_the_kept_links(spark):
+    from strandloom.operators import bundles
+    from strandloom.plans import registry
+
+    links = registry._links(spark, "/root/testdata/sf0.01").localCheckpoint()
+    want = bundles.bundles(bundles.kept_links(links))
+    got = bundles.bundles_of(links)
+    assert got.columns == want.columns and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    from strandloom.plans.adapters import _rounded
+
+    xs = [0.5, 1.5, 2.5, -0.5, -2.5, 12.499999999999998, 7.000000000000001, 0.49999999999999994, -0.2, 0.0, 1e15 + 0.5, 3.0]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert all(r.a == r.b for r in d.select(_rounded(F.col("x")).alias("a"), F.round("x").alias("b")).collect())
