@@ -20,6 +20,11 @@ _HEX = "0123456789ABCDEF"
 _TURNED = "".join(_HEX[(d & 3 ^ 2) << 2 | d >> 2 ^ 2] for d in range(16))
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), where the value is worked out once however often f names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _runs(seq: Column) -> Column:
     """(at, codes) of the stretches that aren't upper-case A, C, G or T."""
     codes, sizes = F.regexp_extract_all(seq, F.lit("[^ACGT]+"), F.lit(0)), F.transform(F.split(seq, "[^ACGT]+"), F.length)
@@ -30,7 +35,7 @@ def _runs(seq: Column) -> Column:
         at = acc["at"] + x["size"]
         return F.struct((at + F.length(x["codes"])).alias("at"), F.array_append(acc["out"], F.struct(at.alias("at"), x["codes"].alias("codes"))).alias("out"))
 
-    pairs = F.transform(codes, lambda c, i: F.struct(F.get(sizes, i).alias("size"), c.alias("codes")))
+    pairs = F.zip_with(codes, F.slice(sizes, F.lit(1), F.size(codes)), lambda c, n: F.struct(n.alias("size"), c.alias("codes")))
     return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
 
@@ -45,39 +50,55 @@ def pack(seq: Column) -> Column:
 
 def unpacked(p: Column, exact: bool = True) -> Column:
     """The string of a packed sequence."""
-    words = F.regexp_extract_all(F.hex(p["bits"]), F.lit(".{1,8}"), F.lit(0))
-    digits = F.array_join(F.transform(words, lambda w: F.lpad(F.conv(w, 16, 4), (2 * F.length(w)).cast("int"), F.lit("0"))), "")
-    plain = F.translate(F.substring(digits, p["skip"] + 1, p["n"]), "0123", "ACTG")
-    if not exact:
-        return plain
-    done = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def put(acc, r):
-        return F.struct((r["at"] + F.length(r["codes"])).alias("at"), F.concat(acc["out"], F.array(F.substring(plain, acc["at"] + 1, r["at"] - acc["at"]), r["codes"])).alias("out"))
+    def plain(p):
+        words = F.regexp_extract_all(F.hex(p["bits"]), F.lit(".{1,8}"), F.lit(0))
+        digits = F.array_join(F.transform(words, lambda w: F.lpad(F.conv(w, 16, 4), (2 * F.length(w)).cast("int"), F.lit("0"))), "")
+        return F.translate(F.substring(digits, p["skip"] + 1, p["n"]), "0123", "ACTG")
+
+    def whole(p, text):
+        done = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def put(acc, r):
+            return F.struct((r["at"] + F.length(r["codes"])).alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, r["at"] - acc["at"]), r["codes"])).alias("out"))
+
+        put_all = F.aggregate(p["runs"], done, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.greatest(p["n"] - acc["at"], F.lit(0)))))
+        return F.when(F.size(p["runs"]) > 0, put_all).otherwise(text)
 
-    whole = F.aggregate(p["runs"], done, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(plain, acc["at"] + 1, F.greatest(p["n"] - acc["at"], F.lit(0)))))
-    return F.when(F.size(p["runs"]) > 0, whole).otherwise(plain)
+    if not exact:
+        return _bound(p, plain)
+    return _bound(p, lambda p: _bound(plain(p), lambda text: whole(p, text)))
 
 
 def substring(p: Column, start: Column, length: Column) -> Column:
     """length bases from `start` (from 0): the bytes that hold them, and no others."""
-    a = F.least(F.greatest(start, F.lit(0)), p["n"]).cast("int")
-    n = F.greatest(F.least(length, p["n"] - a), F.lit(0)).cast("int")
-    first = p["skip"] + a
-    byte, skip = F.floor(first / 4).cast("int"), first % 4
-    bits = F.substring(p["bits"], byte + 1, F.ceil((skip + n) / 4).cast("int"))
 
-    def cut(r):
-        lo, hi = F.greatest(r["at"], a), F.least(r["at"] + F.length(r["codes"]), a + n)
-        return F.struct((lo - a).cast("int").alias("at"), F.substring(r["codes"], lo - r["at"] + 1, F.greatest(hi - lo, F.lit(0))).alias("codes"))
+    def cut_out(p, a, n):
+        first = p["skip"] + a
+        byte, skip = F.floor(first / 4).cast("int"), first % 4
+        bits = F.substring(p["bits"], byte + 1, F.ceil((skip + n) / 4).cast("int"))
+
+        def cut(r):
+            lo, hi = F.greatest(r["at"], a), F.least(r["at"] + F.length(r["codes"]), a + n)
+            return F.struct((lo - a).cast("int").alias("at"), F.substring(r["codes"], lo - r["at"] + 1, F.greatest(hi - lo, F.lit(0))).alias("codes"))
+
+        runs = F.filter(F.transform(p["runs"], cut), lambda r: r["codes"] != "")
+        return F.when(p.isNotNull(), F.struct(bits.alias("bits"), skip.alias("skip"), n.alias("n"), runs.alias("runs")))
 
-    runs = F.filter(F.transform(p["runs"], cut), lambda r: r["codes"] != "")
-    return F.when(p.isNotNull(), F.struct(bits.alias("bits"), skip.alias("skip"), n.alias("n"), runs.alias("runs")))
+    def span(p):
+        a = F.least(F.greatest(start, F.lit(0)), p["n"]).cast("int")
+        return F.struct(a.alias("a"), F.greatest(F.least(length, p["n"] - a), F.lit(0)).cast("int").alias("n"))
+
+    return _bound(p, lambda p: _bound(span(p), lambda x: cut_out(p, x["a"], x["n"])))
 
 
 def reverse_complement(p: Column) -> Column:
     """The other strand: every two-base digit is turned and complemented, and their order reversed."""
-    bits = F.unhex(F.translate(F.reverse(F.hex(p["bits"])), _HEX, _TURNED))
-    skip = 4 * F.octet_length(p["bits"]) - p["skip"] - p["n"]
-    runs = F.reverse(F.transform(p["runs"], lambda r: F.struct((p["n"] - r["at"] - F.length(r["codes"])).cast("int").alias("at"), revcomp(r["codes"]).alias("codes"))))
-    return F.when(p.isNotNull(), F.struct(bits.alias("bits"), skip.cast("int").alias("skip"), p["n"].alias("n"), runs.alias("runs")))
+
+    def turned(p):
+        bits = F.unhex(F.translate(F.reverse(F.hex(p["bits"])), _HEX, _TURNED))
+        skip = 4 * F.octet_length(p["bits"]) - p["skip"] - p["n"]
+        runs = F.reverse(F.transform(p["runs"], lambda r: F.struct((p["n"] - r["at"] - F.length(r["codes"])).cast("int").alias("at"), revcomp(r["codes"]).alias("codes"))))
+        return F.when(p.isNotNull(), F.struct(bits.alias("bits"), skip.cast("int").alias("skip"), p["n"].alias("n"), runs.alias("runs")))
+
+    return _bound(p, turned)

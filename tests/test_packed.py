@@ -46,3 +46,17 @@ def test_digits_turn_to_the_other_strand(d):
     turned = packed._TURNED[d]
     x = int(turned, 16)
     assert bases[x >> 2] + bases[x & 3] == two[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_many_runs_cost_no_pass_over_the_sequence_each(spark):
+    import time
+
+    def seconds(text):
+        d = spark.createDataFrame([(text,)] * 4, "s string").repartition(4).select(packed.pack(F.col("s")).alias("p"))
+        out = d.select(packed.unpacked(F.col("p")).alias("s"))
+        assert {r.s for r in out.collect()} == {text}
+        begin = time.perf_counter()
+        out.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    assert seconds("AN" + "ACGT" * 20_000) * 20 + 10 > seconds("ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTNACG" * 1000)
