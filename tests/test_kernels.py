@@ -152,3 +152,26 @@ def test_work_follows_the_edits(monkeypatch):
     assert sum(c != "=" for c in align.path(q, t)) == 21 and widths == [64]
     align.path(q[:600], q[600:1200])
     assert widths[1:] == [64, 128, 256, 512]
+
+
+def test_semi_global_scans_only_where_the_query_can_be(monkeypatch):
+    rng, scan, columns = random.Random(3), align._scan, []
+
+    def counted(query, target, within=None):
+        columns.append(len(target))
+        return scan(query, target, within)
+
+    def plain(query, target):
+        edits, ends = scan(query, target)
+        return edits, ends[0] - min(scan(query[::-1], target[: ends[0] + 1][::-1], within=edits)[1]), ends[0]
+
+    target = "".join(rng.choice("ACGT") for _ in range(5000))
+    exact, other = target[3000:3200], target[3000:3090] + "A" + target[3092:3200]
+    want = [plain(q, target) for q in (exact, other)]
+    monkeypatch.setattr(align, "_scan", counted)
+    assert [align.semi_global(q, target) for q in (exact, other)] == want and sum(columns) < 1000
+    for _ in range(200):
+        t = "".join(rng.choice("AC") for _ in range(rng.randint(0, 300)))
+        a = rng.randint(0, max(0, len(t) - 1))
+        q = "".join(c for c in t[a : a + 120] if rng.random() > 0.02)
+        assert align.semi_global(q, t) == (plain(q, t) if q else (0, 0, 0))
