@@ -5,9 +5,9 @@ the same for all texts (one permutation hashing with optimal densification, Shri
 Two texts at 0.8 share one with a chance of 1 - 5e-5.
 
 Each bucket's texts are first compared with one pivot, then with a few, but only those that no earlier link has put into one component: a family of thousands of near copies
-is one component after a few links a text. What then still is of several components in a bucket is compared by all pairs, in buckets of at most `hot` texts: a larger one, such as
-that of a passage that many texts share, is split by the value of the next band, and again until it is small; a pair that is parted so still meets in its other bands. So
-a text meets at most BANDS * hot others, whatever the size of a bucket. Sketches reject most pairs; the rest is decided by the shingles.
+is one component after a few links a text. What then still is of several components in a bucket is compared by all pairs, in buckets of at most `hot` texts. The texts of larger
+ones, such as those of a passage that many texts share, meet by their rarest shingles instead: of two texts at 0.8 each has four fifths of its shingles in common with the other, so
+a common one is among the rarest fifth and one more of both, in any order that both follow. No pair of a large bucket is lost so. Sketches reject most pairs; the rest is decided by the shingles.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray | None:
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
-    """sketches(id, sketch) -> (id, band, vs): the values of the bands from this one on, around."""
+    """sketches(id, sketch) -> (id, band, v): the value of each band."""
 
     def run(batches):
         for b in batches:
@@ -83,25 +83,46 @@ def _bands(sketches: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """members(bucket, id, band) with c, their component so far, in buckets of several components; and the bucket's size."""
-    of = members.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "id", "band", F.coalesce("component", "id").alias("c"))
+    """members(bucket, id) with c, their component so far, in buckets of several components; and the bucket's size."""
+    of = members.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     mixed = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
     return written(of.join(mixed, "bucket"), "mixed-buckets")
 
 
-def _small(of: DataFrame, bands: DataFrame, comp: DataFrame, hot: int) -> DataFrame:
-    """(bucket, id, c) of buckets of at most `hot` texts and several components: larger ones of _mixed() are split by further bands."""
-    done = None
-    for depth in range(1, BANDS):
-        some = of.filter(F.col("size") <= hot).select("bucket", "id", "c")
-        done = some if done is None else done.unionByName(some)
-        large = of.filter(F.col("size") > hot)
-        if large.isEmpty():
-            break
-        further = bands.select("id", F.pmod(F.col("band") - depth, F.lit(BANDS)).alias("band"), "v")
-        split = large.join(further, ["id", "band"]).select(F.xxhash64("bucket", "v").alias("bucket"), "id", "band")
-        of = _mixed(split, comp)
-    return done
+def _grams(asked: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked(id) -> (id, x): the texts' distinct shingles; keys(id, k1, k2), docs(k1, k2, text), any number of rows a text.
+
+    The keys of the texts that are asked for are written first: where they are few, Spark takes them to the texts and doesn't shuffle these.
+    """
+    held = written(keys.join(asked, "id", "left_semi").select("id", F.col("k1").alias("h1"), F.col("k2").alias("h2")), "asked-texts")
+    rows = docs.join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).groupBy("id").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            x = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int64()))], ["id", "x"])
+
+    out = written(rows.select("id", "text").mapInArrow(run, "id long, x array<long>"), "shingles")
+    dropped(held)
+    return out
+
+
+def _by_rare_shingles(large: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """large(id, c) -> pairs(a, b) of two components that share one of the rarest n div 5 + 1 shingles of both: every pair with a Jaccard index of 0.8 or more.
+
+    Shingles of one text come first in the order and meet nobody, so only shared ones are sorted.
+    """
+    grams = _grams(large.select("id"), keys, docs)
+    each = grams.select("id", F.size("x").alias("n"), F.explode("x").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = each.join(often, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    shared = shared.withColumn("most", (F.floor(F.col("n") / 5) + 1 - F.col("n") + F.size("ts")).cast("int")).filter("most > 0")
+    rare = written(shared.join(large, "id").select("id", "c", "n", F.explode(F.slice("ts", F.lit(1), F.col("most"))).alias("x")).select("id", "c", "n", "x.t"), "rare-shingles")
+    other = rare.select("t", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"))
+    met = rare.join(other, "t").filter((F.col("id") < F.col("o")) & (F.col("c") != F.col("oc")) & (5 * F.least("n", "on") >= 4 * F.greatest("n", "on")))
+    out = written(met.select(F.col("id").alias("a"), F.col("o").alias("b")).distinct(), "rare-pairs")
+    dropped(grams, rare)
+    return out
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -119,24 +140,12 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs(a, b) with a Jaccard index of 0.8 or more; keys(id, k1, k2), docs(k1, k2, text), any number of rows a text.
-
-    The keys of the texts that are asked for are written first: where they are few, Spark takes them to the texts and doesn't shuffle these.
-    """
-    held = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(keys.join(held, "id", "left_semi").select("id", F.col("k1").alias("h1"), F.col("k2").alias("h2")), "asked-texts")
-    rows = docs.join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).groupBy("id").agg(F.first("text").alias("text"))
-
-    def run(batches):
-        for b in batches:
-            x = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int64()))], ["id", "x"])
-
-    grams = written(rows.select("id", "text").mapInArrow(run, "id long, x array<long>"), "shingles")
+    """The pairs(a, b) with a Jaccard index of 0.8 or more; keys(id, k1, k2), docs(k1, k2, text), any number of rows a text."""
+    grams = _grams(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), keys, docs)
     both = pairs.join(grams.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(grams.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
     # i / (m + n - i) >= 0.8 in whole numbers.
     out = written(both.filter(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"), "near-links")
-    dropped(grams, held)
+    dropped(grams)
     return out
 
 
@@ -144,21 +153,25 @@ def joined(docs: DataFrame, keys: DataFrame, sketches: DataFrame, links: DataFra
     """docs(k1, k2, text), keys(id, k1, k2), sketches(id, sketch) of the texts with words, links(a, b) known before -> (node, component) by these and by near copies;
     ids without links are absent."""
     with_workers(docs.sparkSession)
-    bands = written(_bands(sketches), "bands")
-    named = bands.select(F.xxhash64("band", "v").alias("bucket"), "id", "band")
+    named = _bands(sketches).select(F.xxhash64("band", "v").alias("bucket"), "id")
     shared = named.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = written(named.join(shared, "bucket", "left_semi"), "bucket-members")
     known, comp, seen = links.select("a", "b"), written(components(links), "components"), None
     for n in (*PIVOTS, None):
         of = _mixed(members, comp)
         if n is None:
-            some = written(_small(of, bands, comp, hot), "small-buckets")
+            some = of.filter(F.col("size") <= hot)
             pivots, late = some.select("bucket", F.col("id").alias("o"), F.col("c").alias("oc")), F.col("id") < F.col("o")
         else:
             # Each of n parts of a bucket sends its least member.
             some, late = of, F.lit(True)
             pivots = of.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).agg(F.min(F.struct("id", "c")).alias("p")).select("bucket", F.col("p.id").alias("o"), F.col("p.c").alias("oc"))
         pairs = some.join(pivots, "bucket").filter((F.col("c") != F.col("oc")) & late).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+        if n is None:
+            large = written(of.filter(F.col("size") > hot).select("id", "c").distinct(), "large-buckets")
+            if not large.isEmpty():
+                pairs = pairs.unionByName(_by_rare_shingles(large, keys, docs)).distinct()
+            dropped(large)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -169,5 +182,5 @@ def joined(docs: DataFrame, keys: DataFrame, sketches: DataFrame, links: DataFra
             old, comp = comp, written(components(known), "components")
             dropped(old)
         dropped(of, alike)
-    dropped(bands, members)
+    dropped(members)
     return comp

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strandloom.llm import near, simhash
@@ -92,3 +93,19 @@ def test_recall_on_the_table(spark):
     found = sum(group[a] == group[b] for a, b in pairs)
     print(f"{found} of {len(pairs)} pairs")
     assert pairs and found >= 0.99 * len(pairs)
+
+
+def test_large_buckets_part_no_pair(spark):
+    """Forty pairs at 0.8 or more whose sketches share one band only, which all texts share, and three fifths of every other one."""
+    rng = random.Random(8)
+    texts, sketches = [], []
+    for i in range(40):
+        base = words(100, rng)
+        one = np.array([7] * near.ROWS + [rng.randrange(1 << 32) for _ in range(near.BINS - near.ROWS)], np.uint32)
+        other = one.copy()
+        other[np.flatnonzero((np.arange(near.BINS) >= near.ROWS) & (np.arange(near.BINS) % near.ROWS < 2))] ^= 1
+        texts += [(2 * i, 2 * i, 0, " ".join(base)), (2 * i + 1, 2 * i + 1, 0, " ".join(base + words(5, rng)))]
+        sketches += [(2 * i, bytearray(one.tobytes())), (2 * i + 1, bytearray(other.tobytes()))]
+    t = spark.createDataFrame(texts, "id long, k1 long, k2 long, text string")
+    got = near.joined(t.select("k1", "k2", "text"), t.select("id", "k1", "k2"), spark.createDataFrame(sketches, "id long, sketch binary"), spark.createDataFrame([], "a long, b long"), 5)
+    assert {r.node: r.component for r in got.collect()} == {i: i - i % 2 for i in range(80)}
