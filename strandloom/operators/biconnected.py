@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, settled
+from ..session import dropped, rounds, settled
 from ..sources.readers import dense_index
 from .graph import connected_components
 from .joins import looked_up
@@ -136,9 +136,10 @@ def blocks(edges: DataFrame) -> DataFrame:
 def biconnected_components(edges: DataFrame) -> DataFrame:
     """edges(source, target) -> (source, target, bcc): a component is named by its least edge."""
     pairs = settled(edges.select("source", "target", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), "pairs")
-    proper = settled(pairs.filter("source <> target").select("a", "b").distinct(), "proper-edges")
-    label = settled(blocks(proper), "blocks")
-    marked = settled(pairs.join(label, ["a", "b"]).select("source", "target", "block"), "block-edges")
+    with rounds(edges.sparkSession):
+        proper = settled(pairs.filter("source <> target").select("a", "b").distinct(), "proper-edges")
+        label = settled(blocks(proper), "blocks")
+        marked = settled(pairs.join(label, ["a", "b"]).select("source", "target", "block"), "block-edges")
     least = marked.groupBy("block").agg(F.min(F.struct("source", "target")).alias("m"))
     name = lambda s, t: F.concat(s.cast("string"), F.lit("-"), t.cast("string"))
     out = looked_up(marked, least, ["block"]).select("source", "target", name(F.col("m.source"), F.col("m.target")).alias("bcc"))
