@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, with_workers, written
+from .common import dropped, likely, with_workers, written
 from .components import components
 
 WIDTH, BANDS, ROWS = 5, 25, 5
@@ -92,10 +92,11 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
 def _grams(asked: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
     """asked(id) -> (id, x): the texts' distinct shingles; keys(id, k1, k2), docs(k1, k2, text), any number of rows a text.
 
-    The keys of the texts that are asked for are written first: where they are few, Spark takes them to the texts and doesn't shuffle these.
+    The keys of the texts that are asked for are written first: texts that likely() rules out aren't shuffled, and where few are asked for, none is.
     """
     held = written(keys.join(asked, "id", "left_semi").select("id", F.col("k1").alias("h1"), F.col("k2").alias("h2")), "asked-texts")
-    rows = docs.join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).groupBy("id").agg(F.first("text").alias("text"))
+    some = likely(docs, F.col("k1"), held, F.col("h1")).filter("__likely")
+    rows = some.join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).groupBy("id").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -125,14 +126,28 @@ def _by_rare_shingles(large: DataFrame, keys: DataFrame, docs: DataFrame) -> Dat
     return out
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose sketches agree in LEAST_EQUAL of the bins."""
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+def _briefs(sketches: DataFrame) -> DataFrame:
+    """sketches(id, sketch) -> (id, brief): the low byte of each bin, a fourth of the sketch. Equal bins have equal bytes, so no pair that agrees in enough bins is lost."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                one, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("sa", "sb"))
+                low = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, BINS)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "brief"])
+
+    return written(sketches.mapInArrow(run, "id long, brief binary"), "briefs")
+
+
+def _alike(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose sketches agree in LEAST_EQUAL of the bins, by their briefs."""
+    ids, mixed = pairs.select(F.explode(F.array("a", "b")).alias("id")), F.xxhash64("id")
+    some = likely(briefs, mixed, ids, mixed).filter("__likely")
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("brief").alias("sa")), "a").join(some.select(F.col("id").alias("b"), F.col("brief").alias("sb")), "b")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                one, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
                 keep = pa.array((one == other).sum(1) >= LEAST_EQUAL * BINS)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
@@ -156,6 +171,7 @@ def joined(docs: DataFrame, keys: DataFrame, sketches: DataFrame, links: DataFra
     named = _bands(sketches).select(F.xxhash64("band", "v").alias("bucket"), "id")
     shared = named.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = written(named.join(shared, "bucket", "left_semi"), "bucket-members")
+    briefs = _briefs(sketches)
     known, comp, seen = links.select("a", "b"), written(components(links), "components"), None
     for n in (*PIVOTS, None):
         of = _mixed(members, comp)
@@ -176,11 +192,11 @@ def joined(docs: DataFrame, keys: DataFrame, sketches: DataFrame, links: DataFra
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        alike = written(_alike(pairs, sketches), "alike")
+        alike = written(_alike(pairs, briefs), "alike")
         if not alike.isEmpty():
             known = known.unionByName(_checked(alike, keys, docs))
             old, comp = comp, written(components(known), "components")
             dropped(old)
         dropped(of, alike)
-    dropped(members)
+    dropped(members, briefs)
     return comp

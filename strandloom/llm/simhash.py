@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near
-from .common import dropped, kept_columns, looked_up, text_key, with_workers, written
+from .common import dropped, kept_columns, likely, looked_up, text_key, with_workers, written
 from .components import components
 
 WIDTH = 3
@@ -341,11 +341,15 @@ def removed_copies(docs: DataFrame) -> DataFrame:
     first = written(first, "first-ids")
     # Only ids that several rows have are grouped with their columns; all other rows stay where they are.
     several = written(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    kept = docs.join(first, "doc_id", "left_semi")
+    # Rows whose id is neither removed nor repeated stay where they are; only those that may be are shuffled for the exact joins.
+    doubted = written(ids.select("doc_id").join(first, "doc_id", "left_anti").unionByName(several).distinct(), "doubted-ids")
+    marked = likely(held, F.xxhash64("doc_id"), doubted, F.xxhash64("doc_id"))
+    sure = marked.filter("NOT __likely").select(*docs.columns)
+    kept = marked.filter("__likely").select(*docs.columns).join(first, "doc_id", "left_semi")
     ordered = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     rows = kept.join(several, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.struct(*ordered).alias("__rank"))
     one = rows.groupBy("doc_id").agg(F.min_by("__row", "__rank").alias("__row")).select("__row.*").select(*docs.columns)
-    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
+    return sure.unionByName(kept.join(several, "doc_id", "left_anti").select(*docs.columns)).unionByName(one).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def brute_force(docs: list[tuple], budget: int = BUDGET) -> list[tuple]:
