@@ -160,7 +160,7 @@ def arc_rows(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
 def write_records(records: DataFrame, path: str, separator: str, compression: str = "gzip") -> str:
     """records(record) as files of raw bytes, each record followed by the separator.
 
-    Archives are compressed at zlib's quickest level: its usual one took a third of all CPU time here.
+    Archives are compressed at zlib's quickest level: its usual one took most of the JVM's CPU time here (README).
     """
     out = records.select(F.col("record").cast("string")).write.option("lineSep", separator).option("compression", compression)
     out.option("zlib.compress.level", "BEST_SPEED").text(path)
