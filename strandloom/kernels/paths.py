@@ -76,19 +76,29 @@ def reduce_component(edges: dict[int, list], wanted: list[int], reads: dict[int,
     nodes. Returns the mate edges' weights that changed and the reduced edges (id, plen, pvar, path weight). Edges are tried by distance; what one
     changes holds for the next.
     """
-    g, changed, reduced = Graph({i: list(e) for i, e in edges.items()}), {}, []
-    for i in sorted(wanted, key=lambda i: (edges[i][3], i)):
-        u, v, _, bd, std, bw = g.edges[i]
+
+    def parts(i):
         needed = [r for r, h in reads.get(i, {}).items() if h > config.read_hits]
+        return (lambda path: all(r in reads.get(x, ()) for x in path for r in needed)), (lambda x: sum(reads.get(x, {}).get(r, 0) for r in needed))
+
+    return _reduced(edges, wanted, parts, blocked, config)
 
-        def supports(path, needed=needed):
-            return all(r in reads.get(x, ()) for x in path for r in needed)
 
+def reduce_supported(edges: dict[int, list], parts: dict[int, dict[int, int]], blocked: set[int], config) -> tuple[dict[int, int], list[tuple[int, int, int, int]]]:
+    """reduce_component() of the edges in `parts`, where these say which edges carry the reads that an edge needs, itself included, and with how many hits."""
+    return _reduced(edges, list(parts), lambda i: ((lambda path: all(x in parts[i] for x in path)), parts[i].__getitem__), blocked, config)
+
+
+def _reduced(edges, wanted, parts, blocked, config):
+    g, changed, reduced = Graph({i: list(e) for i, e in edges.items()}), {}, []
+    for i in sorted(wanted, key=lambda i: (edges[i][3], i)):
+        u, v, _, bd, std, bw = g.edges[i]
+        supports, hits = parts(i)
         few = config.few_paths if bd >= config.lme else config.many_paths
         found = search(g, u, v, bd, std, lambda n: n not in blocked, supports, config.mit, few, config.max_path_nodes, config.tolerance, skip=i)
         best = None
         for nodes, path in found:
-            weight = sum(reads.get(x, {}).get(r, 0) for x in path for r in needed)
+            weight = sum(map(hits, path))
             if best is None or weight >= best[0]:
                 best = (weight, path)
         if best is None:
